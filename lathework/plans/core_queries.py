@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import history, orphans, schema_drift
+from ..operators import history, nested_records, orphans, packed_cells, schema_drift
 from ..session import materialize, table
 
 SNAPSHOT_ATTRIBUTES = ("status", "first_verified", "last_verified", "preferred_chinese")
@@ -25,6 +25,50 @@ def p1_versions(spark: SparkSession, sf: str) -> DataFrame:
     return schema_drift.fingerprints(table(spark, sf, "registry_files")).select("workspace_id", F.col("version").cast("bigint").alias("version"), "fingerprint", "file_id", "n_fields")
 
 
+PACKED_FIELDS = {"evidence_ids": "ids", "alternative_chinese": "text"}
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return packed_cells.split_values(packed_cells.packed_cells(table(spark, sf, "terminology_registry"), row_id="row_id", fields=PACKED_FIELDS))
+
+
+def p2_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    return packed_cells.learn_dictionary(packed_cells.packed_cells(table(spark, sf, "terminology_registry"), row_id="row_id", fields=PACKED_FIELDS).where("cell IS NOT NULL"))
+
+
+CHAIN = ["paragraph", "claim", "anchor"]
+
+
+def _source_map_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return nested_records.typed_nodes(table(spark, sf, "c_source_map"), key="map_id", body="body", types=nested_records.SOURCE_MAP)
+
+
+def _field(node: str, name: str) -> Column:
+    return F.coalesce(F.element_at(F.col(f"{node}fields"), name), F.lit(""))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    rows = nested_records.leaves(nested_records.link_by_containment(_source_map_nodes(spark, sf), CHAIN), CHAIN)
+    is_anchor, is_claim = F.col("node_type") == "anchor", F.col("node_type") != "paragraph"
+    no = lambda when, c: F.when(when, F.col(c)).otherwise(0).cast("bigint")
+    return rows.select(
+        F.col("key_id").alias("map_id"), F.col("paragraph.no").cast("bigint").alias("paragraph_no"), _field("paragraph.", "paragraph_index").alias("paragraph_index"),
+        no(is_claim, "claim.ordinal").alias("claim_no"), F.when(is_claim, _field("claim.", "source_class")).otherwise("").alias("source_class"),
+        no(is_anchor, "ordinal").alias("anchor_no"), F.when(is_anchor, F.coalesce("value", _field("", "section"))).otherwise("").alias("anchor"),
+    ).distinct()
+
+
+def _p3_table(node_type: str, upto: int):  # noqa: ANN202
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        rows = nested_records.link_by_containment(_source_map_nodes(spark, sf), CHAIN[:upto])
+        outer = [F.col(f"{t}.pre").alias(f"{t}_pre") for t in CHAIN[: upto - 1]]
+        return rows.where(F.col("node_type") == node_type).select(
+            F.col("key_id").alias("map_id"), "body_key", "pre", "post", *outer, F.col("no").cast("bigint").alias("no"), F.to_json(F.map_from_entries(F.array_sort(F.map_entries("fields")))).alias("fields"), "value"
+        )
+
+    return query
+
+
 def _snapshots(spark: SparkSession, sf: str) -> DataFrame:
     log = history.attribute_log(
         table(spark, sf, "registry_snapshots"), scope="workspace_id", date="snapshot_date", entity="term_id",
@@ -78,6 +122,8 @@ def p5_report(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_records": p1_records, "p1_versions": p1_versions,
+    "p2_found": p2_found, "p2_dictionary": p2_dictionary,
+    "p3_found": p3_found, "p3_paragraphs": _p3_table("paragraph", 1), "p3_claims": _p3_table("claim", 2), "p3_anchors": _p3_table("anchor", 3),
     "p4_found": p4_found, "p4_attribute_log": p4_attribute_log, "p4_versions": p4_versions,
     "p5_found": p5_found, "p5_report": p5_report,
 }
