@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import lookalike, mixing, multiset_dedup, tiling
+from . import lookalike, mixing, multiset_dedup, spans, tiling
 
 PLAIN_FIELDS = ("english_term", "preferred_chinese")
 
@@ -52,8 +52,18 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "source_targets"))[1]
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.shared_spans(table(spark, sf, "documents"))
+
+
+def p10_share(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return spans.shared_share(docs, spans.shared_spans(docs))
+
+
 QUERIES = {
     "p6_found": p6_found, "p7_found": p7_found, "p7_kept": p7_kept, "p8_found": p8_found, "p8_coverage": p8_coverage, "p8_items": p8_items,
     "p9_selection": p9_selection, "p9_shares": p9_shares,
+    "p10_found": p10_found, "p10_share": p10_share,
 }
 SQL: dict[str, str] = {}
