@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import lookalike, mixing, multiset_dedup, spans, tiling
+from . import lookalike, mixing, multiset_dedup, spans, sql, tiling
 
 PLAIN_FIELDS = ("english_term", "preferred_chinese")
 
@@ -66,4 +66,4 @@ QUERIES = {
     "p9_selection": p9_selection, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_share": p10_share,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(sql.SQL)
