@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import core_queries
+from . import core_queries, core_sql
 
 QUERIES = {**core_queries.QUERIES}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {**core_sql.SQL}
