@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..session import materialize
 
 # fixed values: the registry's fields in their order
 REGISTRY_FIELDS = (
@@ -61,10 +62,14 @@ def file_order(files: DataFrame) -> DataFrame:
     )
 
 
+def field_kinds(files: DataFrame) -> DataFrame:
+    """(workspace_id, file_id, field, kinds): the fields of each file and the bits of their types."""
+    return field_entries(files).groupBy("workspace_id", "file_id", "field").agg(F.bit_or("kind").alias("kinds"))
+
+
 def file_schemas(files: DataFrame) -> DataFrame:
-    """(workspace_id, file_id, seq, field, kinds): the fields of each file and the bits of their types."""
-    fields = field_entries(files).groupBy("workspace_id", "file_id", "field").agg(F.bit_or("kind").alias("kinds"))
-    return fields.join(file_order(files), ["workspace_id", "file_id"])
+    """field_kinds with each file's place (seq) in its workspace."""
+    return field_kinds(files).join(file_order(files), ["workspace_id", "file_id"])
 
 
 def fingerprints(files: DataFrame) -> DataFrame:
@@ -124,10 +129,11 @@ def migration_steps(files: DataFrame, *, term_field: str = "Term_ID") -> DataFra
     non-null values differ (fields null throughout have no type). Workspaces with one file, empty
     tables and unreadable records give no rows.
     """
-    order = file_order(files)
-    schemas = file_schemas(files)
-    changes = presence_changes(schemas, order)
-    renamed = renames(files, changes, order, term_field)
+    # per-file metadata, a few rows a file: read from the records once and kept as tables
+    order = materialize(file_order(files), "file-order")
+    schemas = materialize(field_kinds(files).join(order, ["workspace_id", "file_id"]), "file-schemas")
+    changes = materialize(presence_changes(schemas, order), "field-changes")
+    renamed = materialize(renames(files, changes, order, term_field), "renames")
     came = changes.where("now AND NOT was").join(renamed.select("workspace_id", "seq", F.col("new_field").alias("field")), ["workspace_id", "seq", "field"], "left_anti")
     went = changes.where("was AND NOT now").join(renamed.select("workspace_id", "seq", F.col("old_field").alias("field")), ["workspace_id", "seq", "field"], "left_anti")
     kinds = lambda side, old: changes.where(side).select("workspace_id", "seq", F.col("field").alias(old), F.col("kinds" if old == "new_field" else "kinds_before").alias(f"k_{old}"))
