@@ -1,0 +1,128 @@
+"""Comparing a text with what was made of it: numbers that must survive, source words that must not, quotes that must be found."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.normalize import dehyphenated, extraction_form, holds_sequence, protected_tokens
+from ..functions.udfs import nfc, numeric_tokens
+from . import coverage
+
+
+def numeric_residuals(ledger: DataFrame, *, page: Sequence[str], unit: str, source: str, target: str, allowed: DataFrame | None = None) -> DataFrame:
+    """(page, unit, token, missing, added): numeric tokens that source and target texts of a unit do not share.
+
+    Bags, not sets: a number used twice must be there twice. What one unit of a page lacks and another has too much is set off;
+    before that a whitelist (unit, kind, source_token, translated_token) is applied.
+    """
+    side = lambda c, s: ledger.select(*page, unit, F.explode(numeric_tokens(F.col(c))).alias("token"), F.lit(s).alias("from_source"))
+    diff = coverage.bag_difference(side(source, True).unionByName(side(target, False)), [*page, unit], "token", "from_source")
+    if allowed is not None:
+        diff = coverage.without_allowed(diff, allowed, unit=unit, token="token")
+    return coverage.cancel_within(diff, page=page, unit=unit, token="token")
+
+
+def content_words(c: Column, least: int = 3) -> Column:
+    """Latin words in order, without web and DOI addresses; words of fewer than ``least`` letters left out."""
+    c = F.regexp_replace(c, r"(?i)(?:https?://|www\.)\S+|\b10\.\d{4,9}/\S+", "")
+    words = F.regexp_extract_all(c, F.lit("[A-Za-z][A-Za-z'’-]*"), F.lit(0))
+    return F.filter(words, lambda w: F.length(F.regexp_replace(w, "[^A-Za-z]", "")) >= least)
+
+
+def ngrams(words: Column, n: int) -> Column:
+    """All runs of n neighbours; empty where there are fewer words."""
+    last = F.size(words) - n + 1
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.slice(words, i, n))).otherwise(F.array().cast("array<array<string>>"))
+
+
+def longest_shared_run(pairs: DataFrame, *, key: str, output: str, source: str, least: int, most: int = 12, allowed: Sequence[str] = ()) -> DataFrame:
+    """(key, n_words, run): the longest run of source words, of ``least`` to ``most`` words, that stands in the output; the first of its length.
+
+    A run counts if some word of it is not allowed. Only the row's own two texts are compared; rows without such a run are left out.
+    """
+    # words cut short to one letter count only where single words are searched
+    size = 1 if least == 1 else 3
+    d = pairs.select(key, content_words(F.lower(output), size).alias("o"), content_words(F.lower(source), size).alias("s"))
+    known = F.array(*[F.lit(w.lower()) for w in allowed]) if allowed else F.array().cast("array<string>")
+    # longest match first: per start in the output, how many words go on from each equal word of the source
+    starts = d.select(key, "o", "s", F.posexplode("o").alias("i", "w"))
+    inner = starts.select(key, "o", "s", "i", F.explode(F.filter(F.transform("s", lambda x, j: F.when(x == F.col("w"), j)), lambda j: j.isNotNull())).alias("j"))
+    tail = lambda n: F.slice("o", F.col("i") + 1, n) == F.slice("s", F.col("j") + 1, n)
+    fits = F.filter(F.sequence(F.lit(least), F.lit(most)), lambda n: (F.size(F.slice("o", F.col("i") + 1, n)) == n) & (F.size(F.slice("s", F.col("j") + 1, n)) == n) & tail(n) & (F.size(F.array_except(F.slice("o", F.col("i") + 1, n), known)) > 0))
+    hits = inner.withColumn("n", F.array_max(fits)).where("n IS NOT NULL")
+    return hits.groupBy(key).agg(F.max_by(F.struct("n", F.array_join(F.slice("o", F.col("i") + 1, F.col("n")), " ").alias("run")), F.struct("n", -F.col("i"))).alias("m")).select(key, F.col("m.n").cast("bigint").alias("n_words"), F.col("m.run").alias("run"))
+
+
+def residual_words(source: Column, target: Column, extracted: Column, retained: Column) -> Column:
+    """Sorted source words that the extracted text shows although neither the target nor the retained list has them."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z]+"), F.lit(0)))
+    allowed = F.array_union(words(target), F.transform(F.coalesce(retained, F.array().cast("array<string>")), F.lower))
+    seen, shown = words(extracted), F.lower(F.coalesce(extracted, F.lit("")))
+    spaced = lambda w: shown.rlike(F.concat(F.lit(r"\b"), F.array_join(F.split(w, "(?<=.)(?=.)"), r"\s*"), F.lit(r"\b")))
+    return F.array_sort(F.filter(F.array_except(words(source), allowed), lambda w: F.array_contains(seen, w) | spaced(w)))
+
+
+def allowed_words(ledger: DataFrame, *, tokens: str, aliases: str | None = None, base: Sequence[str] = ()) -> DataFrame:
+    """(word): words of retained tokens that give a reason, their aliases, and a base list, in lower case."""
+    t = ledger.select(F.explode(tokens).alias("t")).where("trim(coalesce(t.reason, '')) <> ''")
+    out = t.select(F.explode(F.regexp_extract_all(F.lower("t.text"), F.lit("[a-z][a-z'’−–-]*"), F.lit(0))).alias("word"))
+    if aliases:
+        out = out.unionByName(t.select(F.explode(F.col(f"t.{aliases}")).alias("word")).select(F.lower("word").alias("word")))
+    if base:
+        out = out.unionByName(ledger.sparkSession.createDataFrame([(w.lower(),) for w in base], "word string"))
+    return out.distinct()
+
+
+def locate_quotes(anchors: DataFrame, blocks: DataFrame, *, keys: Sequence[str], quote: str = "quote", text: str = "text", section: str = "section") -> DataFrame:
+    """``anchors`` with ``located``: the block addressed by ``keys`` exists, holds the quote, and holds it in whole words and numbers.
+
+    A blank quote is located nowhere; a given section must be the block's. Anchors that address no block are not located.
+    """
+    b = blocks.select(*keys, F.col(text).alias("_text"), F.lower(F.coalesce(F.col(section), F.lit(""))).alias("_section"), F.lit(True).alias("_there")).dropDuplicates(list(keys))
+    j = anchors.join(b, list(keys), "left")
+    form = lambda c: extraction_form(nfc(dehyphenated(F.coalesce(c, F.lit("")))))
+    j = j.withColumn("_q", form(F.col(quote))).withColumn("_t", form(F.col("_text")))
+    wanted, seen = protected_tokens(F.coalesce(F.col(quote), F.lit(""))), protected_tokens(F.coalesce("_text", F.lit("")))
+    given = F.lower(F.coalesce(F.col(section), F.lit("")))
+    ok = F.col("_there").isNotNull() & (F.col("_q") != "") & F.contains("_t", "_q") & holds_sequence(seen, wanted) & ((given == "") | (given == F.col("_section")))
+    return j.withColumn("located", ok).drop("_text", "_section", "_there", "_q", "_t")
+
+
+def distinct_value_conflicts(rows: DataFrame, *, key: str, source: Column, target: Column) -> DataFrame:
+    """(key, n_source, n_target, passed): a stated conflict needs two source values and two target values that differ."""
+    per = rows.groupBy(key).agg(F.countDistinct(source).alias("n_source"), F.countDistinct(target).alias("n_target"))
+    return per.withColumn("passed", (F.col("n_source") >= 2) & (F.col("n_target") >= 2))
+
+
+def terms_in_texts(terms: DataFrame, texts: DataFrame, *, term: str, text_id: str, text: str, max_terms: int = 100_000) -> DataFrame:
+    """(term, text_id): which terms stand in which texts. The distinct terms are checked to be at most ``max_terms`` and searched by one
+    automaton per task; more are searched in blocks of that many, each in all texts."""
+    import ahocorasick
+    import pandas as pd
+
+    distinct = terms.select(F.col(term).alias("term")).where("term IS NOT NULL AND term <> ''").distinct()
+    blocks = max(1, -(-distinct.count() // max_terms))
+    out = None
+    for b in range(blocks):
+        words = [r.term for r in distinct.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b).collect()]
+        shared = terms.sparkSession.sparkContext.broadcast(words)
+
+        def search(batches, shared=shared):  # noqa: ANN001, ANN202
+            found = ahocorasick.Automaton()
+            for w in shared.value:
+                found.add_word(w, w)
+            if len(found):
+                found.make_automaton()
+            for pdf in batches:
+                rows = [(w, i) for i, t in zip(pdf["text_id"], pdf["text"]) if len(found) for w in sorted({w for _, w in found.iter(t)})]
+                yield pd.DataFrame(rows, columns=["term", "text_id"])
+
+        kind = dict(texts.dtypes)[text_id]
+        part = texts.select(F.col(text_id).alias("text_id"), F.col(text).alias("text")).where("text IS NOT NULL").mapInPandas(search, f"term string, text_id {kind}")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
