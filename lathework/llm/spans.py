@@ -21,10 +21,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, shuffle_partitions
 
 BLOCK_CHARS = 1_000_000
 BUCKET_HASHES = 2_000_000
+BLOCKS_PER_TASK, BUCKETS_PER_TASK = 8, 2
 HEAVY_SHARE = 1000
 
 _BASE = 0x9E3779B97F4A7C15
@@ -222,7 +223,10 @@ def shared_spans(docs: DataFrame, *, min_length: int = 400, block_chars: int = B
     anchor_buckets = max(1, int(chars) * len(cover) // period // BUCKET_HASHES)
     window_buckets = max(1, int(chars) // 4 // BUCKET_HASHES)
 
-    by_block = texts.withColumn("block", block_of).groupBy("block")
+    # as many partitions as the data need, whatever the session's default, so that a task holds a few blocks
+    by_size = lambda n, each: max(shuffle_partitions(docs.sparkSession), -(-n // each))
+    parts = by_size(blocks, BLOCKS_PER_TASK)
+    by_block = texts.withColumn("block", block_of).repartition(parts, "block").groupBy("block")
 
     def opened(pdf: pd.DataFrame, told: pd.DataFrame) -> tuple[Block, set[int], dict[int, dict[int, bytes]]]:
         out = set(told.loc[(told["step"] == 0) & told["out"].astype(bool), "doc_id"]) if len(told) else set()
@@ -270,15 +274,16 @@ def shared_spans(docs: DataFrame, *, min_length: int = 400, block_chars: int = B
     asked = "block int, bucket int, hashes binary, several binary"
 
     def answers(requests: DataFrame, step: int, bits: int) -> DataFrame:
-        said = requests.groupBy("bucket").applyInPandas(lambda pdf: _answer(pdf, bits), "block int, bucket int, bits binary")
+        buckets = by_size(anchor_buckets if step == 1 else window_buckets, BUCKETS_PER_TASK)
+        said = requests.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(lambda pdf: _answer(pdf, bits), "block int, bucket int, bits binary")
         return said.select("block", F.lit(step).alias("step"), "bucket", F.lit(None).cast("bigint").alias("doc_id"), F.lit(False).alias("out"), "bits")
 
     # answers are small (one bit per hash) and each is needed by all later steps: kept as tables
     told = known
     for step, request, bits in ((1, ask_anchors, anchor_bits), (2, ask_windows, 64)):
-        asks = by_block.cogroup(told.groupBy("block")).applyInPandas(request, asked)
+        asks = by_block.cogroup(told.repartition(parts, "block").groupBy("block")).applyInPandas(request, asked)
         told = told.unionByName(materialize(answers(asks, step, bits), f"answers-{step}"))
-    spans = by_block.cogroup(told.groupBy("block")).applyInPandas(read_spans, "doc_id bigint, span_start bigint, span_end bigint")
+    spans = by_block.cogroup(told.repartition(parts, "block").groupBy("block")).applyInPandas(read_spans, "doc_id bigint, span_start bigint, span_end bigint")
     return whole.unionByName(spans.distinct())
 
 
