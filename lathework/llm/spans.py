@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..session import materialize, shuffle_partitions
 
 BLOCK_CHARS = 1_000_000
-BUCKET_HASHES = 2_000_000
+BUCKET_HASHES = 500_000
 BLOCKS_PER_TASK, BUCKETS_PER_TASK = 8, 2
 HEAVY_SHARE = 1000
 
