@@ -169,7 +169,7 @@ def extraction_form(nfc: Column) -> Column:
     """
     wide = "".join(chr(i) for i in range(0xFF01, 0xFF5F))
     plain = "".join(chr(i - 0xFEE0) for i in range(0xFF01, 0xFF5F))
-    c = F.translate(nfc, F.lit(wide + RAISED + LOWERED + "−"), F.lit(plain + RAISED_PLAIN + LOWERED_PLAIN + "-"))
+    c = F.translate(nfc, wide + RAISED + LOWERED + "−", plain + RAISED_PLAIN + LOWERED_PLAIN + "-")
     for a, b in LIGATURES:
         c = F.replace(c, F.lit(a), F.lit(b))
     return without_space(F.replace(c, F.lit("\u00ad"), F.lit("")))

@@ -66,7 +66,7 @@ def sessions(df: DataFrame, *, group: Sequence[str], at: str, gap_seconds: int)
     """``df`` with ``session``: a new one after every pause longer than the gap."""
     w = Window.partitionBy(*group).orderBy(at)
     pause = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(w).cast("timestamp"))
-    return runs(df.withColumn("_pause", pause), group=group, order=at, breaks=F.col("_pause") > gap_seconds * 1_000_000).drop("_pause")
+    return runs(df.withColumn("_pause", pause), group=group, order=at, breaks=F.col("_pause") > gap_seconds * 1_000_000).drop("_pause").withColumnRenamed("run", "session")
 
 
 def upper_median(values: Column) -> Column:

@@ -61,7 +61,7 @@ def residual_words(source: Column, target: Column, extracted: Column, retained:
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z]+"), F.lit(0)))
     allowed = F.array_union(words(target), F.transform(F.coalesce(retained, F.array().cast("array<string>")), F.lower))
     seen, shown = words(extracted), F.lower(F.coalesce(extracted, F.lit("")))
-    spaced = lambda w: shown.rlike(F.concat(F.lit(r"\b"), F.array_join(F.split(w, "(?<=.)(?=.)"), r"\s*"), F.lit(r"\b")))
+    spaced = lambda w: F.regexp_like(shown, F.concat(F.lit(r"\b"), F.array_join(F.split(w, "(?<=.)(?=.)"), r"\s*"), F.lit(r"\b")))
     return F.array_sort(F.filter(F.array_except(words(source), allowed), lambda w: F.array_contains(seen, w) | spaced(w)))
 
 

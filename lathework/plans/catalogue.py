@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import core_queries, core_sql
+from . import core_queries, core_sql, reference_queries, reference_sql
 
-QUERIES = {**core_queries.QUERIES}
-SQL: dict[str, str] = {**core_sql.SQL}
+QUERIES = {**core_queries.QUERIES, **reference_queries.QUERIES}
+SQL: dict[str, str] = {**core_sql.SQL, **reference_sql.SQL}
