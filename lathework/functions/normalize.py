@@ -113,26 +113,7 @@ def canon_number(c: Column) -> Column:
     return chain(F.lower(chain(F.translate(c, RAISED, RAISED_PLAIN), CANON_BEFORE)), CANON_AFTER)
 
 
-# -- typography -------------------------------------------------------------------------------------------------------
-
-# fixed values: spacing and sign rules for Chinese academic text, in their order
-_MARKS = "，。；：！？、"
-TYPOGRAPHY = [
-    ("\r\n?", "\n"), ("－", "−"), (r"补充表\s*\[(\d+)\]", "补充表$1"), (r"(表|图)\s+\[(\d+)\]", "$1$2"), (r"(?<!\d)-(?=\d)", "−"),
-    (r"(?<!\w)([+\-−]?\d+(?:\.\d+)?)\s*[×xX*]\s*10\s*(?:\^|\*\*)?\s*-(\d+)", "$1 × 10−$2"),
-    (r"(?<!\w)([+\-−]?\d+(?:\.\d+)?)\s*[×xX*]\s*10\s*(?:\^|\*\*)?\s*([+−]?\d+)", "$1 × 10$2"),
-    (r"(?<!\w)([+\-−]?\d+(?:\.\d+)?)\s+%", "$1%"),
-    (r"(?i)(?<!\w)([+\-−]?\d+(?:\.\d+)?)\s*(Hz|kHz|MHz|ms|s|min|h|dB|mV|μV|mm|cm|kg|g)\b", "$1 $2"),
-    (r"SWS\s*[xX*]\s*REM", "SWS×REM"), (r"(?i)%\s*Δ\s*Error", "%ΔError"), (r"(?i)95%\s*CI", "95% CI"), (r"(?iu)β\s*\[\s*SE\s*\]", "β[SE]"),
-    (r"（\s*", "（"), (r"\s*）", "）"), (r"\(\s*([A-Za-z][A-Za-z0-9+−-]*)\s*\)", "（$1）"),
-    (f"(?<=[{CJK}）】])[ \\t]+(?=[{CJK}{_MARKS}（）【】])", ""), (f"(?<=[（【])[ \\t]+(?=[{CJK}A-Za-z0-9%])", ""),
-    (f"(?<=[{_MARKS}）】])[ \\t]+(?=[{CJK}])", ""), (f"(?<=[{CJK}{_MARKS}）】])[ \\t]+(?=[A-Za-zΑ-ω])", ""), (f"(?<=[A-Za-zΑ-ω])[ \\t]+(?=[{CJK}{_MARKS}（【])", ""),
-    (r"[ \t]+\n", "\n"), (r"\n[ \t]+", "\n"), (r"[ \t]{2,}", " "),
-]
-
-
-def chinese_typography(c: Column) -> Column:
-    return chain(c, [("(?U)" + p, r) for p, r in TYPOGRAPHY])
+# -- citations --------------------------------------------------------------------------------------------------------
 
 
 def citation_payload(c: Column) -> Column:

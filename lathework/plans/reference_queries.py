@@ -567,8 +567,8 @@ def semantic_token_kinds(spark, documents):
 
 @query
 def chinese_typography(spark, documents):
-    n = N.chinese_typography(F.col("text"))
-    return documents.select("doc_id", F.sha2(n, 256).alias("digest"), udfs.typography_is_stable(n, N.chinese_typography(n)).alias("stable"))
+    d = documents.select("doc_id", udfs.chinese_typography("text").alias("n"))
+    return d.select("doc_id", F.sha2("n", 256).alias("digest"), udfs.typography_is_stable(F.col("n"), udfs.chinese_typography("n")).alias("stable"))
 
 
 @query
