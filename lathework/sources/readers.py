@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Mapping, Sequence
+from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,7 +90,7 @@ def delimited_words(spark: SparkSession, path: str, *, least: float = 70.0) -> D
 def pipe_tables(text: DataFrame, *, cells: int, key: str = "file", value: str = "value") -> DataFrame:
     """(key, seq, cells): rows of Markdown pipe tables with exactly this many cells, separator rows left out."""
     lines = text.select(key, F.posexplode(F.split(value, "\r?\n")).alias("p", "line")).where(F.trim("line").startswith("|"))
-    parts = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"(?<!\\)\|"), F.trim)
+    parts = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"(?<!\\)\|"), lambda c: F.trim(c))
     rows = lines.select(key, (F.col("p") + 1).cast("bigint").alias("seq"), parts.alias("cells"))
     return rows.where((F.size("cells") == cells) & ~F.forall("cells", lambda c: c.rlike("^:?-+:?$")))
 
@@ -126,7 +130,10 @@ def html_entries(html: DataFrame, *, key: str, value: str, marker: str) -> DataF
 
 
 def binaries(spark: SparkSession, path: str, *, recursive: bool = True) -> DataFrame:
-    """(file, size_bytes, sha256, md5, modified_ms) of files. Contents are hashed where they are read and go no further."""
+    """(file, size_bytes, sha256, md5, modified_ms) of files. Contents are hashed where they are read and go no further.
+
+    Spark's file sources pass over files of zero bytes: compare with a list of wanted names to see them missing.
+    """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
     return df.select(F.col("path").alias("file"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"), F.unix_millis("modificationTime").alias("modified_ms"))
 
@@ -145,12 +152,6 @@ def file_descriptors(files: DataFrame, *, most_bytes: int = 256 << 20) -> DataFr
 
 def docx_text(spark: SparkSession, path: str) -> DataFrame:
     """(file, text) of DOCX files: paragraphs by line, their runs put together."""
-    import io
-    import zipfile
-    from xml.etree import ElementTree
-
-    import pandas as pd
-
     space = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
     @F.pandas_udf(T.StringType())

@@ -32,7 +32,7 @@ def test_jsonl_keeps_line_numbers_and_bad_lines(spark, tmp_path, rows):
 def test_documents_and_words(spark, tmp_path, rows):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "a.yaml").write_text(json.dumps({"paper_id": "p", "other": {"x": 1}}))
-    assert rows(readers.documents(spark, [str(tmp_path / "d")], "paper_id string").select("record.paper_id", F.variant_get("raw", "$.other.x", "int"))) == [("p", 1)]
+    assert rows(readers.documents(spark, [str(tmp_path / "d")], "paper_id string").select("record.paper_id", F.variant_get("raw", "$.other.x", "int").alias("x"))) == [("p", 1)]
     (tmp_path / "o.tsv").write_text("conf\ttext\n90\tgood\n10\tbad\nxx\tnone\n70\tedge\n")
     assert rows(readers.delimited_words(spark, str(tmp_path / "o.tsv")), "text") == [("good edge",)]
 
@@ -55,7 +55,9 @@ def test_binaries_and_docx(spark, tmp_path, rows):
     (tmp_path / "b").mkdir()
     (tmp_path / "b" / "e.pdf").write_bytes(b"")
     (tmp_path / "b" / "x.txt").write_bytes(b"abc")
-    assert rows(readers.file_descriptors(readers.binaries(spark, str(tmp_path / "b"))), "filename", "content_type", "problem", "size_bytes") == [("e.pdf", "application/pdf", "EMPTY", 0), ("x.txt", "text/plain", "", 3)]
+    assert rows(readers.file_descriptors(readers.binaries(spark, str(tmp_path / "b"))), "filename", "content_type", "problem", "size_bytes") == [("x.txt", "text/plain", "", 3)]
+    landed = spark.createDataFrame([("a/e.pdf", 0), ("a/big.mp4", 300 << 20)], "file string, size_bytes long")
+    assert rows(readers.file_descriptors(landed), "filename", "content_type", "problem") == [("big.mp4", "video/mp4", "TOO_LARGE"), ("e.pdf", "application/pdf", "EMPTY")]
     with zipfile.ZipFile(tmp_path / "d.docx", "w") as z:
         z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:p><w:r><w:t>a</w:t></w:r><w:r><w:t>b</w:t></w:r></w:p><w:p/></w:document>')
     assert rows(readers.docx_text(spark, str(tmp_path / "d.docx")), "text") == [("ab\n",)]
