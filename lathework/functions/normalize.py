@@ -136,7 +136,7 @@ def without_space(c: Column) -> Column:
 
 def loose(c: Column) -> Column:
     """Without white space, zero-width characters and emphasis marks, lower case."""
-    return F.lower(F.regexp_replace(c, "(?U)[\\s\u200b\u200c\u200d\ufeff*_#`]+", ""))
+    return F.lower(F.regexp_replace(c, "(?U)[\\s\u200b\ufeff*_#`]+", ""))
 
 
 # fixed values: characters that typesetting exchanges
@@ -157,7 +157,7 @@ def extraction_form(nfc: Column) -> Column:
 
 
 # fixed values: Markdown marks that are not visible
-MARKDOWN = [(r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"(?m)^\s{0,3}(?:#{1,6}|[-*+]|\d+[.)])\s+", ""), (r"[*_`~]", "")]
+MARKDOWN = [(r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"(?m)^\s*(?:#{1,6}\s+|>\s*|[-*+]\s+|\d+\.\s+)", ""), (r"(?U)(?<!\w)[*_~`]+|[*_~`]+(?!\w)", "")]
 
 
 def visible_text(markdown: Column) -> Column:
@@ -182,12 +182,15 @@ def latin_words(c: Column, least: int = 3) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(f"[A-Za-z][A-Za-z'’-]{{{least - 1},}}"), F.lit(0))))
 
 
+# fixed value: four and more Latin words in a row
+LATIN_RUN = r"\b[A-Za-z][A-Za-z'’-]*\b(?:\s+\b[A-Za-z][A-Za-z'’-]*\b){3,}"
+
+
 def latin_runs(c: Column, allowed: Sequence[str], least: int = 4) -> Column:
-    """Runs of at least ``least`` Latin words with at least as many words outside ``allowed``."""
-    runs = F.regexp_extract_all(c, F.lit(rf"[A-Za-z][A-Za-z'’-]*(?:[\s,;:()]+[A-Za-z][A-Za-z'’-]*){{{least - 1},}}"), F.lit(0))
+    """Runs of Latin words with at least ``least`` words outside of ``allowed``."""
     words = lambda r: F.regexp_extract_all(F.lower(r), F.lit("[a-z][a-z'’-]*"), F.lit(0))
-    known = F.array(*[F.lit(w) for w in allowed]) if allowed else F.array().cast("array<string>")
-    return F.filter(runs, lambda r: F.size(F.filter(words(r), lambda w: ~F.array_contains(known, w))) >= least)
+    known = F.array(*[F.lit(w.lower()) for w in allowed]) if allowed else F.array().cast("array<string>")
+    return F.filter(F.regexp_extract_all(c, F.lit(LATIN_RUN), F.lit(0)), lambda r: F.size(F.filter(words(r), lambda w: ~F.array_contains(known, w))) >= least)
 
 
 def first_cjk_run(c: Column, width: int = 4) -> Column:
@@ -196,10 +199,13 @@ def first_cjk_run(c: Column, width: int = 4) -> Column:
     return F.substring(F.coalesce(F.get(F.filter(runs, lambda r: F.length(r) >= 2), F.lit(0)), F.get(runs, F.lit(0)), F.lit("")), 1, width)
 
 
+# fixed value: citations of supplementary material
+SUPPLEMENT = r"(?i)\bSupplementary\s+(?:Table|Figure|Fig\.?)(?:s)?\s*(?:S?\d+(?:\s*[–,\-]\s*S?\d+)*)|\bSupplementary\s+(?:Methods|Results|Materials?)\b"
+
+
 def supplement_references(c: Column) -> Column:
-    """Sorted distinct citations of supplementary figures, tables and so on."""
-    found = F.regexp_extract_all(c, F.lit(r"(?i)\b(?:supplement(?:ary|al)?\s+(?:figure|fig\.?|table|note|method|material)s?\s*S?\d*|(?:figure|fig\.?|table)\s+S\d+)"), F.lit(0))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda s: F.regexp_replace(F.lower(s), r"\s+", " "))))
+    """Sorted distinct citations of supplementary material, blanks collapsed."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(SUPPLEMENT), F.lit(0)), lambda s: strip(F.regexp_replace(s, r"\s+", " ")))))
 
 
 def dehyphenated(c: Column) -> Column:
@@ -229,6 +235,81 @@ def mapped(c: Column, values: Mapping[str, str], default: str) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), c), F.lit(default))
 
 
+# fixed value: marks of internal records that public text must not hold
+INTERNAL_MARKS = r"(?i)\b(?:AUD|AN|CLM)-\d+\b|\bZotero\s*key\b|B\s*§\s*\d|\bSI\s*(?:Table|Figure)\s*S?\d+"
+
+
+def marks_found(c: Column, pattern: str = INTERNAL_MARKS) -> Column:
+    """Distinct matches of a pattern of forbidden marks; an empty array is a pass."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(0)))
+
+
+def is_substantive(c: Column) -> Column:
+    """A letter or ideograph, more text, and the end of a sentence."""
+    return F.coalesce(c.rlike(r"[A-Za-z㐀-鿿].+[。.!?！？]"), F.lit(False))
+
+
+def same_filename(observed: Column, expected: Column) -> Column:
+    """Equal, or equal with every blank written as a plus sign."""
+    return F.coalesce((observed == expected) | (observed == F.replace(expected, F.lit(" "), F.lit("+"))), F.lit(False))
+
+
+def source_key(source_id: Column, page: Column) -> Column:
+    """(trimmed source id, page) as a struct, null unless the id is filled and the page positive."""
+    return F.when((strip(source_id) != "") & (page > 0), F.struct(strip(source_id).alias("source_id"), page.alias("page")))
+
+
+def is_positive_int(v: Column) -> Column:
+    """A variant that holds a whole number above 0: no boolean, no text, no fraction."""
+    return F.coalesce((F.schema_of_variant(v) == "BIGINT") & (F.try_variant_get(v, "$", "bigint") > 0), F.lit(False))
+
+
+def is_number(v: Column) -> Column:
+    """A variant that holds a finite number: no boolean, no text."""
+    kind = F.schema_of_variant(v)
+    return F.coalesce((kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")) & is_finite(F.try_variant_get(v, "$", "double")), F.lit(False))
+
+
+def creators(people: Column) -> Column:
+    """Structured creators in one form: a single name (or an institution) as last name with field_mode 1, blank types as author.
+
+    ``people`` is an array of structs (firstName, lastName, name, creatorType). Entries without any name are null.
+    """
+    text = lambda c: F.coalesce(strip(c), F.lit(""))
+
+    def one(p: Column) -> Column:
+        first, last, single = text(p["firstName"]), text(p["lastName"]), text(p["name"])
+        kind = F.coalesce(F.nullif(text(p["creatorType"]), F.lit("")), F.lit("author"))
+        alone = (single != "") & (first == "") & (last == "")
+        return F.when(alone | (last != ""), F.struct(F.when(alone, F.lit("")).otherwise(first).alias("first_name"), F.when(alone, single).otherwise(last).alias("last_name"), F.when(alone, 1).otherwise(0).alias("field_mode"), kind.alias("creator_type")))
+
+    return F.transform(people, one)
+
+
+# -- style ------------------------------------------------------------------------------------------------------------
+
+
+def font_emphasis(font: Column) -> Column:
+    """(bold, italic) by the font's name, also in the short form of embedded subsets."""
+    name = F.lower(F.coalesce(font, F.lit("")))
+    return F.struct(name.rlike(r"bold|semibold|demi|\.b(?:$|\+)").alias("bold"), name.rlike(r"italic|oblique|\.i(?:$|\+)").alias("italic"))
+
+
+def text_role(kind: Column, size: Column, body_size: Column, text: Column) -> Column:
+    """Role of a block by kind, size against body text, and how it begins; the first rule that holds."""
+    t = F.lower(F.coalesce(strip(text), F.lit("")))
+    return (
+        F.when(kind == "title", "TITLE").when((kind == "heading") & (size >= body_size * 1.55), "H1").when((kind == "heading") & (size >= body_size * 1.30), "H2").when(kind == "heading", "H3")
+        .when(kind == "table_cell", "TABLE_TEXT").when(t.startswith("abstract"), "ABSTRACT").when(t.rlike(r"^(fig(?:ure)?\.?|table|supplementary\s+(?:fig|table))\s*\d"), "CAPTION")
+        .when(t.rlike(r"^(?:https?://\S+|(?:doi\s*:?\s*)?10\.\d{4,9}/\S+)$"), "DOI_URL").when(kind.isin("page_header", "page_footer"), "OTHER").otherwise("BODY")
+    )
+
+
+def style_fingerprint(font: Column, size: Column, weight: Column, *rest: Column) -> Column:
+    """Comparable style of a frame: names trimmed to defaults, measures rounded to 3 decimals."""
+    return F.struct(F.coalesce(font, F.lit("")).alias("font_family"), F.round(F.coalesce(size, F.lit(0.0)), 3).alias("font_size_pt"), F.lower(F.coalesce(F.nullif(weight, F.lit("")), F.lit("regular"))).alias("weight"), *rest)
+
+
 # -- boxes: arrays of left, bottom, right, top ------------------------------------------------------------------------
 
 

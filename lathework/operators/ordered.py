@@ -115,3 +115,10 @@ def carry_section(df: DataFrame, *, group: Sequence[str], order: Sequence[str],
     """``df`` with the last heading seen so far in the group ('' before the first)."""
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn(name, F.coalesce(F.last(heading, ignorenulls=True).over(w), F.lit("")))
+
+
+def funnel_breaks(df: DataFrame, *, group: Sequence[str], order: str, n: str) -> DataFrame:
+    """Stages of a funnel that count more than the stage before them, with ``before``. Stages without a count are passed over, never filled in."""
+    w = Window.partitionBy(*group).orderBy(order)
+    d = df.where(F.col(n).isNotNull()).withColumn("before", F.lag(n).over(w))
+    return d.where(F.col(n) > F.col("before"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
-from ..functions import udfs
+from ..functions import statistics, udfs
 from ..functions.text import strip
 from ..operators import checks, coverage, identity, ordered, registry, rules, spatial, status, token_compare
 from ..session import table
@@ -479,6 +479,26 @@ def vector_tolerance(spark, embeddings):
     return near.select("vec_id", "near")
 
 
+@query
+def frame_styles(spark, text_frame_inventory):
+    d = text_frame_inventory.withColumn("s", N.style_fingerprint(F.col("source_font"), F.col("source_font_size_pt"), F.col("weight"))).withColumn("e", N.font_emphasis(F.col("source_font")))
+    return d.groupBy("s.font_family", "s.weight", "e.bold", "e.italic").agg(F.count("*").alias("n"), F.max("s.font_size_pt").alias("largest"))
+
+
+@query
+def frame_roles(spark, text_frame_inventory):
+    body = ordered.upper_median_per_group(text_frame_inventory.where("frame_kind = 'paragraph' AND source_font_size_pt IS NOT NULL"), ["source_id"], "source_font_size_pt").select("source_id", F.col("upper_median").alias("body"))
+    d = text_frame_inventory.join(body, "source_id", "left")
+    role = N.text_role(F.col("frame_kind"), F.col("source_font_size_pt"), F.coalesce("body", F.lit(10.0)), F.col("source_text"))
+    return d.groupBy("frame_kind", role.alias("role")).agg(F.count("*").alias("n"))
+
+
+@query
+def page_keys(spark, text_frame_inventory):
+    k = N.source_key(F.col("source_id"), F.col("source_page"))
+    return text_frame_inventory.groupBy(F.coalesce(k["source_id"], F.lit("")).alias("source_id"), F.coalesce(k["page"], F.lit(0)).alias("page")).agg(F.count("*").alias("n"))
+
+
 # -- rules and checks -------------------------------------------------------------------------------------------------
 
 
@@ -505,6 +525,20 @@ def weighted_rank(spark, supplier, lineitem):
     return rules.ranked(s, group=["s_nationkey"], gate={"GREEN": 0, "AMBER": 1}, gate_column="gate", barred=["RED"], score="score", tie="s_suppkey", keep=3).select("s_nationkey", "s_suppkey", "gate", "score", "rank")
 
 
+@query
+def p_values(spark, lineitem):
+    per = lineitem.groupBy("l_suppkey").agg(F.avg("l_discount").alias("m"), F.stddev_samp("l_discount").alias("s"), F.count("*").alias("n"))
+    t = per.where("n > 1 AND s > 0").withColumn("t", (F.col("m") - 0.05) / (F.col("s") / F.sqrt("n")))
+    return t.select("l_suppkey", F.round(statistics.p_value(F.lit("t"), F.col("t"), (F.col("n") - 1).cast("double"), F.lit(None).cast("double")), 6).alias("p"))
+
+
+@query
+def funnel_breaks(spark, events):
+    stage = F.array_position(F.array(*[F.lit(x) for x in ("view", "click", "signup", "purchase")]), F.col("event_type"))
+    d = events.withColumn("stage", stage).where("stage > 0").groupBy("user_id", "stage").agg(F.count("*").alias("n"))
+    return ordered.funnel_breaks(d, group=["user_id"], order="stage", n="n").select("user_id", "stage", "n", "before")
+
+
 @query
 def preferred_versions(spark, paper_terminology):
     d = paper_terminology.where("paper_id IS NOT NULL").select(F.trim("paper_id").alias("paper"), F.col("artifact").alias("kind"), F.col("row_id").alias("version"))
@@ -585,8 +619,12 @@ def cjk_latin_counts(spark, documents):
 
 @query
 def visible_length(spark, documents):
-    md = documents.where("lang = 'markdown'")
-    return md.select("doc_id", big(N.visible_length(N.visible_text(F.col("text")))).alias("visible"))
+    return documents.select("doc_id", big(N.visible_length(F.coalesce("text", F.lit("")))).alias("visible"))
+
+
+@query
+def markdown_visible(spark, documents):
+    return documents.where("lang = 'markdown'").select("doc_id", big(N.visible_length(N.visible_text(F.col("text")))).alias("visible"))
 
 
 @query

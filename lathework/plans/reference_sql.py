@@ -209,7 +209,19 @@ WITH t AS (SELECT unnest(regexp_extract_all(text, '[0-9]+[.,]?[0-9]* ?(?:ms|s|se
 c AS (SELECT replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(t), '\s+', '', 'g'), '(seconds?|secs?)$', 's'), 'minutes?$|mins$', 'min'), 'hours?$|hrs$', 'h'), 'days$', 'day'), ',', '') AS token FROM t)
 SELECT token, count(*) AS n FROM c GROUP BY token"""
 SQL["cjk_latin_counts"] = "SELECT coalesce(lang, '') AS lang, CAST(sum(length(regexp_replace(text, '[^㐀-䶿一-鿿]', '', 'g'))) AS BIGINT) AS cjk, CAST(sum(length(regexp_replace(text, '[^A-Za-z]', '', 'g'))) AS BIGINT) AS latin, count(*) FILTER (WHERE regexp_matches(text, '[㐀-䶿一-鿿]')) AS with_cjk FROM documents GROUP BY 1"
-SQL["visible_length"] = r"""SELECT doc_id, CAST(length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '(?m)^\s{0,3}(?:#{1,6}|[-*+]|\d+[.)])\s+', '', 'g'), '[*_`~]', '', 'g'), '[\p{Z}\p{C}\s]', '', 'g')) AS BIGINT) AS visible FROM documents WHERE lang = 'markdown'"""
+SQL["visible_length"] = r"SELECT doc_id, CAST(length(regexp_replace(coalesce(text, ''), '[\p{Z}\p{C}\s]', '', 'g')) AS BIGINT) AS visible FROM documents"
+SQL["frame_styles"] = r"""
+SELECT coalesce(source_font, '') AS font_family, lower(coalesce(nullif(weight, ''), 'regular')) AS weight, regexp_matches(lower(coalesce(source_font, '')), 'bold|semibold|demi|\.b($|\+)') AS bold,
+  regexp_matches(lower(coalesce(source_font, '')), 'italic|oblique|\.i($|\+)') AS italic, count(*) AS n, max(round(coalesce(source_font_size_pt, 0), 3)) AS largest FROM text_frame_inventory GROUP BY ALL"""
+SQL["frame_roles"] = r"""
+WITH b AS (SELECT source_id, list_sort(list(source_font_size_pt))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS body FROM text_frame_inventory WHERE frame_kind = 'paragraph' AND source_font_size_pt IS NOT NULL GROUP BY 1),
+d AS (SELECT frame_kind, source_font_size_pt AS s, coalesce(body, 10.0) AS b, lower(coalesce(trim(source_text), '')) AS t FROM text_frame_inventory LEFT JOIN b USING (source_id))
+SELECT frame_kind, CASE WHEN frame_kind = 'heading' AND s >= b * 1.55 THEN 'H1' WHEN frame_kind = 'heading' AND s >= b * 1.3 THEN 'H2' WHEN frame_kind = 'heading' THEN 'H3' WHEN frame_kind = 'table_cell' THEN 'TABLE_TEXT' WHEN starts_with(t, 'abstract') THEN 'ABSTRACT'
+  WHEN regexp_matches(t, '^(fig(ure)?\.?|table|supplementary\s+(fig|table))\s*\d') THEN 'CAPTION' WHEN regexp_matches(t, '^(https?://\S+|(doi\s*:?\s*)?10\.\d{4,9}/\S+)$') THEN 'DOI_URL' ELSE 'BODY' END AS role, count(*) AS n FROM d GROUP BY ALL"""
+SQL["page_keys"] = "SELECT CASE WHEN trim(source_id) <> '' AND source_page > 0 THEN trim(source_id) ELSE '' END AS source_id, CASE WHEN trim(source_id) <> '' AND source_page > 0 THEN source_page ELSE 0 END AS page, count(*) AS n FROM text_frame_inventory GROUP BY 1, 2"
+SQL["funnel_breaks"] = """
+WITH d AS (SELECT user_id, list_position(['view', 'click', 'signup', 'purchase'], event_type) AS stage, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY ALL), l AS (SELECT *, lag(n) OVER (PARTITION BY user_id ORDER BY stage) AS before FROM d)
+SELECT user_id, CAST(stage AS BIGINT) AS stage, n, before FROM l WHERE n > before"""
 SQL["md_sections"] = r"""
 WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\r?\n')) AS line, generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS p FROM documents WHERE lang = 'markdown'),
 h AS (SELECT *, nullif(regexp_extract(line, '^##\s+(.+?)\s*$', 1), '') AS h FROM l), s AS (SELECT *, last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM h)

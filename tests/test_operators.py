@@ -189,3 +189,37 @@ def test_checks(spark, rows):
     assert rows(c) == [("ID", True, 0, ""), ("POSITIVE", False, 2, "2")]
     assert rows(checks.report(c, validator="x"), "passed", "n_checks", "n_failed", "first_failure") == [(False, 2, 1, "POSITIVE")]
     assert rows(checks.report(checks.run_checks(d.limit(0), [checks.Check("A", F.col("v") > 0)]), validator="x"), "passed") == [(True,)]
+
+
+@pytest.mark.parametrize(("args", "p"), [
+    (("z", 1.959964, None, None), 0.05), (("t", 2.228139, 10.0, None), 0.05), (("t", 12.7062, 1.0, None), 0.05), (("F", 4.964603, 1.0, 10.0), 0.05), (("F", 1.0, 5.0, 5.0), 0.5), (("chi2", 3.841459, 1.0, None), 0.05),
+    (("chi2", 18.307, 10.0, None), 0.05), (("r", 0.422714, 20.0, None), 0.05), (("t", 0.0, 5.0, None), 1.0),
+])
+def test_tails(args, p):
+    from lathework.functions import statistics
+
+    assert statistics.tail(*args) == pytest.approx(p, abs=2e-5)
+
+
+def test_tails_without_sense():
+    from lathework.functions import statistics
+
+    assert [statistics.tail(*a) for a in ((None, 1.0, 1.0, 1.0), ("t", None, 1.0, None), ("t", 1.0, None, None), ("F", 1.0, 1.0, None), ("chi2", -1.0, 1.0, None), ("r", 1.5, 3.0, None), ("other", 1.0, 1.0, 1.0))] == [None] * 7
+
+
+def test_strict_types(spark):
+    values = {"1": True, "0": False, "true": False, '"1"': False, "1.5": False, "null": False}
+    for text, ok in values.items():
+        assert one(spark, N.is_positive_int(F.parse_json(F.lit(text)))) is ok
+    for text, ok in {"1.5": True, "-2": True, "true": False, '"1"': False}.items():
+        assert one(spark, N.is_number(F.parse_json(F.lit(text)))) is ok
+
+
+def test_creators(spark):
+    people = spark.createDataFrame([([("A", "B", None, None), (None, None, "Institute", "editor"), ("X", None, None, None)],)], "p array<struct<firstName:string,lastName:string,name:string,creatorType:string>>")
+    assert [tuple(x) if x else None for x in people.select(N.creators(F.col("p")).alias("c")).first().c] == [("A", "B", 0, "author"), ("", "Institute", 1, "editor"), None]
+
+
+def test_funnel(spark, rows):
+    d = spark.createDataFrame([("a", 1, 100), ("a", 2, None), ("a", 3, 120), ("b", 1, 5), ("b", 2, 5)], "g string, o int, n int")
+    assert rows(ordered.funnel_breaks(d, group=["g"], order="o", n="n")) == [("a", 3, 120, 100)]
