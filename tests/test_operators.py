@@ -45,7 +45,7 @@ def test_semantic_tokens_cover_the_text():
 
 def test_html_and_visible_text(spark):
     assert udfs.html_text("<p>a &amp; b<br>c</p>") == "a & b c"
-    assert one(spark, N.visible_text(F.col("x")), x="# A **b** [c](d) ![e](f)") == "A b c "
+    assert one(spark, N.visible_text(F.col("x")), x="# A **b** [c](d) ![e](f)") == "A b c e"
     assert one(spark, N.visible_length(F.col("x")), x="a　b​c ") == 3
 
 
