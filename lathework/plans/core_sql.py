@@ -94,4 +94,59 @@ found AS (SELECT ref_table, ref_field, row_id, reason, strftime(t, '%Y-%m') AS r
 P5_FOUND = _P5 + "SELECT * FROM found"
 P5_REPORT = _P5 + "SELECT ref_table, ref_field, ref_month, reason, count(*) AS n_orphans FROM found GROUP BY ALL"
 
-SQL = {"p1_found": P1_FOUND, "p4_found": P4_FOUND, "p4_versions": P4_VERSIONS, "p5_found": P5_FOUND, "p5_report": P5_REPORT}
+_SEPARATORS = ";；,，、､|｜/／\\n\\r"
+
+
+def _packed(field: str, blanks: str) -> str:
+    # a value is a run of quoted parts, bracketed parts and characters that neither separate nor open; brackets hold no brackets here
+    item = rf'(?:"(?:[^"]|"")*"|“[^”]*”|\([^()（）]*\)|（[^()（）]*）|[^{_SEPARATORS}{blanks}"“(（])+'
+    return f"""
+  SELECT row_id, '{field}' AS field_name, CASE WHEN starts_with(trim({field}), '[') AND json_valid({field}) THEN list_transform(json_extract_string({field}, '$[*]'), lambda x: trim(x))
+    ELSE list_transform(regexp_extract_all({field}, '{item}'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) END AS items FROM terminology_registry WHERE {field} IS NOT NULL"""
+
+
+P2_FOUND = (
+    "WITH raw AS (" + _packed("evidence_ids", " \\t") + " UNION ALL " + _packed("alternative_chinese", "") + r"""),
+plain AS (SELECT row_id, field_name, list_filter(list_transform(items, lambda x: CASE WHEN length(x) > 1 AND x[1] = '"' AND x[-1] = '"' THEN trim(replace(x[2:-2], '""', '"'))
+  WHEN length(x) > 1 AND x[1] = '“' AND x[-1] = '”' THEN trim(x[2:-2]) ELSE x END), lambda x: x <> '') AS items FROM raw)
+SELECT row_id, field_name, CAST(pos AS BIGINT) AS pos_no, items[pos] AS item_text FROM (SELECT *, unnest(range(1, len(items) + 1)) AS pos FROM plain)"""
+)
+
+
+def _elements(j: str) -> str:
+    return f"CASE WHEN {j} IS NULL OR json_type({j}) = 'NULL' THEN [] WHEN json_type({j}) = 'ARRAY' THEN json_extract({j}, '$[*]') ELSE [{j}] END"
+
+
+def _text(j: str) -> str:
+    return f"CASE WHEN {j} IS NULL OR json_type({j}) = 'NULL' THEN '' ELSE {j} ->> '$' END"
+
+
+P3_FOUND = f"""
+WITH b AS (SELECT DISTINCT map_id, CAST(body AS JSON) AS body FROM c_source_map WHERE json_valid(body)),
+places AS (
+  SELECT map_id, 0 AS part, (body -> 'paragraphs') AS p FROM b UNION ALL SELECT map_id, 1, ((body -> 'review') -> 'paragraphs') FROM b
+  UNION ALL SELECT map_id, 1 + i, (sections[i] -> 'paragraphs') FROM (SELECT map_id, sections, unnest(range(1, len(sections) + 1)) AS i FROM (SELECT map_id, {_elements("(body -> 'sections')")} AS sections FROM b))),
+decoded AS (SELECT map_id, part, CASE WHEN json_type(p) = 'VARCHAR' AND json_valid((p ->> '$')) THEN CAST((p ->> '$') AS JSON) ELSE p END AS p FROM places WHERE p IS NOT NULL),
+lists AS (SELECT map_id, part, {_elements('p')} AS ps FROM decoded),
+paragraphs AS (SELECT map_id, ps[i] AS p, row_number() OVER (PARTITION BY map_id ORDER BY part, i) AS pn FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM lists)),
+claim_lists AS (SELECT map_id, pn, {_text("(p -> 'paragraph_index')")} AS paragraph_index, {_elements("(p -> 'claims')")} AS cs FROM paragraphs),
+claims AS (SELECT map_id, pn, paragraph_index, cn, {_text("(c -> 'source_class')")} AS source_class, {_elements("(c -> 'source_anchor')")} AS ans
+  FROM (SELECT *, cs[cn] AS c FROM (SELECT *, unnest(range(1, len(cs) + 1)) AS cn FROM claim_lists))),
+anchors AS (SELECT map_id, pn, paragraph_index, cn, source_class, n, ans[n] AS a FROM (SELECT *, unnest(range(1, len(ans) + 1)) AS n FROM claims)),
+found AS (
+  SELECT map_id, pn AS paragraph_no, paragraph_index, cn AS claim_no, source_class, n AS anchor_no, CASE WHEN json_type(a) = 'VARCHAR' THEN a ->> '$' ELSE {_text("(a -> 'section')")} END AS anchor FROM anchors
+  UNION ALL SELECT map_id, pn, paragraph_index, cn, source_class, 0, '' FROM claims WHERE len(ans) = 0
+  UNION ALL SELECT map_id, pn, paragraph_index, 0, '', 0, '' FROM claim_lists WHERE len(cs) = 0)
+SELECT map_id, CAST(paragraph_no AS BIGINT) AS paragraph_no, paragraph_index, CAST(claim_no AS BIGINT) AS claim_no, source_class, CAST(anchor_no AS BIGINT) AS anchor_no, anchor FROM found"""
+
+_P4_ATTRIBUTE = """
+  SELECT workspace_id, term_id, '{0}' AS attribute, any_value({0}) AS value, min(snapshot_date) AS a, max(snapshot_date) AS z, count(*) > count(next_date) AS o, max(next_date) AS n
+  FROM (SELECT *, sum(opens) OVER (PARTITION BY workspace_id, term_id ORDER BY seq) AS r FROM (
+    SELECT *, CASE WHEN lag(seq) OVER w = seq - 1 AND lag({0}) OVER w = {0} THEN 0 ELSE 1 END AS opens FROM present WINDOW w AS (PARTITION BY workspace_id, term_id ORDER BY seq)))
+  GROUP BY workspace_id, term_id, r"""
+P4_ATTRIBUTE_LOG = (
+    _P4_RUNS[: _P4_RUNS.index("marked AS (")] + "logs AS (" + " UNION ALL ".join(_P4_ATTRIBUTE.format(a) for a in ("status", "first_verified", "last_verified", "preferred_chinese")) + ")"
+    + " SELECT workspace_id, term_id, attribute, value, strftime(a, '%Y-%m-%d') AS valid_from, CASE WHEN o THEN '' ELSE strftime(n, '%Y-%m-%d') END AS valid_to FROM logs"
+)
+
+SQL = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p4_attribute_log": P4_ATTRIBUTE_LOG, "p4_versions": P4_VERSIONS, "p5_found": P5_FOUND, "p5_report": P5_REPORT}
