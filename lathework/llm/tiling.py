@@ -62,6 +62,16 @@ class Items:
         order = np.argsort(self.hash, kind="stable")
         self.hash, self.item, self.at = self.hash[order], self.item[order], self.at[order]
 
+    def state(self) -> dict:
+        """The parts as plain values: what is broadcast needs no class on the workers."""
+        return dict(vars(self))
+
+    @classmethod
+    def of(cls, state: dict) -> Items:
+        items = cls.__new__(cls)
+        vars(items).update(state)
+        return items
+
     def seeds(self, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(item, positions in the document, positions in the item) of all shared seeds, item by item."""
         known = doc >= 0
@@ -140,7 +150,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, min_words: int = MIN_WORDS, min_
     out = None
     for b in range(blocks):
         block = sized.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        shared = spark.sparkContext.broadcast(Items([(r.item_id, r.item_text) for r in block.collect()], min_words))
+        shared = spark.sparkContext.broadcast(Items([(r.item_id, r.item_text) for r in block.collect()], min_words).state())
         part = texts.mapInPandas(_search(shared, min_words, min_coverage), LEAKS)
         out = part if out is None else out.unionByName(part)
     return out
@@ -148,7 +158,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, min_words: int = MIN_WORDS, min_
 
 def _search(shared, k: int, min_coverage: float):  # noqa: ANN001, ANN202
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items: Items = shared.value
+        items = Items.of(shared.value)
         known = items.vocabulary
         for pdf in batches:
             rows = []
