@@ -105,6 +105,8 @@ def typed_nodes(df: DataFrame, *, key: str, body: str, types: RecordTypes) -> Da
         names = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
         for pdf in batches:
             rows = []
+            # a body delivered again and again goes on to the shuffle once a batch
+            pdf = pdf.drop_duplicates(["key_id", "body_key"])
             for key_id, body_key, text in zip(pdf["key_id"], pdf["body_key"], pdf["body"]):
                 try:
                     root = json.loads(text)
