@@ -25,11 +25,11 @@ def coverage(expected: DataFrame, found: DataFrame, keys: Sequence[str], compare
     return j.select(*[F.coalesce(f"_e{i}", f"_f{i}").alias(k) for i, k in enumerate(keys)], "issue", F.when(F.col("issue") == "MISMATCH", F.array_join("_d", ",")).otherwise("").alias("differing"))
 
 
-def missing_numbers(df: DataFrame, group: Sequence[str], number: str, *, first: int = 1, last: Column | None = None) -> DataFrame:
-    """(group, number): numbers from ``first`` to the group's ``last`` (default: its greatest) that no row has."""
-    per = df.groupBy(*group).agg((F.max(number) if last is None else F.max(last)).alias("_n"), F.collect_set(number).alias("_have"))
-    want = F.when(F.col("_n") >= first, F.sequence(F.lit(first), F.col("_n").cast("int"))).otherwise(F.array().cast("array<int>"))
-    return per.select(*group, F.explode(F.array_except(want, F.transform("_have", lambda x: x.cast("int")))).alias(number))
+def missing_numbers(df: DataFrame, group: Sequence[str], number: str, *, first: int = 1) -> DataFrame:
+    """(group, number): numbers from ``first`` to the group's greatest that no row has. Only the gaps are written out, never a whole group."""
+    d = df.where(F.col(number) >= first).select(*group, F.col(number).cast("bigint").alias(number)).distinct()
+    d = d.withColumn("_from", F.coalesce(F.lag(number).over(Window.partitionBy(*group).orderBy(number)) + 1, F.lit(first).cast("bigint")))
+    return d.where(F.col(number) > F.col("_from")).select(*group, F.explode(F.sequence("_from", F.col(number) - 1)).alias(number))
 
 
 def is_sequence(df: DataFrame, group: Sequence[str], number: str) -> DataFrame:

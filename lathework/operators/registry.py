@@ -49,22 +49,20 @@ def evidence_state(events: DataFrame, *, key: Column, target: Column, kind: str,
     """Fold of an event log in the order of ``order``: (id, payload, updated, state).
 
     ADD (or no type) sets the record and starts it anew; DEPRECATE and UPDATE_SUPPORTS change an existing record; others change
-    nothing; events on unknown targets or before the last ADD are lost. No ordered collection: the last ADD first, then
-    what came after it.
+    nothing; events on unknown targets or before the last ADD are lost. A single aggregation, combined before the shuffle: what
+    came last of each kind, and whether that was after the last ADD.
     """
     is_add = F.coalesce(F.col(kind), F.lit("ADD")) == "ADD"
     e = events.withColumn("_add", is_add).withColumn("_id", F.nullif(strip(F.when(is_add, key).otherwise(target)), F.lit(""))).where("_id IS NOT NULL")
-    added = e.where("_add").groupBy("_id").agg(F.max_by(F.struct(*payload, F.col(updated), F.col("status")), order).alias("_r"), F.max(order).alias("_at"))
-    later = e.where("NOT _add").select("_id", F.col(order).alias("_o"), F.col(kind).alias("_k"), F.col(update).alias("_u"))
-    j = added.join(later, "_id", "left")
-    after = F.col("_o") > F.col("_at")
-    fold = j.groupBy("_id").agg(
-        F.first("_r").alias("_r"), F.coalesce(F.bool_or(after & (F.col("_k") == "DEPRECATE")), F.lit(False)).alias("_gone"),
-        F.max_by("_u", F.when(after & (F.col("_k") == "UPDATE_SUPPORTS"), F.col("_o"))).alias("_new"),
-    )
+    last = lambda when: F.when(when, F.col(order))
+    deprecates, updates = F.col(kind) == "DEPRECATE", F.col(kind) == "UPDATE_SUPPORTS"
+    fold = e.groupBy("_id").agg(
+        F.max_by(F.struct(*payload, F.col(updated), F.col("status")), last(F.col("_add"))).alias("_r"), F.max(last(F.col("_add"))).alias("_at"),
+        F.max(last(deprecates)).alias("_dep"), F.max(last(updates)).alias("_upd"), F.max_by(F.struct(F.col(update).alias("v")), last(updates)).alias("_new"),
+    ).where("_at IS NOT NULL")
     return fold.select(
-        F.col("_id").alias("id"), *[F.col(f"_r.{p}") for p in payload], F.coalesce("_new", F.col(f"_r.{updated}")).alias(updated),
-        F.when(F.col("_gone"), "DEPRECATED").otherwise(F.coalesce(F.col("_r.status"), F.lit("ACTIVE"))).alias("state"),
+        F.col("_id").alias("id"), *[F.col(f"_r.{p}") for p in payload], F.coalesce(F.when(F.col("_upd") > F.col("_at"), F.col("_new.v")), F.col(f"_r.{updated}")).alias(updated),
+        F.when(F.col("_dep") > F.col("_at"), "DEPRECATED").otherwise(F.coalesce(F.col("_r.status"), F.lit("ACTIVE"))).alias("state"),
     )
 
 
@@ -99,8 +97,10 @@ def record_usage(registry: DataFrame, uses: DataFrame, *, key: str = "term_id")
 def term_choices(terms: DataFrame, registry: DataFrame) -> DataFrame:
     """(paper_id, term_id, issue) of a paper's terms against the registry: UNKNOWN id, or PREFERRED wording that differs."""
     r = registry.groupBy(F.upper(strip(F.col("term_id"))).alias("_id")).agg(F.collect_set(strip(F.col("preferred_chinese"))).alias("_ok"))
-    j = terms.where("term_id IS NOT NULL AND trim(term_id) <> ''").withColumn("_id", F.upper(strip(F.col("term_id")))).join(r, "_id", "left")
-    issue = F.when(F.col("_ok").isNull(), "UNKNOWN").when(~F.array_contains("_ok", F.coalesce(strip(F.col("preferred_chinese")), F.lit(""))), "PREFERRED")
+    # distinct wordings first: a term used everywhere is few rows when it meets the registry
+    used = terms.where("term_id IS NOT NULL AND trim(term_id) <> ''").select("paper_id", F.upper(strip(F.col("term_id"))).alias("_id"), F.coalesce(strip(F.col("preferred_chinese")), F.lit("")).alias("_w")).distinct()
+    j = used.join(r, "_id", "left")
+    issue = F.when(F.col("_ok").isNull(), "UNKNOWN").when(~F.array_contains("_ok", F.col("_w")), "PREFERRED")
     return j.withColumn("issue", issue).where("issue IS NOT NULL").select("paper_id", F.col("_id").alias("term_id"), "issue").distinct()
 
 
