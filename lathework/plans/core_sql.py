@@ -45,6 +45,12 @@ changes AS (
 SELECT DISTINCT file_id, change, old_field, new_field FROM changes JOIN files USING (workspace_id, seq)
 """
 
+P1_VERSIONS = P1_FOUND[: P1_FOUND.index("schemas AS (")] + r"""
+fields AS (SELECT workspace_id, file_id, seq, field, bit_or(CASE kind WHEN 'NULL' THEN 0 WHEN 'VARCHAR' THEN 1 WHEN 'BOOLEAN' THEN 4 WHEN 'ARRAY' THEN 8 WHEN 'OBJECT' THEN 16 ELSE 2 END) AS kinds FROM entries GROUP BY ALL),
+prints AS (SELECT workspace_id, file_id, seq, count(*) AS n_fields, sha256('[' || string_agg('{"field":' || to_json(field) || ',"kinds":' || kinds || '}', ',' ORDER BY field) || ']') AS fingerprint FROM fields GROUP BY ALL),
+marked AS (SELECT *, lag(fingerprint) OVER (PARTITION BY workspace_id ORDER BY seq) AS p FROM prints)
+SELECT workspace_id, row_number() OVER (PARTITION BY workspace_id ORDER BY seq) AS version, fingerprint, file_id, n_fields FROM marked WHERE p IS NULL OR p <> fingerprint"""
+
 _TRIM = r"regexp_replace(coalesce({0}, ''), '^\s+|\s+$', '', 'g')"
 
 _P4_RUNS = f"""
@@ -149,4 +155,4 @@ P4_ATTRIBUTE_LOG = (
     + " SELECT workspace_id, term_id, attribute, value, strftime(a, '%Y-%m-%d') AS valid_from, CASE WHEN o THEN '' ELSE strftime(n, '%Y-%m-%d') END AS valid_to FROM logs"
 )
 
-SQL = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p4_attribute_log": P4_ATTRIBUTE_LOG, "p4_versions": P4_VERSIONS, "p5_found": P5_FOUND, "p5_report": P5_REPORT}
+SQL = {"p1_found": P1_FOUND, "p1_versions": P1_VERSIONS, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p4_attribute_log": P4_ATTRIBUTE_LOG, "p4_versions": P4_VERSIONS, "p5_found": P5_FOUND, "p5_report": P5_REPORT}

@@ -243,3 +243,13 @@ SQL["anchor_locate"] = """
 WITH b AS (SELECT source_id, source_page, reading_order, arg_max(source_text, row_id) AS text FROM text_frame_inventory WHERE source_id IS NOT NULL AND source_text IS NOT NULL GROUP BY ALL)
 SELECT coalesce(trim(split_part(source_text, ',', 1)) <> '' AND contains(replace(text, ' ', ''), replace(split_part(source_text, ',', 1), ' ', '')), false) AS located, count(*) AS n
 FROM text_frame_inventory LEFT JOIN b USING (source_id, source_page, reading_order) WHERE source_id IS NOT NULL GROUP BY 1"""
+
+SQL["html_plain"] = r"SELECT seq, trim(regexp_replace(coalesce(source, '') || ' a & b', '\s+', ' ', 'g')) AS text FROM terminology_evidence"
+SQL["pipe_rows"] = r"""
+WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\r?\n')) AS line, generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS seq FROM documents WHERE lang = 'markdown'),
+c AS (SELECT doc_id, seq, list_transform(string_split(regexp_replace(trim(line, ' '), '^\||\|$', '', 'g'), '|'), lambda x: trim(x, ' ')) AS cells FROM l WHERE starts_with(trim(line, ' '), '|'))
+SELECT doc_id, CAST(seq AS BIGINT) AS seq, array_to_string(cells, '¦') AS cells FROM c WHERE len(cells) = 3 AND len(list_filter(cells, lambda x: NOT regexp_matches(x, '^:?-+:?$'))) > 0"""
+SQL["supplement_citations"] = r"""
+WITH f AS (SELECT map_id, body, unnest(list_distinct(list_transform(regexp_extract_all(body || ' see Supplementary Table S2 and Figure S1',
+  '(?i)\bSupplementary\s+(?:Table|Figure|Fig\.?)(?:s)?\s*(?:S?\d+(?:\s*[–,\-]\s*S?\d+)*)|\bSupplementary\s+(?:Methods|Results|Materials?)\b'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))))) AS citation FROM c_source_map)
+SELECT citation, count(*) AS n FROM f GROUP BY citation"""
