@@ -77,6 +77,25 @@ def judged_groups(refs: DataFrame, periods: DataFrame, total: int) -> DataFrame:
     return g.select("ref_table", "ref_field", "key", "ref_month", "n", "heavy", "verdict", F.when(mixed, F.col("first_at")).alias("first_at"), F.when(mixed, F.col("periods")).alias("periods"))
 
 
+def _notable(refs: DataFrame, periods: DataFrame, total: int) -> DataFrame:
+    return materialize(judged_groups(refs, periods, total).where("heavy OR verdict <> 'OK'"), "orphan-groups")
+
+
+_GROUP = ["ref_table", "ref_field", "key", "ref_month"]
+
+
+def _rows_of(refs: DataFrame, notable: DataFrame, wanted: str) -> DataFrame:
+    """Orphan rows of the notable groups that fulfil ``wanted``: heavy keys by broadcast, all others by shuffle."""
+    heavy_keys = F.broadcast(notable.where("heavy").select("ref_field", "key").distinct())
+    bad = notable.where(wanted).select(*_GROUP, "verdict", "first_at", "periods", "heavy")
+    light = refs.join(heavy_keys, ["ref_field", "key"], "left_anti").join(bad.where("NOT heavy").drop("heavy"), _GROUP)
+    heavy = refs.join(F.broadcast(bad.where("heavy").drop("heavy")), _GROUP)
+    alive = F.exists("periods", lambda p: (p["start"] <= F.col("at")) & (p["stop"].isNull() | (p["stop"] > F.col("at"))))
+    reason = F.when(F.col("verdict") != "MIXED", F.col("verdict")).when(F.col("at") < F.col("first_at"), "LATE").when(~alive, "DELETED")
+    found = light.unionByName(heavy).withColumn("reason", reason).where("reason IS NOT NULL")
+    return found.select("ref_table", "ref_field", "row_id", "reason", "ref_month")
+
+
 def orphans(refs: DataFrame, periods: DataFrame, total: int) -> DataFrame:
     """Every orphan reference: (ref_table, ref_field, row_id, reason, ref_month).
 
@@ -84,13 +103,12 @@ def orphans(refs: DataFrame, periods: DataFrame, total: int) -> DataFrame:
     at the reference time (inclusive). Empty inputs give an empty result; a repeated reference row
     counts once per row id. ``total`` is the number of references, for the heavy-key threshold.
     """
-    notable = materialize(judged_groups(refs, periods, total).where("heavy OR verdict <> 'OK'"), "orphan-groups")
-    join = ["ref_table", "ref_field", "key", "ref_month"]
-    heavy_keys = F.broadcast(notable.where("heavy").select("ref_field", "key").distinct())
-    bad = notable.where("verdict <> 'OK'").select(*join, "verdict", "first_at", "periods", "heavy")
-    light = refs.join(heavy_keys, ["ref_field", "key"], "left_anti").join(bad.where("NOT heavy").drop("heavy"), join)
-    heavy = refs.join(F.broadcast(bad.where("heavy").drop("heavy")), join)
-    alive = F.exists("periods", lambda p: (p["start"] <= F.col("at")) & (p["stop"].isNull() | (p["stop"] > F.col("at"))))
-    reason = F.when(F.col("verdict") != "MIXED", F.col("verdict")).when(F.col("at") < F.col("first_at"), "LATE").when(~alive, "DELETED")
-    found = light.unionByName(heavy).withColumn("reason", reason).where("reason IS NOT NULL")
-    return found.select("ref_table", "ref_field", "row_id", "reason", "ref_month")
+    return _rows_of(refs, _notable(refs, periods, total), "verdict <> 'OK'")
+
+
+def orphan_counts(refs: DataFrame, periods: DataFrame, total: int) -> DataFrame:
+    """(ref_table, ref_field, ref_month, reason, n_orphans): counts of groups judged as a whole, and of the rows of mixed groups, united."""
+    notable = _notable(refs, periods, total)
+    whole = notable.where("verdict NOT IN ('OK', 'MIXED')").groupBy("ref_table", "ref_field", "ref_month", F.col("verdict").alias("reason")).agg(F.sum("n").alias("n"))
+    single = _rows_of(refs, notable, "verdict = 'MIXED'").groupBy("ref_table", "ref_field", "ref_month", "reason").agg(F.count("*").alias("n"))
+    return whole.unionByName(single).groupBy("ref_table", "ref_field", "ref_month", "reason").agg(F.sum("n").alias("n_orphans"))

@@ -209,8 +209,8 @@ def split_values(cells: DataFrame, *, max_dictionary_bytes: int = MAX_DICTIONARY
 
     ``kind`` is "ids" where blanks separate too, else "text". pos_no counts the non-empty values
     from 1; repeated values stay; null and blank cells give no row. The dictionary is broadcast
-    only if its measured size is within ``max_dictionary_bytes``; a larger one is cut into shards,
-    each cell meets every shard, and the spans found are gathered per cell before the cover.
+    only if its measured size is within ``max_dictionary_bytes``; a larger one is cut into shards of
+    that size, each searched in all cells, and the spans found are gathered per cell before the cover.
     """
     cells = cells.where("cell IS NOT NULL AND trim(cell) <> ''").select("row_id", "field_name", "kind", "cell")
     dictionary = materialize(learn_dictionary(cells), "known-values")
@@ -231,18 +231,14 @@ def split_values(cells: DataFrame, *, max_dictionary_bytes: int = MAX_DICTIONARY
 
         return cells.mapInPandas(whole, schema)
 
+    # each shard of the dictionary is broadcast in its turn and searched in all cells; spans meet again by cell
     shards = int(-(-size // max_dictionary_bytes))
-    lists = dictionary.withColumn("shard", F.pmod(F.xxhash64("value"), F.lit(shards)).cast("int"))
-    copies = cells.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("block", F.pmod(F.xxhash64("row_id", "field_name"), F.lit(64)))
-    # one group is one shard's dictionary and one block of cells; blocks keep the groups small
-    lists = lists.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(63)))).withColumn("block", F.col("block").cast("bigint"))
-
-    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        automaton = Automaton(right["value"])
-        return pd.DataFrame([(r, f, [list(s) for s in automaton.spans(c)]) for r, f, c in zip(left["row_id"], left["field_name"], left["cell"])], columns=["row_id", "field_name", "spans"])
-
-    spans = copies.groupBy("shard", "block").cogroup(lists.groupBy("shard", "block")).applyInPandas(match, "row_id bigint, field_name string, spans array<array<int>>")
-    spans = spans.groupBy("row_id", "field_name").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    found = None
+    for k in range(shards):
+        shard = dictionary.where(F.pmod(F.xxhash64("value"), F.lit(shards)) == k)
+        part = cells.mapInPandas(_spans(cells.sparkSession.sparkContext.broadcast([r.value for r in shard.collect()])), "row_id bigint, field_name string, spans array<array<int>>")
+        found = part if found is None else found.unionByName(part)
+    spans = found.groupBy("row_id", "field_name").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
 
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def split(kind: str, cell: str, found) -> list[str]:  # noqa: ANN001
@@ -257,6 +253,18 @@ def split_values(cells: DataFrame, *, max_dictionary_bytes: int = MAX_DICTIONARY
     return cells.join(spans, ["row_id", "field_name"], "left").select("row_id", "field_name", "kind", "cell", "spans").mapInPandas(cover, schema)
 
 
+def _spans(shared):  # noqa: ANN001, ANN202
+    """Search of one shard's values in cells: (row_id, field_name, spans) where something was found."""
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = Automaton(shared.value)
+        for pdf in batches:
+            hits = ((r, f, automaton.spans(c)) for r, f, c in zip(pdf["row_id"], pdf["field_name"], pdf["cell"]))
+            yield pd.DataFrame([(r, f, [list(s) for s in h]) for r, f, h in hits if h], columns=["row_id", "field_name", "spans"])
+
+    return search
+
+
 def packed_cells(df: DataFrame, *, row_id: str, fields: dict[str, str]) -> DataFrame:
     """``fields`` of ``df`` (name -> kind) as cells for split_values, in one pass over the table."""
     entries: list[Column] = [F.struct(F.lit(n).alias("field_name"), F.lit(k).alias("kind"), F.col(n).alias("cell")) for n, k in fields.items()]

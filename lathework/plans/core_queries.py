@@ -116,8 +116,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, sf: str) -> DataFrame:
-    found = orphans.orphans(*_references(spark, sf))
-    return found.groupBy("ref_table", "ref_field", "ref_month", "reason").agg(F.count("*").alias("n_orphans"))
+    return orphans.orphan_counts(*_references(spark, sf))
 
 
 QUERIES = {
