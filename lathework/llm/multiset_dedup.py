@@ -37,7 +37,9 @@ def multiset_hash(pairs: Column) -> list[Column]:
         part = (lambda p: F.shiftrightunsigned(h(p), 32)) if half == "hi" else (lambda p: h(p).bitwiseAND(F.lit(0xFFFFFFFF)))
         return F.aggregate(pairs, F.lit(0).cast("bigint"), lambda a, p: a + part(p))
 
-    return [total(seed, half).alias(f"h{seed}{half}") for seed in (17, 71) for half in ("hi", "lo")] + [F.size(pairs).alias("n")]
+    # never null: else every join on them would filter by them first, and compute all of it once more
+    sums = [F.coalesce(total(seed, half), F.lit(0).cast("bigint")).alias(f"h{seed}{half}") for seed in (17, 71) for half in ("hi", "lo")]
+    return [*sums, F.coalesce(F.size(pairs), F.lit(0)).alias("n")]
 
 
 FINGERPRINT = ["h17hi", "h17lo", "h71hi", "h71lo", "n"]
@@ -57,7 +59,9 @@ def copies(df: DataFrame, *, row_id: str, record: str) -> DataFrame:
     are grouped again among themselves by their full content.
     """
     def opened(part: DataFrame) -> DataFrame:
-        pairs = part.select(F.col(row_id).cast("bigint").alias("id"), normalized_pairs(F.col(record)).alias("pairs")).where("pairs IS NOT NULL")
+        # null pairs are dropped by a generator: a filter on them would parse every record twice
+        readable = F.explode(F.filter(F.array(normalized_pairs(F.col(record))), lambda p: p.isNotNull()))
+        pairs = part.select(F.col(row_id).cast("bigint").alias("id"), readable.alias("pairs"))
         return pairs.select("id", "pairs", *multiset_hash(F.col("pairs")))
 
     given = df.where(F.col(row_id).isNotNull()).select(row_id, record)
