@@ -65,7 +65,6 @@ def cover_for(min_length: int) -> Cover:
     return best
 
 
-@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
     up[0] = down[0] = 1
@@ -80,9 +79,9 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 class Block:
     """The texts of one block as one array of code points with running hashes."""
 
-    def __init__(self, ids: list[int], texts: list[str], min_length: int):
+    def __init__(self, ids: list[int], texts: list[str], min_length: int, cover: Cover):
         kept = [(i, np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)) for i, t in zip(ids, texts) if len(t) >= min_length]
-        self.min_length = min_length
+        self.min_length, self.cover = min_length, cover
         self.rows = [i for i, _ in kept]
         self.lengths = np.array([len(c) for _, c in kept], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1].astype(np.int64)
@@ -96,16 +95,15 @@ class Block:
             x = (x + np.uint64(1)) * np.uint64(_BASE)
             x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             x ^= x >> np.uint64(32)
-            size = 1 << max(16, total.bit_length())
-            up, self.down = _powers(size)
-            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * up[:total])])
+            up, self.down = _powers(total)
+            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * up)])
 
     def hashes(self, at: np.ndarray, width: int) -> np.ndarray:
         return _mixed((self.sums[at + width] - self.sums[at]) * self.down[at])
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, int]:
         """(position in the block, row) of every anchor, and the anchors' width."""
-        period, cover = cover_for(self.min_length)
+        period, cover = self.cover
         width = self.min_length - period + 1
         cover = np.array(cover, np.int64)
         at, row = [], []
@@ -236,7 +234,7 @@ def shared_spans(docs: DataFrame, *, min_length: int = 400, block_chars: int = B
             if step:
                 answers[step][bucket] = bits
         rows = [(i, t) for i, t in zip(pdf["doc_id"], pdf["text"]) if i not in out]
-        return Block([i for i, _ in rows], [t for _, t in rows], min_length), done, answers
+        return Block([i for i, _ in rows], [t for _, t in rows], min_length, (period, cover)), done, answers
 
     def anchor_request(block: Block) -> tuple[Request, np.ndarray, np.ndarray, int]:
         at, row, width = block.anchors()
@@ -278,11 +276,11 @@ def shared_spans(docs: DataFrame, *, min_length: int = 400, block_chars: int = B
         said = requests.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(lambda pdf: _answer(pdf, bits), "block int, bucket int, bits binary")
         return said.select("block", F.lit(step).alias("step"), "bucket", F.lit(None).cast("bigint").alias("doc_id"), F.lit(False).alias("out"), "bits")
 
-    # answers are small (one bit per hash) and each is needed by all later steps: kept as tables
+    # one job: the shuffles of the texts and of the hashes are made once and read again by every later step
     told = known
     for step, request, bits in ((1, ask_anchors, anchor_bits), (2, ask_windows, 64)):
         asks = by_block.cogroup(told.repartition(parts, "block").groupBy("block")).applyInPandas(request, asked)
-        told = told.unionByName(materialize(answers(asks, step, bits), f"answers-{step}"))
+        told = told.unionByName(answers(asks, step, bits))
     spans = by_block.cogroup(told.repartition(parts, "block").groupBy("block")).applyInPandas(read_spans, "doc_id bigint, span_start bigint, span_end bigint")
     return whole.unionByName(spans.distinct())
 
