@@ -137,6 +137,22 @@ class Block:
             yield self.rows[r], int(starts[a] - self.starts[r]), int(starts[b] - self.starts[r]) + self.min_length
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Ascending numbers as the first one and the steps between them, each step in as many bits as the widest needs."""
+    steps = np.diff(values)
+    width = max(1, int(steps.max()).bit_length()) if len(steps) else 1
+    bits = np.unpackbits(steps.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, 64 - width :]
+    return bytes([width]) + values[:1].astype("<u8").tobytes() + np.packbits(bits).tobytes()
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    """The n numbers behind packed()."""
+    width, bits = raw[0], np.zeros((n - 1, 64), np.uint8)
+    bits[:, 64 - width :] = np.unpackbits(np.frombuffer(raw, np.uint8, offset=9), count=(n - 1) * width).reshape(n - 1, width)
+    steps = np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64)
+    return np.cumsum(np.concatenate([np.frombuffer(raw, "<u8", 1, 1).astype(np.uint64), steps]), dtype=np.uint64)
+
+
 class Request:
     """A block's distinct hashes in order, each with whether two of its texts hold it."""
 
@@ -158,10 +174,9 @@ class Request:
             for a, e in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(b)]])):
                 yield int(b[a]), int(a), int(e)
 
-    def sent(self, buckets: int) -> list[tuple[int, bytes, bytes]]:
-        width = -(-self.bits // 8)
-        raw = self.values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-        return [(b, raw[a:e].tobytes(), np.packbits(self.several[a:e]).tobytes()) for b, a, e in self.slices(buckets)]
+    def sent(self, buckets: int) -> list[tuple[int, int, bytes, bytes]]:
+        """(bucket, number of hashes, hashes, flags) for each bucket that has any."""
+        return [(b, e - a, packed(self.values[a:e]), np.packbits(self.several[a:e]).tobytes()) for b, a, e in self.slices(buckets)]
 
     def answered(self, buckets: int, answers: dict[int, bytes]) -> np.ndarray:
         """For each of the values the request was made from: does another text hold it too?"""
@@ -172,14 +187,11 @@ class Request:
         return shared[self.place]
 
 
-def _answer(pdf: pd.DataFrame, bits: int) -> pd.DataFrame:
+def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     """One bucket: which of each block's hashes some other block has, as one bit per hash in the order sent."""
-    width, values, several = -(-bits // 8), [], []
-    for raw, flags in zip(pdf["hashes"], pdf["several"]):
-        n = len(raw) // width
-        whole = np.zeros((n, 8), np.uint8)
-        whole[:, :width] = np.frombuffer(raw, np.uint8).reshape(n, width)
-        values.append(whole.view("<u8").ravel())
+    values, several = [], []
+    for n, raw, flags in zip(pdf["n"], pdf["hashes"], pdf["several"]):
+        values.append(unpacked(raw, n))
         several.append(np.unpackbits(np.frombuffer(flags, np.uint8), count=n).astype(bool))
     v = np.concatenate(values)
     distinct, place, blocks = np.unique(v, return_inverse=True, return_counts=True)
@@ -248,16 +260,16 @@ def shared_spans(docs: DataFrame, *, min_length: int = 400, block_chars: int = B
 
     def ask(pdf: pd.DataFrame, request: Request, buckets: int) -> pd.DataFrame:
         sent = request.sent(buckets)
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]] * len(sent), "bucket": [b for b, _, _ in sent], "hashes": [h for _, h, _ in sent], "several": [s for _, _, s in sent]})
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]] * len(sent), "bucket": [b for b, *_ in sent], "n": [n for _, n, *_ in sent], "hashes": [h for *_, h, _ in sent], "several": [f for *_, f in sent]})
 
     def ask_anchors(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
-            return pd.DataFrame({"block": [], "bucket": [], "hashes": [], "several": []})
+            return pd.DataFrame({"block": [], "bucket": [], "n": [], "hashes": [], "several": []})
         return ask(pdf, anchor_request(opened(pdf, told)[0])[0], anchor_buckets)
 
     def ask_windows(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
-            return pd.DataFrame({"block": [], "bucket": [], "hashes": [], "several": []})
+            return pd.DataFrame({"block": [], "bucket": [], "n": [], "hashes": [], "several": []})
         block, _, answers = opened(pdf, told)
         return ask(pdf, window_request(block, answers[1])[0], window_buckets)
 
@@ -269,18 +281,18 @@ def shared_spans(docs: DataFrame, *, min_length: int = 400, block_chars: int = B
         found = [s for s in block.spans(starts[request.answered(window_buckets, answers[2])]) if s[0] not in done]
         return pd.DataFrame(found, columns=["doc_id", "span_start", "span_end"])
 
-    asked = "block int, bucket int, hashes binary, several binary"
+    asked = "block int, bucket int, n int, hashes binary, several binary"
 
-    def answers(requests: DataFrame, step: int, bits: int) -> DataFrame:
+    def answers(requests: DataFrame, step: int) -> DataFrame:
         buckets = by_size(anchor_buckets if step == 1 else window_buckets, BUCKETS_PER_TASK)
-        said = requests.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(lambda pdf: _answer(pdf, bits), "block int, bucket int, bits binary")
+        said = requests.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_answer, "block int, bucket int, bits binary")
         return said.select("block", F.lit(step).alias("step"), "bucket", F.lit(None).cast("bigint").alias("doc_id"), F.lit(False).alias("out"), "bits")
 
     # one job: the shuffles of the texts and of the hashes are made once and read again by every later step
     told = known
-    for step, request, bits in ((1, ask_anchors, anchor_bits), (2, ask_windows, 64)):
+    for step, request in ((1, ask_anchors), (2, ask_windows)):
         asks = by_block.cogroup(told.repartition(parts, "block").groupBy("block")).applyInPandas(request, asked)
-        told = told.unionByName(answers(asks, step, bits))
+        told = told.unionByName(answers(asks, step))
     spans = by_block.cogroup(told.repartition(parts, "block").groupBy("block")).applyInPandas(read_spans, "doc_id bigint, span_start bigint, span_end bigint")
     return whole.unionByName(spans.distinct())
 

@@ -75,3 +75,11 @@ def test_hot_passage_in_a_third_of_all_texts(spark, rows):
 def test_share(spark, rows):
     d = frame(spark, [(1, "x" * 30 + "y"), (2, "x" * 30), (3, ""), (4, None)])
     assert rows(S.shared_share(d, S.shared_spans(d, min_length=20))) == [(1, 31, 30, 0.967742), (2, 30, 30, 1.0), (3, 0, 0, 0.0)]
+
+
+@pytest.mark.parametrize("values", [[0], [2**64 - 1], [0, 2**64 - 1], [1, 2, 3, 2**40, 2**63], list(range(1000))])
+def test_packing(values):
+    import numpy as np
+
+    v = np.array(values, np.uint64)
+    assert S.unpacked(S.packed(v), len(v)).tolist() == values
