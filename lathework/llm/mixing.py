@@ -9,6 +9,7 @@ in a seeded order.
 from __future__ import annotations
 
 import base64
+import heapq
 import math
 from collections.abc import Iterator, Sequence
 
@@ -76,10 +77,15 @@ def sainte_lague(weights: Sequence[float], seats: int, caps: Sequence[int] | Non
             low = middle
         else:
             high = middle
-    out = given(high)
-    while sum(out) < seats:
-        i = max((i for i in range(len(out)) if out[i] < caps[i]), key=lambda i: (weights[i] / (2 * out[i] + 1), -i))
+    # the closed form may be off by one where quotients are equal in floating point: the last seats go one by one
+    out = [max(0, g - 2) for g in given(high)]
+    heap = [(-w / (2 * g + 1), i) for i, (w, g) in enumerate(zip(weights, out)) if g < caps[i]]
+    heapq.heapify(heap)
+    for _ in range(seats - sum(out)):
+        _, i = heapq.heappop(heap)
         out[i] += 1
+        if out[i] < caps[i]:
+            heapq.heappush(heap, (-weights[i] / (2 * out[i] + 1), i))
     return out
 
 

@@ -1,7 +1,7 @@
 import heapq
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from lathework.llm import mixing as M
@@ -20,13 +20,13 @@ def one_by_one(weights, seats, caps):
     return got
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=1000, deadline=None)
+@example([(7.0, 17), (7.0, 18), (0.2, 1)], 35)
 @given(st.lists(st.tuples(st.sampled_from([0.0, 0.05, 0.1, 0.2, 0.3, 1.0, 7.0]), st.integers(0, 60)), min_size=1, max_size=7), st.integers(0, 200))
 def test_apportionment_is_by_highest_quotients(sources, seats):
     weights, caps = [w for w, _ in sources], [c for _, c in sources]
     got, want = M.sainte_lague(weights, seats, caps), one_by_one(weights, seats, caps)
-    assert sum(got) == sum(want) and all(g <= c for g, c in zip(got, caps))
-    assert got == want or sorted((w, g) for w, g in zip(weights, got)) == sorted((w, g) for w, g in zip(weights, want))
+    assert got == want
 
 
 def docs(spark, n=400):
