@@ -32,28 +32,26 @@ def content_words(c: Column, least: int = 3) -> Column:
     return F.filter(words, lambda w: F.length(F.regexp_replace(w, "[^A-Za-z]", "")) >= least)
 
 
-def ngrams(words: Column, n: int) -> Column:
-    """All runs of n neighbours; empty where there are fewer words."""
-    last = F.size(words) - n + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.slice(words, i, n))).otherwise(F.array().cast("array<array<string>>"))
-
-
 def longest_shared_run(pairs: DataFrame, *, key: str, output: str, source: str, least: int, most: int = 12, allowed: Sequence[str] = ()) -> DataFrame:
     """(key, n_words, run): the longest run of source words, of ``least`` to ``most`` words, that stands in the output; the first of its length.
 
     A run counts if some word of it is not allowed. Only the row's own two texts are compared; rows without such a run are left out.
+    Runs meet by an equi-join on (row, length, words), so the work grows with the length of the texts, not with pairs of places.
     """
-    # words cut short to one letter count only where single words are searched
+    # words of one letter count only where single words are searched
     size = 1 if least == 1 else 3
-    d = pairs.select(key, content_words(F.lower(output), size).alias("o"), content_words(F.lower(source), size).alias("s"))
     known = F.array(*[F.lit(w.lower()) for w in allowed]) if allowed else F.array().cast("array<string>")
-    # longest match first: per start in the output, how many words go on from each equal word of the source
-    starts = d.select(key, "o", "s", F.posexplode("o").alias("i", "w"))
-    inner = starts.select(key, "o", "s", "i", F.explode(F.filter(F.transform("s", lambda x, j: F.when(x == F.col("w"), j)), lambda j: j.isNotNull())).alias("j"))
-    tail = lambda n: F.slice("o", F.col("i") + 1, n) == F.slice("s", F.col("j") + 1, n)
-    fits = F.filter(F.sequence(F.lit(least), F.lit(most)), lambda n: (F.size(F.slice("o", F.col("i") + 1, n)) == n) & (F.size(F.slice("s", F.col("j") + 1, n)) == n) & tail(n) & (F.size(F.array_except(F.slice("o", F.col("i") + 1, n), known)) > 0))
-    hits = inner.withColumn("n", F.array_max(fits)).where("n IS NOT NULL")
-    return hits.groupBy(key).agg(F.max_by(F.struct("n", F.array_join(F.slice("o", F.col("i") + 1, F.col("n")), " ").alias("run")), F.struct("n", -F.col("i"))).alias("m")).select(key, F.col("m.n").cast("bigint").alias("n_words"), F.col("m.run").alias("run"))
+
+    def all_runs(text: str) -> DataFrame:
+        d = pairs.where(F.col(text).isNotNull()).select(key, content_words(F.lower(text), size).alias("w")).where(F.size("w") >= least)
+        d = d.select(key, "w", F.explode(F.sequence(F.lit(least), F.least(F.lit(most), F.size("w")))).alias("n"))
+        d = d.select(key, "n", "w", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)).alias("i"))
+        return d.select(key, "n", "i", F.slice("w", F.col("i"), F.col("n")).alias("r"))
+
+    out = all_runs(output).where(F.size(F.array_except("r", known)) > 0).select(key, "n", "i", F.array_join("r", " ").alias("run"))
+    src = all_runs(source).select(key, "n", F.array_join("r", " ").alias("run")).distinct()
+    hits = out.join(src, [key, "n", "run"], "left_semi")
+    return hits.groupBy(key).agg(F.max_by(F.struct("n", "run"), F.struct("n", -F.col("i"))).alias("m")).select(key, F.col("m.n").cast("bigint").alias("n_words"), F.col("m.run").alias("run"))
 
 
 def residual_words(source: Column, target: Column, extracted: Column, retained: Column) -> Column:
