@@ -15,7 +15,7 @@ from ..functions import normalize as N
 from ..functions import statistics, udfs
 from ..functions.text import strip
 from ..operators import checks, coverage, identity, ordered, registry, rules, spatial, status, token_compare
-from ..session import table
+from ..session import spread, table
 from ..sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -576,7 +576,7 @@ def suite_summary(spark, orders):
 
 @query
 def numeric_tokens(spark, documents):
-    return documents.select("doc_id", big(F.size(udfs.numeric_tokens("text"))).alias("n_tokens"))
+    return spread(documents.select("doc_id", "text")).select("doc_id", big(F.size(udfs.numeric_tokens("text"))).alias("n_tokens"))
 
 
 @query
@@ -596,12 +596,12 @@ def canon_tokens(spark, documents):
 
 @query
 def semantic_token_kinds(spark, documents):
-    return documents.select(F.explode(udfs.semantic_tokens("text")).alias("t")).groupBy(F.col("t.kind").alias("kind")).agg(F.count("*").alias("n"))
+    return spread(documents.select("text")).select(F.explode(udfs.semantic_tokens("text")).alias("t")).groupBy(F.col("t.kind").alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query
 def chinese_typography(spark, documents):
-    d = documents.select("doc_id", udfs.chinese_typography("text").alias("n"))
+    d = spread(documents.select("doc_id", "text")).select("doc_id", udfs.chinese_typography("text").alias("n"))
     return d.select("doc_id", F.sha2("n", 256).alias("digest"), udfs.typography_is_stable(F.col("n"), udfs.chinese_typography("n")).alias("stable"))
 
 

@@ -53,3 +53,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` on all cores, for costly work row by row: a table read in fewer splits than there are cores is dealt out first.
+
+    Such a table is small; one of many splits stays as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
