@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..session import materialize
+from ..session import materialize, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: the pattern that splits text before the merges of this vocabulary
@@ -48,7 +48,7 @@ def token_counts(docs: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "n_tokens": [len(encoding.encode_ordinary(t)) for t in pdf["text"]]})
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), source_key(F.col("source")).alias("source"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.where("doc_id IS NOT NULL AND source IS NOT NULL").mapInPandas(count, "doc_id bigint, source string, n_tokens bigint")
+    return spread(rows.where("doc_id IS NOT NULL AND source IS NOT NULL")).mapInPandas(count, "doc_id bigint, source string, n_tokens bigint")
 
 
 def sainte_lague(weights: Sequence[float], seats: int, caps: Sequence[int] | None = None) -> list[int]:

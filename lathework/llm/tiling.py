@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 MIN_WORDS = 13
 BLOCK_WORDS = 2_000_000  # words of items in one broadcast; more items are searched block after block
 
@@ -146,7 +148,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, min_words: int = MIN_WORDS, min_
     spark = docs.sparkSession
     sized = items.where("item_id IS NOT NULL AND item_text IS NOT NULL").select("item_id", "item_text", F.length("item_text").alias("n"))
     blocks = max(1, int(-(-(sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // block_words)))
-    texts = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text")
+    texts = spread(docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text"))
     out = None
     for b in range(blocks):
         block = sized.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
