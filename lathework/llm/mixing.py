@@ -1,9 +1,9 @@
 """Mixing sources to target weights: Sainte-Lague apportionment of equal-token blocks.
 
 Blocks of tokens are the seats. Sources get them by the highest quotients weight / (2k + 1), never
-beyond what their records, each used at most max_repeats times, can fill. A source's blocks are
-apportioned to its shards the same way, and each shard fills its quota with blocks of its records
-in a seeded order.
+beyond what their records, each used at most max_repeats times, can fill. A block is small enough
+that the smallest source has many. A source's tokens are apportioned to its shards the same way,
+and each shard fills its quota with its records in a seeded order.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 BLOCK_TOKENS = 1024
+# the blocks that the smallest quota has at least, as far as it has the tokens
+LEAST_BLOCKS = 1000
 SHARD_TOKENS = 1 << 22
 MAX_SOURCES = 100_000
 
@@ -90,18 +92,35 @@ def sainte_lague(weights: Sequence[float], seats: int, caps: Sequence[int] | Non
 
 
 def plan(totals: dict[str, int], targets: Sequence[tuple[str, float, int]], *, block_tokens: int, total_tokens: int | None) -> list[tuple[str, float, int, int]]:
-    """(source, share, max_repeats, blocks) for each target source.
+    """(source, share, max_repeats, tokens) for each target source.
 
     Without ``total_tokens`` the mix is the largest in which every source that has records reaches
     its share within its repeats. Sources without records get nothing, and no one gets their share.
+    With it, what a source lacks for its share goes to the others. Blocks have ``block_tokens`` at
+    most, and fewer where a quota would otherwise have less than LEAST_BLOCKS of them: so no source
+    is rounded to nothing.
     """
     able = [(s, w, r) for s, w, r in targets if w > 0 and r > 0 and totals.get(s, 0) > 0]
+    whole = sum(w for _, w, _ in able)
     if total_tokens is None:
-        total_tokens = int(min((totals[s] * r / w for s, w, r in able), default=0) * sum(w for _, w, _ in able))
-    caps = {s: totals[s] * r // block_tokens for s, _, r in able}
-    seats = sainte_lague([w for _, w, _ in able], total_tokens // block_tokens, [caps[s] for s, _, _ in able])
+        total_tokens = int(min((totals[s] * r / w for s, w, r in able), default=0) * whole)
+    block = max(1, min([block_tokens, *[int(min(totals[s] * r, total_tokens * w / whole)) // LEAST_BLOCKS for s, w, r in able]]))
+    caps = {s: totals[s] * r // block for s, _, r in able}
+    seats = sainte_lague([w for _, w, _ in able], total_tokens // block, [caps[s] for s, _, _ in able])
     given = dict(zip((s for s, _, _ in able), seats))
-    return [(s, w, r, given.get(s, 0)) for s, w, r in targets]
+    return [(s, w, r, given.get(s, 0) * block) for s, w, r in targets]
+
+
+def shard_quotas(sizes: Sequence[int], repeats: int, tokens: int, *, block_tokens: int) -> list[int]:
+    """Tokens of each shard, ``tokens`` together: apportioned in blocks, to the token where a shard is exhausted or the last block is not whole."""
+    seats = sainte_lague(sizes, -(-tokens // block_tokens), [n * repeats // block_tokens + 1 for n in sizes])
+    out = [min(seat * block_tokens, n * repeats) for seat, n in zip(seats, sizes)]
+    left = tokens - sum(out)
+    for i, n in enumerate(sizes):
+        step = max(-out[i], min(left, n * repeats - out[i]))
+        out[i] += step
+        left -= step
+    return out
 
 
 def mix(docs: DataFrame, targets: DataFrame, *, seed: int = 7, total_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
@@ -109,7 +128,9 @@ def mix(docs: DataFrame, targets: DataFrame, *, seed: int = 7, total_tokens: int
 
     The report has source, target_share, n_docs, n_tokens (with repeats) and actual_share, also for
     sources that got nothing. Documents without source or of no listed source, and texts without
-    tokens, are not selected. A source listed twice counts with its first share. Only per-source
+    tokens, are not selected. A source listed twice counts with its first share. Records are whole,
+    so each shard that is used in part misses its quota by half a record at most, or by more where
+    its first record alone is larger. Only per-source
     and per-shard totals reach the driver: at most MAX_SOURCES sources, and shards in
     proportion to shard_tokens; token counts are computed once and kept as a table.
     """
@@ -134,17 +155,16 @@ def mix(docs: DataFrame, targets: DataFrame, *, seed: int = 7, total_tokens: int
     filled = []
     for s, _, r, q in quotas:
         parts = sorted(per_shard.get(s, []))
-        seats = sainte_lague([n for _, n in parts], q, [n * r // block_tokens + 1 for _, n in parts])
-        filled += [(s, shard, seat * block_tokens, n) for (shard, n), seat in zip(parts, seats)]
+        filled += [(s, shard, tokens, n) for (shard, n), tokens in zip(parts, shard_quotas([n for _, n in parts], r, q, block_tokens=block_tokens))]
     share = spark.createDataFrame(filled, "source string, shard bigint, quota_tokens bigint, shard_total bigint")
     w = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id")
     rows = rows.select("doc_id", "source", "n_tokens", "repeats", "shard").join(F.broadcast(share), ["source", "shard"])
     rows = rows.withColumn("before", F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens"))
-    # whole rounds over the shard, then the blocks that are left: a record is in the block where it begins
+    # whole rounds over the shard, then the tokens that are left, to the nearest end of a record; a quota gets one record at least
     rounds = F.floor(F.col("quota_tokens") / F.col("shard_total"))
     rest = F.col("quota_tokens") - rounds * F.col("shard_total")
-    block_end = (F.floor(F.col("before") / F.lit(block_tokens)) + 1) * F.lit(block_tokens)
-    used = F.least(rounds + F.when(block_end <= rest, 1).otherwise(0), F.col("repeats")).cast("bigint")
+    near = (F.col("before") + F.col("n_tokens") - rest <= rest - F.col("before")) | ((F.col("before") == 0) & (rounds == 0) & (rest > 0))
+    used = F.least(rounds + F.when(near, 1).otherwise(0), F.col("repeats")).cast("bigint")
     chosen = rows.withColumn("times_used", used).where("times_used > 0").select("doc_id", "source", "n_tokens", "times_used")
 
     got = chosen.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(F.col("n_tokens") * F.col("times_used")).alias("n"))

@@ -74,3 +74,19 @@ def test_counts_are_those_of_the_tokenizer(spark, rows):
 def test_nothing_to_select(spark, listed):
     assert M.mix(docs(spark, 20), targets(spark, listed), block_tokens=64)[0].count() == 0
     assert M.mix(docs(spark, 20).limit(0), targets(spark, LISTED), block_tokens=64)[0].count() == 0
+
+
+def test_tiny_source_is_not_rounded_away(spark):
+    assert M.plan({"a": 10_000_000, "b": 200}, [("a", 0.5, 1), ("b", 0.5, 4)], block_tokens=1024, total_tokens=None) == [("a", 0.5, 1, 800), ("b", 0.5, 4, 800)]
+    assert M.plan({"a": 10_000_000, "b": 50}, [("a", 0.5, 1), ("b", 0.5, 4)], block_tokens=1024, total_tokens=100_000)[1][3] == 200
+    d = spark.createDataFrame([(i, "word of the larger source", "a") for i in range(300)] + [(1000 + i, "few words", "b") for i in range(4)], "doc_id long, text string, source string")
+    got = {r.source: r for r in M.mix(d, targets(spark, [("a", 0.5, 1), ("b", 0.5, 4)]))[1].collect()}
+    assert got["b"].n_docs == 4 and abs(got["a"].actual_share - 0.5) < 0.05
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 5000), min_size=1, max_size=6), st.integers(1, 4), st.floats(0, 1))
+def test_shards_share_all_tokens_of_a_source(sizes, repeats, part):
+    tokens = int(sum(sizes) * repeats * part)
+    got = M.shard_quotas(sizes, repeats, tokens, block_tokens=64)
+    assert sum(got) == tokens and all(0 <= q <= n * repeats for q, n in zip(got, sizes))
