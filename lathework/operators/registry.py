@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import component, ordered_union
-from ..functions.text import strip
+from ..functions.text import strip, text_or_blank
+from .token_compare import terms_in_texts
 
 
 def lookup(df: DataFrame, columns: Sequence[str], text: str) -> DataFrame:
@@ -95,13 +96,68 @@ def record_usage(registry: DataFrame, uses: DataFrame, *, key: str = "term_id")
 
 
 def term_choices(terms: DataFrame, registry: DataFrame) -> DataFrame:
-    """(paper_id, term_id, issue) of a paper's terms against the registry: UNKNOWN id, or PREFERRED wording that differs."""
+    """(paper_id, term_id, issue) of a paper's terms against the registry: UNKNOWN id, or PREFERRED wording that differs.
+
+    Terms with domain, subdomain or context are compared in these too (``context_issues``).
+    """
     r = registry.groupBy(F.upper(strip(F.col("term_id"))).alias("_id")).agg(F.collect_set(strip(F.col("preferred_chinese"))).alias("_ok"))
     # distinct wordings first: a term used everywhere is few rows when it meets the registry
     used = terms.where("term_id IS NOT NULL AND trim(term_id) <> ''").select("paper_id", F.upper(strip(F.col("term_id"))).alias("_id"), F.coalesce(strip(F.col("preferred_chinese")), F.lit("")).alias("_w")).distinct()
     j = used.join(r, "_id", "left")
     issue = F.when(F.col("_ok").isNull(), "UNKNOWN").when(~F.array_contains("_ok", F.col("_w")), "PREFERRED")
-    return j.withColumn("issue", issue).where("issue IS NOT NULL").select("paper_id", F.col("_id").alias("term_id"), "issue").distinct()
+    out = j.withColumn("issue", issue).where("issue IS NOT NULL").select("paper_id", F.col("_id").alias("term_id"), "issue").distinct()
+    return out.unionByName(context_issues(terms, registry)) if set(CONTEXT) & set(terms.columns) else out
+
+
+CONTEXT = ("domain", "subdomain", "context")
+
+
+def context_issues(terms: DataFrame, registry: DataFrame) -> DataFrame:
+    """(paper_id, term_id, issue) of terms whose id is in the registry, case and outer blanks ignored.
+
+    AMBIGUOUS: more than one id that isn't deprecated has the English term, and the paper gives no domain or no context.
+    DOMAIN, SUBDOMAIN, CONTEXT: given by the paper, and different in every row of the id.
+    """
+    fold = lambda c: F.lower(text_or_blank(F.col(c)))
+    ident = F.upper(strip(F.col("term_id")))
+    r = registry.groupBy(ident.alias("_id")).agg(*[F.collect_set(fold(f)).alias(f"_r_{f}") for f in CONTEXT])
+    shared = registry.where("status IS NULL OR status <> 'DEPRECATED'").groupBy(fold("english_term").alias("_e")).agg(F.countDistinct(ident).alias("_n")).where("_n > 1")
+    given = [fold(f).alias(f) if f in terms.columns else F.lit("").alias(f) for f in CONTEXT]
+    used = terms.select("paper_id", ident.alias("_id"), fold("english_term").alias("_e"), *given).where("_id <> ''").distinct()
+    j = used.join(r, "_id").join(shared, "_e", "left")
+    ambiguous = F.when(F.col("_n").isNotNull() & ((F.col("domain") == "") | (F.col("context") == "")), "AMBIGUOUS")
+    differs = [F.when((F.col(f) != "") & ~F.array_contains(f"_r_{f}", F.col(f)), f.upper()) for f in CONTEXT]
+    return j.select("paper_id", F.col("_id").alias("term_id"), F.explode(F.array_compact(F.array(ambiguous, *differs))).alias("issue")).distinct()
+
+
+def wording_in_texts(terms: DataFrame, texts: DataFrame, *, text_id: str, text: str, scope: Sequence[str] = ()) -> DataFrame:
+    """(scope, text_id, english_term, preferred_chinese, issue, wording): texts that use a term otherwise than was chosen.
+
+    ``terms`` has english_term, preferred_chinese, alternative_chinese (separated by ; or ；) and context_note. A text uses a term if it
+    holds the English term (case ignored), the preferred or an alternative wording. PREFERRED_ABSENT: used without the preferred wording.
+    ALTERNATIVE_WITHOUT_NOTE: an alternative stands there and the term has no context note; one row for each. Terms without English or
+    preferred wording are left out. Columns of ``scope`` (a paper), if given, must agree between term and text.
+    """
+    none = F.array().cast("array<string>")
+    others = F.filter(F.transform(F.split(text_or_blank(F.col("alternative_chinese")), "[;；]"), strip), lambda a: a != "")
+    c = terms.select(*scope, strip(F.col("english_term")).alias("english_term"), strip(F.col("preferred_chinese")).alias("preferred_chinese"), F.array_sort(F.array_distinct(others)).alias("_others"), (text_or_blank(F.col("context_note")) != "").alias("_noted"))
+    c = c.where("english_term <> '' AND preferred_chinese <> ''").distinct()
+    wordings = c.withColumn("_w", F.explode(F.array_union("_others", F.array("preferred_chinese"))))
+    keys = c.columns
+
+    def uses(given: DataFrame, by: str, ignore_case: bool, seen: Column) -> DataFrame:
+        hits = terms_in_texts(given, texts, term=by, text_id=text_id, text=text, ignore_case=ignore_case)
+        if scope:
+            hits = hits.join(texts.select(F.col(text_id).alias("text_id"), *scope), "text_id")
+        return given.join(hits.withColumnRenamed("term", by), [*scope, by]).select(*keys, "text_id", seen.alias("_seen"))
+
+    found = uses(c, "english_term", True, F.lit(None).cast("string")).unionByName(uses(wordings, "_w", False, F.col("_w")))
+    per = found.groupBy(*keys, "text_id").agg(F.collect_set("_seen").alias("_seen"))
+    issue = lambda name, w: F.struct(F.lit(name).alias("issue"), w.alias("wording"))
+    absent = F.array_compact(F.array(F.when(~F.array_contains("_seen", F.col("preferred_chinese")), issue("PREFERRED_ABSENT", F.lit(None).cast("string")))))
+    stray = F.when(F.col("_noted"), none).otherwise(F.filter(F.array_intersect("_others", "_seen"), lambda a: a != F.col("preferred_chinese")))
+    out = per.select(*scope, "text_id", "english_term", "preferred_chinese", F.explode(F.concat(absent, F.transform(stray, lambda a: issue("ALTERNATIVE_WITHOUT_NOTE", a)))).alias("_i"))
+    return out.select(*scope, "text_id", "english_term", "preferred_chinese", "_i.*").distinct()
 
 
 def wording_conflicts(terms: DataFrame, *, english: str, chinese: str) -> DataFrame:

@@ -95,9 +95,9 @@ def distinct_value_conflicts(rows: DataFrame, *, key: str, source: Column, targe
     return per.withColumn("passed", (F.col("n_source") >= 2) & (F.col("n_target") >= 2))
 
 
-def terms_in_texts(terms: DataFrame, texts: DataFrame, *, term: str, text_id: str, text: str, max_terms: int = 100_000) -> DataFrame:
+def terms_in_texts(terms: DataFrame, texts: DataFrame, *, term: str, text_id: str, text: str, max_terms: int = 100_000, ignore_case: bool = False) -> DataFrame:
     """(term, text_id): which terms stand in which texts. The distinct terms are checked to be at most ``max_terms`` and searched by one
-    automaton per task; more are searched in blocks of that many, each in all texts."""
+    automaton per task; more are searched in blocks of that many, each in all texts. ``ignore_case`` compares case-folded forms."""
     import ahocorasick
     import pandas as pd
 
@@ -111,11 +111,12 @@ def terms_in_texts(terms: DataFrame, texts: DataFrame, *, term: str, text_id: st
         def search(batches, shared=shared):  # noqa: ANN001, ANN202
             found = ahocorasick.Automaton()
             for w in shared.value:
-                found.add_word(w, w)
+                form = w.casefold() if ignore_case else w
+                found.add_word(form, [*found.get(form, []), w])
             if len(found):
                 found.make_automaton()
             for pdf in batches:
-                rows = [(w, i) for i, t in zip(pdf["text_id"], pdf["text"]) if len(found) for w in sorted({w for _, w in found.iter(t)})]
+                rows = [(w, i) for i, t in zip(pdf["text_id"], pdf["text"]) if len(found) for w in sorted({w for _, ws in found.iter(t.casefold() if ignore_case else t) for w in ws})]
                 yield pd.DataFrame(rows, columns=["term", "text_id"])
 
         kind = dict(texts.dtypes)[text_id]

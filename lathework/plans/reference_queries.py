@@ -218,6 +218,12 @@ def term_choices(spark, paper_terminology, terminology_registry):
     return registry.term_choices(paper_terminology.where("paper_id IS NOT NULL"), terminology_registry).groupBy("issue").agg(F.count("*").alias("n"))
 
 
+@query
+def term_contexts(spark, terminology_registry):
+    """The papers that registered a term, against the rows that hold now."""
+    return registry.term_choices(terminology_registry.where("paper_id IS NOT NULL"), terminology_registry.where("removed_at IS NULL")).groupBy("issue").agg(F.count("*").alias("n"))
+
+
 @query
 def wording_conflicts(spark, paper_terminology):
     return registry.wording_conflicts(paper_terminology, english="english_term", chinese="preferred_chinese")
@@ -230,6 +236,12 @@ def term_in_documents(spark, terminology_registry, documents):
     return found.groupBy("term").agg(F.count("*").alias("n_docs"))
 
 
+@query
+def wording_in_documents(spark, terminology_registry, documents):
+    found = registry.wording_in_texts(terminology_registry.withColumnRenamed("notes", "context_note"), documents, text_id="doc_id", text="text")
+    return found.groupBy("english_term", "preferred_chinese", "issue", "wording").agg(F.count("*").alias("n_docs"))
+
+
 def _price_updates(customer: DataFrame) -> DataFrame:
     return customer.where("c_acctbal < 0").select("c_custkey", F.lit(0.0).alias("c_acctbal"), F.when(F.pmod("c_custkey", F.lit(2)) == 0, "REVIEW").alias("c_mktsegment"))
 

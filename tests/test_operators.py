@@ -223,3 +223,50 @@ def test_creators(spark):
 def test_funnel(spark, rows):
     d = spark.createDataFrame([("a", 1, 100), ("a", 2, None), ("a", 3, 120), ("b", 1, 5), ("b", 2, 5)], "g string, o int, n int")
     assert rows(ordered.funnel_breaks(d, group=["g"], order="o", n="n")) == [("a", 3, 120, 100)]
+
+
+def test_term_wording_in_texts(spark, rows):
+    terms = spark.createDataFrame(
+        [("P1", "Drift Map", "漂移图", "游移图；迁移图; 漂移图", " "), ("P1", "cue", "线索", "提示", "see note"), ("P2", "gain", "增益", None, None), ("P2", None, "无", "游移图", None)],
+        "paper_id string, english_term string, preferred_chinese string, alternative_chinese string, context_note string",
+    )
+    texts = spark.createDataFrame(
+        [(1, "P1", "a DRIFT map here"), (2, "P1", "drift map 漂移图 游移图 线索"), (3, "P1", "迁移图 and 提示"), (4, "P1", "gain"), (5, "P2", "Gain, drift map"), (6, "P2", "增益 gain"), (7, "P2", None)],
+        "id long, paper_id string, text string",
+    )
+    got = registry.wording_in_texts(terms, texts, text_id="id", text="text", scope=["paper_id"])
+    absent, stray = "PREFERRED_ABSENT", "ALTERNATIVE_WITHOUT_NOTE"
+    assert rows(got, "text_id", "english_term", "issue", "wording") == sorted(
+        [(1, "Drift Map", absent, None), (2, "Drift Map", stray, "游移图"), (3, "Drift Map", absent, None), (3, "Drift Map", stray, "迁移图"), (3, "cue", absent, None), (5, "gain", absent, None)], key=repr
+    )
+    assert registry.wording_in_texts(terms.limit(0), texts, text_id="id", text="text").count() == 0
+
+
+def test_term_wording_in_given_documents(spark, data, rows):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").where("text IS NOT NULL").collect()]
+    reg = spark.read.parquet(f"{data}/terminology_registry.parquet").withColumn("context_note", F.col("notes"))
+    want = set()
+    for r in reg.collect():
+        english, preferred = (r.english_term or "").strip(), (r.preferred_chinese or "").strip()
+        others = {a.strip() for a in (r.alternative_chinese or "").replace("；", ";").split(";")} - {""}
+        for i, t in docs if english and preferred else []:
+            if (english.casefold() in t.casefold() or any(a in t for a in others)) and preferred not in t:
+                want.add((i, english, preferred, "PREFERRED_ABSENT", None))
+            if not (r.context_note or "").strip():
+                want |= {(i, english, preferred, "ALTERNATIVE_WITHOUT_NOTE", a) for a in others - {preferred} if a in t}
+    got = registry.wording_in_texts(reg, spark.createDataFrame(docs, "doc_id long, text string"), text_id="doc_id", text="text")
+    assert rows(got, "text_id", "english_term", "preferred_chinese", "issue", "wording") == sorted(want, key=repr)
+
+
+def test_term_choices_compare_the_context(spark, rows):
+    reg = spark.createDataFrame(
+        [("T1", "Map", "图", "Sleep", "Timing", "prose", "ACTIVE"), ("T2", "map ", "地图", "Social", "", "", None), ("T3", "cue", "线索", "Sleep", "", "", "ACTIVE"), ("T4", "cue", "提示", "Sleep", "", "", "DEPRECATED")],
+        "term_id string, english_term string, preferred_chinese string, domain string, subdomain string, context string, status string",
+    )
+    terms = spark.createDataFrame(
+        [("P1", "T1", "map", "图", "sleep ", None, "PROSE"), ("P2", "T1", "map", "图", "Sleep", "timing", None), ("P3", "T2", "MAP", "图", "Sleep", "Timing", "prose"), ("P4", "T3", "cue", "线索", None, None, None), ("P5", "T9", "map", "图", "Sleep", None, None)],
+        "paper_id string, term_id string, english_term string, preferred_chinese string, domain string, subdomain string, context string",
+    )
+    assert rows(registry.term_choices(terms, reg)) == sorted(
+        [("P2", "T1", "AMBIGUOUS"), ("P3", "T2", "PREFERRED"), ("P3", "T2", "DOMAIN"), ("P3", "T2", "SUBDOMAIN"), ("P3", "T2", "CONTEXT"), ("P5", "T9", "UNKNOWN")], key=repr
+    )
