@@ -209,7 +209,8 @@ def shared_spans(docs: DataFrame, *, min_length: int = 400, block_chars: int = B
     Null, empty and shorter texts share nothing; a passage that only repeats inside one document is
     not shared; rows with the same doc_id are one document. Texts that are wholly equal are told
     apart by length and 128 bits of hash: all but the one with the least id are left out of the
-    exchange, and each is one span from 0 to its end. Anchors are only a filter, so they are sent
+    exchange, and each is one span from 0 to its end. This holds for documents of one text only;
+    those of several texts take part with all of them. Anchors are only a filter, so they are sent
     with as few bits as their number needs; full windows are compared by 64 bits.
     """
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.length("text") >= min_length)
@@ -219,10 +220,12 @@ def shared_spans(docs: DataFrame, *, min_length: int = 400, block_chars: int = B
     block_of = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(blocks)).cast("int")
 
     same = ["h1", "h2", "n"]
-    groups = materialize(ids.groupBy(*same).agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last"), F.count("*").alias("size")).where("keep <> last"), "equal-texts")
+    several = ids.groupBy("doc_id").agg(F.min(F.struct(*same)).alias("a"), F.max(F.struct(*same)).alias("b")).where("a <> b").select("doc_id")
+    single = ids.join(several, "doc_id", "left_anti")
+    groups = materialize(single.groupBy(*same).agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last"), F.count("*").alias("size")).where("keep <> last"), "equal-texts")
     is_heavy = F.col("size") > max(1, count // HEAVY_SHARE)
     heavy, light = groups.where(is_heavy).select(*same, "keep"), groups.where(~is_heavy).select(*same, "keep")
-    equal = ids.join(F.broadcast(heavy), same).unionByName(ids.join(F.broadcast(heavy), same, "left_anti").join(light, same))
+    equal = single.join(F.broadcast(heavy), same).unionByName(single.join(F.broadcast(heavy), same, "left_anti").join(light, same))
     equal = materialize(equal.select("doc_id", "keep", "n"), "copies")
     whole = equal.select("doc_id", F.lit(0).cast("bigint").alias("span_start"), F.col("n").cast("bigint").alias("span_end")).distinct()
     # what a block must know of its texts: -1 for copies that stay out, 1 for kept ones whose span is already known

@@ -83,3 +83,26 @@ def test_packing(values):
 
     v = np.array(values, np.uint64)
     assert S.unpacked(S.packed(v), len(v)).tolist() == values
+
+
+def test_document_of_several_texts_keeps_them_all(spark, rows):
+    r = random.Random(5)
+    t, u, v = ("".join(r.choice("abcdefgh ") for _ in range(n)) for n in (60, 70, 80))
+    # 2 has the whole text of 1 beside one that shares a passage with 3; 4 has that of 5 and is the least of its group
+    docs = [(1, t), (2, t), (2, "x" * 100 + u[:50] + "y"), (3, "zz" + u[:50] + "w"), (4, v), (4, "q" * 90 + u[5:65]), (5, v), (6, u)]
+    assert rows(S.shared_spans(frame(spark, docs), min_length=40)) == brute_of_documents(docs, 40)
+
+
+def brute_of_documents(docs, n):
+    where = {}
+    for d, t in docs:
+        for i in range(len(t) - n + 1):
+            where.setdefault(t[i : i + n], set()).add(d)
+    starts = sorted({(d, i) for d, t in docs for i in range(len(t) - n + 1) if len(where[t[i : i + n]]) > 1})
+    out = []
+    for d, i in starts:
+        if out and out[-1][0] == d and i <= out[-1][2]:
+            out[-1][2] = i + n
+        else:
+            out.append([d, i, i + n])
+    return sorted(map(tuple, out), key=repr)
