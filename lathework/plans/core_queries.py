@@ -39,32 +39,33 @@ def p2_dictionary(spark: SparkSession, sf: str) -> DataFrame:
 CHAIN = ["paragraph", "claim", "anchor"]
 
 
-def _source_map_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return nested_records.typed_nodes(table(spark, sf, "c_source_map"), key="map_id", body="body", types=nested_records.SOURCE_MAP)
+def _source_map_nodes(spark: SparkSession, sf: str, upto: int = 3, fields: tuple[str, ...] | None = None) -> DataFrame:
+    return nested_records.linked_nodes(table(spark, sf, "c_source_map"), key="map_id", body="body", types=nested_records.SOURCE_MAP, chain=CHAIN[:upto], fields=fields)
 
 
-def _field(node: str, name: str) -> Column:
-    return F.coalesce(F.element_at(F.col(f"{node}fields"), name), F.lit(""))
+def _field(node: Column, name: str) -> Column:
+    return F.coalesce(F.element_at(node, name), F.lit(""))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    rows = nested_records.leaves(nested_records.link_by_containment(_source_map_nodes(spark, sf), CHAIN), CHAIN)
+    rows = _source_map_nodes(spark, sf, fields=("paragraph_index", "source_class", "section")).where("is_leaf")
+    at = lambda t, c: F.when(F.col("node_type") == t, F.col(c)).otherwise(F.col(f"{t}.{c}"))
     is_anchor, is_claim = F.col("node_type") == "anchor", F.col("node_type") != "paragraph"
-    no = lambda when, c: F.when(when, F.col(c)).otherwise(0).cast("bigint")
+    no = lambda when, c: F.when(when, c).otherwise(0).cast("bigint")
     return rows.select(
-        F.col("key_id").alias("map_id"), F.col("paragraph.no").cast("bigint").alias("paragraph_no"), _field("paragraph.", "paragraph_index").alias("paragraph_index"),
-        no(is_claim, "claim.ordinal").alias("claim_no"), F.when(is_claim, _field("claim.", "source_class")).otherwise("").alias("source_class"),
-        no(is_anchor, "ordinal").alias("anchor_no"), F.when(is_anchor, F.coalesce("value", _field("", "section"))).otherwise("").alias("anchor"),
+        F.col("key_id").alias("map_id"), at("paragraph", "no").cast("bigint").alias("paragraph_no"), _field(at("paragraph", "fields"), "paragraph_index").alias("paragraph_index"),
+        no(is_claim, at("claim", "ordinal")).alias("claim_no"), F.when(is_claim, _field(at("claim", "fields"), "source_class")).otherwise("").alias("source_class"),
+        no(is_anchor, F.col("ordinal")).alias("anchor_no"), F.when(is_anchor, F.coalesce("value", _field(F.col("fields"), "section"))).otherwise("").alias("anchor"),
     ).distinct()
 
 
 def _p3_table(node_type: str, upto: int):  # noqa: ANN202
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        rows = nested_records.link_by_containment(_source_map_nodes(spark, sf), CHAIN[:upto])
-        outer = [F.col(f"{t}.pre").alias(f"{t}_pre") for t in CHAIN[: upto - 1]]
-        return rows.where(F.col("node_type") == node_type).select(
-            F.col("key_id").alias("map_id"), "body_key", "pre", "post", *outer, F.col("no").cast("bigint").alias("no"), F.to_json(F.map_from_entries(F.array_sort(F.map_entries("fields")))).alias("fields"), "value"
-        )
+        rows = nested_records.distinct_nodes(_source_map_nodes(spark, sf, upto).where(F.col("node_type") == node_type))
+        outer = [F.col(f"{t}.no").cast("bigint").alias(f"{t}_no") for t in CHAIN[: upto - 1]]
+        outer += [((F.col(f"{t}.pre") < F.col("pre")) & (F.col(f"{t}.post") > F.col("post"))).alias(f"in_{t}") for t in CHAIN[: upto - 1]]
+        text = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("fields"))))
+        return rows.select(F.col("key_id").alias("map_id"), *outer, F.col("no").cast("bigint").alias("no"), text.alias("fields"), "value").distinct()
 
     return query
 

@@ -145,6 +145,17 @@ found AS (
   UNION ALL SELECT map_id, pn, paragraph_index, 0, '', 0, '' FROM claim_lists WHERE len(cs) = 0)
 SELECT map_id, CAST(paragraph_no AS BIGINT) AS paragraph_no, paragraph_index, CAST(claim_no AS BIGINT) AS claim_no, source_class, CAST(anchor_no AS BIGINT) AS anchor_no, anchor FROM found"""
 
+_P3 = P3_FOUND[: P3_FOUND.index(",\nfound AS (")]
+# scalar fields of an object in the order of their names, and the text of what is no object
+_P3_AT = """json_extract({0}, '$."' || k || '"')"""
+_P3_FIELDS = (
+    "CASE WHEN json_type({0}) = 'OBJECT' THEN '{{' || array_to_string(list_transform(list_sort(list_filter(json_keys({0}), lambda k: json_type(" + _P3_AT + ") NOT IN ('OBJECT', 'ARRAY'))), "
+    "lambda k: to_json(k) || ':' || to_json(CASE WHEN json_type(" + _P3_AT + ") = 'NULL' THEN '' ELSE " + _P3_AT + " ->> '$' END)), ',') || '}}' ELSE '{{}}' END AS fields, CASE WHEN json_type({0}) <> 'OBJECT' THEN {0} ->> '$' END AS value"
+)
+P3_PARAGRAPHS = _P3 + " SELECT DISTINCT map_id, CAST(pn AS BIGINT) AS no, " + _P3_FIELDS.format("p") + " FROM paragraphs WHERE json_type(p) <> 'NULL'"
+P3_CLAIMS = _P3 + " SELECT DISTINCT map_id, CAST(pn AS BIGINT) AS paragraph_no, true AS in_paragraph, CAST(cn AS BIGINT) AS no, " + _P3_FIELDS.format("c") + " FROM (SELECT *, cs[cn] AS c FROM (SELECT *, unnest(range(1, len(cs) + 1)) AS cn FROM claim_lists)) WHERE json_type(c) <> 'NULL'"
+P3_ANCHORS = _P3 + " SELECT DISTINCT map_id, CAST(pn AS BIGINT) AS paragraph_no, CAST(cn AS BIGINT) AS claim_no, true AS in_paragraph, true AS in_claim, CAST(n AS BIGINT) AS no, " + _P3_FIELDS.format("a") + " FROM anchors WHERE json_type(a) <> 'NULL'"
+
 _P4_ATTRIBUTE = """
   SELECT workspace_id, term_id, '{0}' AS attribute, any_value({0}) AS value, min(snapshot_date) AS a, max(snapshot_date) AS z, count(*) > count(next_date) AS o, max(next_date) AS n
   FROM (SELECT *, sum(opens) OVER (PARTITION BY workspace_id, term_id ORDER BY seq) AS r FROM (
@@ -155,4 +166,4 @@ P4_ATTRIBUTE_LOG = (
     + " SELECT workspace_id, term_id, attribute, value, strftime(a, '%Y-%m-%d') AS valid_from, CASE WHEN o THEN '' ELSE strftime(n, '%Y-%m-%d') END AS valid_to FROM logs"
 )
 
-SQL = {"p1_found": P1_FOUND, "p1_versions": P1_VERSIONS, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p4_attribute_log": P4_ATTRIBUTE_LOG, "p4_versions": P4_VERSIONS, "p5_found": P5_FOUND, "p5_report": P5_REPORT}
+SQL = {"p1_found": P1_FOUND, "p1_versions": P1_VERSIONS, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_paragraphs": P3_PARAGRAPHS, "p3_claims": P3_CLAIMS, "p3_anchors": P3_ANCHORS, "p4_found": P4_FOUND, "p4_attribute_log": P4_ATTRIBUTE_LOG, "p4_versions": P4_VERSIONS, "p5_found": P5_FOUND, "p5_report": P5_REPORT}

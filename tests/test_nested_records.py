@@ -47,16 +47,33 @@ def test_repeats_broken_and_empty(spark, rows, tmp_path):
 
 def test_intervals_contain_descendants():
     nodes = R.label_nodes(PLAIN, R.SOURCE_MAP)
-    by_pre = {n[0]: n for n in nodes}
-    for pre, post, _, parent, *_ in nodes:
-        if parent in by_pre:
-            assert by_pre[parent][0] < pre and by_pre[parent][1] > post
-    assert len({n[1] for n in nodes}) == len(nodes)
+    assert len({n[2] for n in nodes}) == len(nodes) == 4 + 4 + 5
+    inside = {n[0]: sum(p[1] < n[1] and p[2] > n[2] for p in nodes) for n in nodes}
+    assert inside == {"paragraph": 0, "claim": 1, "anchor": 2}
 
 
-def test_deep_bodies_do_not_crash(spark, rows, tmp_path):
-    deep = '{"x":' * 5000 + "1" + "}" * 5000
-    assert found(spark, rows, tmp_path, [(1, deep), (2, PLAIN)]) == sorted([(2, *r) for r in brute(PLAIN)], key=repr)
+def test_a_record_nested_in_its_own_type_hides_the_outer_one_only_while_open(spark, rows, tmp_path):
+    body = {"paragraphs": [{"paragraph_index": 1, "more": {"paragraphs": {"paragraph_index": "in"}}, "claims": [{"source_class": "M", "source_anchor": ["a"]}]}]}
+    assert found(spark, rows, tmp_path, [(1, body)]) == [(1, 1, "1", 1, "M", 1, "a"), (1, 2, "in", 0, "", 0, "")]
+    linked = R.link_by_containment(R.label_nodes(body, R.SOURCE_MAP), ["paragraph", "claim", "anchor"])
+    assert [(n[0], [a[4] for a in up], leaf) for n, up, leaf in linked] == [("paragraph", [], False), ("paragraph", [], True), ("claim", [1], False), ("anchor", [1, 1], True)]
+
+
+def test_deep_bodies_are_read_whole(spark, rows, tmp_path):
+    empty = '{"x":' * 50000 + "1" + "}" * 50000
+    held = '{"x":' * 50000 + '{"paragraphs":[{"paragraph_index":"deep"}]}' + "}" * 50000
+    assert found(spark, rows, tmp_path, [(1, empty), (2, PLAIN), (3, held), (4, held[:-1])]) == sorted([(2, *r) for r in brute(PLAIN)] + [(3, 1, "deep", 0, "", 0, "")], key=repr)
+
+
+@pytest.mark.parametrize("text", ['{"a": [1, -2.5e3, "x\\n\\u00e9", {}, [], null, true], "b": {"c": {"d": [[]]}}}', "[]", " 3 ", '"x"', "[1,]", "[1", "{", '{"a"}', '{"a":1,}', "[1 2]", "[] x", "", "[,1]", '{"a":}', "{1:2}", "]", "nul"])
+def test_the_parser_for_deep_texts_agrees_with_the_standard_one(text):
+    try:
+        want = json.loads(text)
+    except ValueError:
+        with pytest.raises(ValueError):
+            R._parse_deep(text)
+    else:
+        assert R._parse_deep(text) == want
 
 
 @pytest.mark.parametrize(("name", "n"), [("p3_paragraphs", 4), ("p3_claims", 4), ("p3_anchors", 5)])
