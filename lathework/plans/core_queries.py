@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import history, nested_records, orphans, packed_cells, schema_drift
-from ..session import materialize, table
+from ..session import table
 
 SNAPSHOT_ATTRIBUTES = ("status", "first_verified", "last_verified", "preferred_chinese")
 
@@ -18,11 +18,16 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_records(spark: SparkSession, sf: str) -> DataFrame:
     files = table(spark, sf, "registry_files")
-    return schema_drift.unified_records(files, materialize(schema_drift.migration_steps(files), "steps"))
+    return schema_drift.unified_records(files, schema_drift.drift(files))
 
 
 def p1_versions(spark: SparkSession, sf: str) -> DataFrame:
-    return schema_drift.fingerprints(table(spark, sf, "registry_files")).select("workspace_id", F.col("version").cast("bigint").alias("version"), "fingerprint", "file_id", "n_fields")
+    return schema_drift.fingerprints(schema_drift.file_schemas(table(spark, sf, "registry_files")))
+
+
+def p1_rules(spark: SparkSession, sf: str) -> DataFrame:
+    d = schema_drift.drift(table(spark, sf, "registry_files"))
+    return schema_drift.migration_rules(d, schema_drift.lineages(d))
 
 
 PACKED_FIELDS = {"evidence_ids": "ids", "alternative_chinese": "text"}
@@ -121,7 +126,7 @@ def p5_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_records": p1_records, "p1_versions": p1_versions,
+    "p1_found": p1_found, "p1_records": p1_records, "p1_versions": p1_versions, "p1_rules": p1_rules,
     "p2_found": p2_found, "p2_dictionary": p2_dictionary,
     "p3_found": p3_found, "p3_paragraphs": _p3_table("paragraph", 1), "p3_claims": _p3_table("claim", 2), "p3_anchors": _p3_table("anchor", 3),
     "p4_found": p4_found, "p4_attribute_log": p4_attribute_log, "p4_versions": p4_versions,

@@ -1,5 +1,7 @@
 """SQL for the pN_ queries of the general problems, in the dialect of the comparing engine."""
 
+from ..operators.schema_drift import REGISTRY_FIELDS, declared_names
+
 P1_FOUND = r"""
 WITH files AS (
   SELECT workspace_id, file_id, row_number() OVER (PARTITION BY workspace_id ORDER BY min(exported_at), file_id) AS seq
@@ -51,6 +53,43 @@ prints AS (SELECT workspace_id, file_id, seq, count(*) AS n_fields, sha256('[' |
 marked AS (SELECT *, lag(fingerprint) OVER (PARTITION BY workspace_id ORDER BY seq) AS p FROM prints)
 SELECT workspace_id, row_number() OVER (PARTITION BY workspace_id ORDER BY seq) AS version, fingerprint, file_id, n_fields FROM marked WHERE p IS NULL OR p <> fingerprint"""
 
+_P1_NAMED = P1_FOUND[: P1_FOUND.index("changes AS (")].replace("WITH files", "WITH RECURSIVE files") + r"""
+moves AS (SELECT workspace_id, seq, new_field, min(old_field) AS old_field FROM renamed GROUP BY ALL),
+lines AS (
+  SELECT workspace_id, seq, field, seq || ' ' || field AS line FROM schemas s
+  WHERE NOT EXISTS (SELECT 1 FROM schemas p WHERE p.workspace_id = s.workspace_id AND p.seq = s.seq - 1 AND p.field = s.field)
+    AND NOT EXISTS (SELECT 1 FROM moves m WHERE m.workspace_id = s.workspace_id AND m.seq = s.seq AND m.new_field = s.field)
+  UNION ALL
+  SELECT s.workspace_id, s.seq, s.field, l.line FROM lines l JOIN schemas s ON s.workspace_id = l.workspace_id AND s.seq = l.seq + 1
+    LEFT JOIN moves m ON m.workspace_id = s.workspace_id AND m.seq = s.seq AND m.new_field = s.field
+  WHERE s.field = l.field OR m.old_field = l.field),
+declared(squeezed, name) AS (VALUES """ + ", ".join(f"('{a}', '{b}')" for a, b in declared_names().items()) + r"""),
+named AS (SELECT l.*, d.name FROM lines l LEFT JOIN declared d ON d.squeezed = regexp_replace(lower(l.field), '[^a-z0-9]', '', 'g')),
+first AS (SELECT workspace_id, line, arg_min(name, (seq, field)) FILTER (WHERE name IS NOT NULL) AS name, arg_min(field, (seq, field)) AS own FROM named GROUP BY ALL),
+routes AS (SELECT n.workspace_id, n.seq, n.field, coalesce(f.name, f.own) AS canonical FROM named n JOIN first f USING (workspace_id, line)),
+"""
+P1_RECORDS = _P1_NAMED + r"""
+given AS (
+  SELECT r.row_id, o.canonical, k.field, json_extract_string(r.record, '$."' || k.field || '"') AS text
+  FROM registry_files r JOIN files f USING (workspace_id, file_id), unnest(json_keys(r.record)) AS k(field) JOIN routes o ON o.workspace_id = f.workspace_id AND o.seq = f.seq AND o.field = k.field
+  WHERE json_valid(r.record) AND json_type(r.record, '$."' || k.field || '"') <> 'NULL'),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY row_id, canonical ORDER BY field) AS n FROM given),
+wide AS (SELECT row_id, """ + ", ".join(f"max(text) FILTER (WHERE n = 1 AND canonical = '{c}') AS {c.lower()}" for c in REGISTRY_FIELDS) + r""",
+  '{' || string_agg(to_json(canonical) || ':' || to_json(text), ',' ORDER BY field) FILTER (WHERE n = 1 AND canonical NOT IN (""" + ", ".join(f"'{c}'" for c in REGISTRY_FIELDS) + r""")) || '}' AS extra,
+  string_agg('{"rule":"CONFLICT","field":' || to_json(field) || ',"value":' || to_json(text) || '}', ',' ORDER BY field) FILTER (WHERE n > 1) AS conflicts FROM ranked GROUP BY row_id),
+noted AS (SELECT r.row_id, workspace_id, file_id, line_no, w.* EXCLUDE (row_id, usage_count), json_valid(r.record) AS ok, w.usage_count AS raw, try_cast(w.usage_count AS BIGINT) AS parsed FROM registry_files r LEFT JOIN wide w USING (row_id))
+SELECT row_id, workspace_id, file_id, line_no, """ + ", ".join(c.lower() for c in REGISTRY_FIELDS if c != "Usage_Count") + r""", CASE WHEN raw IS NULL AND ok THEN 0 ELSE parsed END AS usage_count, coalesce(extra, '') AS extra,
+  CASE WHEN conflicts IS NULL AND (parsed IS NOT NULL OR NOT coalesce(ok, false)) THEN '' ELSE '[' || concat_ws(',', conflicts, CASE WHEN raw IS NOT NULL AND parsed IS NULL THEN '{"rule":"CAST","field":"Usage_Count","value":' || to_json(raw) || '}' END,
+    CASE WHEN raw IS NULL AND ok THEN '{"rule":"DEFAULT","field":"Usage_Count","value":"0"}' END) || ']' END AS changes FROM noted"""
+P1_RULES = _P1_NAMED + r"""
+kinds AS (SELECT workspace_id, seq, field, bit_or(CASE kind WHEN 'NULL' THEN 0 WHEN 'VARCHAR' THEN 1 WHEN 'BOOLEAN' THEN 4 WHEN 'ARRAY' THEN 8 WHEN 'OBJECT' THEN 16 ELSE 2 END) AS kinds FROM entries GROUP BY ALL),
+prints AS (SELECT f.workspace_id, f.seq, coalesce(list(field || ' ' || kinds ORDER BY field) FILTER (WHERE field IS NOT NULL), []) AS print FROM files f LEFT JOIN kinds k USING (workspace_id, seq) GROUP BY ALL),
+begun AS (SELECT workspace_id, seq, row_number() OVER (PARTITION BY workspace_id ORDER BY seq) AS version FROM (SELECT *, lag(print) OVER (PARTITION BY workspace_id ORDER BY seq) AS p FROM prints) WHERE p IS DISTINCT FROM print),
+held AS (SELECT b.workspace_id, b.version, k.field, k.kinds, r.canonical FROM begun b JOIN kinds k USING (workspace_id, seq) JOIN routes r USING (workspace_id, seq, field))
+SELECT workspace_id, version, 'RENAME' AS rule, field, canonical FROM held WHERE field <> canonical
+UNION ALL SELECT workspace_id, version, 'CAST', field, canonical FROM held WHERE canonical IN (""" + ", ".join(f"'{c}'" for c in REGISTRY_FIELDS) + r""") AND kinds & (CASE WHEN canonical = 'Usage_Count' THEN 29 ELSE 30 END) <> 0
+UNION ALL SELECT workspace_id, version, 'DEFAULT', '', 'Usage_Count' FROM begun b WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.workspace_id = b.workspace_id AND h.version = b.version AND h.canonical = 'Usage_Count')"""
+
 _TRIM = r"regexp_replace(coalesce({0}, ''), '^\s+|\s+$', '', 'g')"
 
 _P4_RUNS = f"""
@@ -166,4 +205,4 @@ P4_ATTRIBUTE_LOG = (
     + " SELECT workspace_id, term_id, attribute, value, strftime(a, '%Y-%m-%d') AS valid_from, CASE WHEN o THEN '' ELSE strftime(n, '%Y-%m-%d') END AS valid_to FROM logs"
 )
 
-SQL = {"p1_found": P1_FOUND, "p1_versions": P1_VERSIONS, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_paragraphs": P3_PARAGRAPHS, "p3_claims": P3_CLAIMS, "p3_anchors": P3_ANCHORS, "p4_found": P4_FOUND, "p4_attribute_log": P4_ATTRIBUTE_LOG, "p4_versions": P4_VERSIONS, "p5_found": P5_FOUND, "p5_report": P5_REPORT}
+SQL = {"p1_found": P1_FOUND, "p1_versions": P1_VERSIONS, "p1_records": P1_RECORDS, "p1_rules": P1_RULES, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_paragraphs": P3_PARAGRAPHS, "p3_claims": P3_CLAIMS, "p3_anchors": P3_ANCHORS, "p4_found": P4_FOUND, "p4_attribute_log": P4_ATTRIBUTE_LOG, "p4_versions": P4_VERSIONS, "p5_found": P5_FOUND, "p5_report": P5_REPORT}

@@ -60,10 +60,34 @@ def test_unified_records_follow_chains(spark, rows):
         ("w", "f1", 1, [term(0, Discipline="d", Usage_Count="3", Odd="o")]), ("w", "f2", 2, [term(0, Field_Of_Study="d", Usage_Count=4)]), ("w", "f3", 3, [term(0, Area="d"), "{broken"]),
     ]
     df = files(spark, content)
-    out = schema_drift.unified_records(df, schema_drift.migration_steps(df))
+    out = schema_drift.unified_records(df, schema_drift.drift(df))
     assert rows(out, "file_id", "line_no", "term_id", "domain", "usage_count", "extra") == [("f1", 0, "T0", "d", 3, '{"Odd":"o"}'), ("f2", 0, "T0", "d", 4, ""), ("f3", 0, "T0", "d", 0, ""), ("f3", 1, None, None, None, "")]
 
 
+def test_no_value_is_lost_and_every_rule_is_recorded(spark, rows):
+    df = files(spark, [("w", "f1", 1, [{"Domain": "a", "Discipline": "b", "Usage_Count": "many"}, term(1, Domain=5, Notes=None)])])
+    d = schema_drift.drift(df)
+    assert rows(schema_drift.unified_records(df, d), "line_no", "domain", "usage_count", "changes") == [
+        (0, "b", None, '[{"rule":"CONFLICT","field":"Domain","value":"a"},{"rule":"CAST","field":"Usage_Count","value":"many"}]'), (1, "5", 0, '[{"rule":"DEFAULT","field":"Usage_Count","value":"0"}]')
+    ]
+    assert rows(schema_drift.migration_rules(d, schema_drift.lineages(d)), "version", "rule", "field", "canonical") == [(1, "CAST", "Domain", "Domain"), (1, "CAST", "Usage_Count", "Usage_Count"), (1, "RENAME", "Discipline", "Domain")]
+    none = files(spark, [("w", "f1", 1, ["{broken"])])
+    d = schema_drift.drift(none)
+    assert rows(schema_drift.migration_rules(d, schema_drift.lineages(d))) == [("w", 1, "DEFAULT", "", "Usage_Count")]
+
+
 def test_fingerprints_begin_versions(spark, rows):
     content = [("w", "f1", 1, [term(0, x="a")]), ("w", "f2", 2, [term(1, x="b")]), ("w", "f3", 3, [term(1, x=1)])]
-    assert rows(schema_drift.fingerprints(files(spark, content)), "version", "file_id") == [(1, "f1"), (2, "f3")]
+    assert rows(schema_drift.fingerprints(schema_drift.file_schemas(files(spark, content))), "version", "file_id") == [(1, "f1"), (2, "f3")]
+
+
+def test_steps_come_from_pairs_of_fingerprints(spark, rows, monkeypatch):
+    """Two workspaces with the same change share one step of versions; without the fingerprints there is no step at all."""
+    a, b = [term(0, x="a")], [term(0, x="a", y="b")]
+    df = files(spark, [("w", "f1", 1, a), ("w", "f2", 2, b), ("w", "f3", 3, b), ("v", "g1", 1, a), ("v", "g2", 2, b)])
+    changed = schema_drift.versioned(schema_drift.file_schemas(df)).where("seq > 1 AND new")
+    assert changed.count() == 2 and schema_drift.version_steps(changed).count() == 1
+    assert rows(schema_drift.migration_steps(df), "file_id", "change", "new_field") == [("f2", "ADDED", "y"), ("g2", "ADDED", "y")]
+    whole = schema_drift.file_schemas
+    monkeypatch.setattr(schema_drift, "file_schemas", lambda f: whole(f).drop("fingerprint").selectExpr("*", "'' AS fingerprint"))
+    assert rows(schema_drift.migration_steps(df)) == []
