@@ -1,16 +1,17 @@
 """Several values packed in one cell, split by dictionary-guided segmentation.
 
-A multi-pattern automaton finds every known whole value in a cell; dynamic programming then picks
-the cheapest cover of the cell by values. Separators inside quotes, round brackets or known values
-are protected. The dictionary of known values is learned from the cells themselves: all values that
-hold a separator under quotes or brackets. It matters where quotes or brackets are left open: a
-known value found there keeps its separators, the rest is cut.
+A cell is first cut at every separator, wherever it stands. A multi-pattern automaton finds the known
+whole values in it, and dynamic programming picks the best cover of the cell by known values and single
+pieces: a known value keeps the separators it holds. The dictionary of known values is learned from all
+cells: the values that hold a separator under quotes or brackets, in cells where all of these close,
+with the number of times each stands there. A caller may add values of its own.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import ahocorasick
 import pandas as pd
@@ -27,10 +28,9 @@ QUOTES = {'"': '"', "＂": "＂", "“": "”", "„": "”", "「": "」", "『
 BRACKETS = {"(": ")", "（": "）"}
 CLOSERS = set(")）")
 
-MAX_DICTIONARY_BYTES = 16 << 20  # of one automaton; a larger dictionary is worked off in shards of this size
+MAX_DICTIONARY_BYTES = 16 << 20  # of a dictionary that is broadcast; a larger one meets the cells by a join
 
-VALUES = "array<struct<pos:bigint,item:string>>"
-OPEN, UNMATCHED, UNKNOWN = 1_000_000, 1_000, 0  # costs of a cover, by weight
+Span = tuple[int, int, int]  # start, end and count of a known value in a cell
 
 
 def unquoted(text: str) -> str:
@@ -57,112 +57,108 @@ def _json_list(text: str) -> list[str] | None:
         return None
     try:
         values = json.loads(t)
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
     return ["" if v is None else v.strip() if isinstance(v, str) else json.dumps(v, ensure_ascii=False, separators=(",", ":")) for v in values]
 
 
-def _segment_end(text: str, start: int, separators: str) -> tuple[int, list[int], int]:
-    """Scan one value from ``start``: (its end, separators seen under an opener that never closed, openers left open).
-
-    The value ends at the first separator outside quotes and brackets, or with the cell.
-    """
-    i, n, depth, inside = start, len(text), [], []
+def protected_values(text: str, separators: str) -> list[str]:
+    """Values of a cell that hold separators under quotes or brackets; none if a quote or bracket stays open."""
+    values, start, depth, i, n = [], 0, [], 0, len(text)
     while i < n:
         c = text[i]
         if c in QUOTES:
-            j = _close_quote(text, i)
-            if j >= 0:
-                i = j + 1
-                continue
-            depth.append(i)  # never closes: all that follows is in doubt
+            i = _close_quote(text, i)
+            if i < 0:
+                return []
         elif c in BRACKETS:
-            depth.append(i)
-        elif c in CLOSERS and depth and text[depth[-1]] in BRACKETS:
+            depth.append(c)
+        elif c in CLOSERS and depth:
             depth.pop()
-            if not depth:
-                inside.clear()
-        elif c in separators:
-            if not depth:
-                return i, [], 0
-            inside.append(i)
+        elif c in separators and not depth:
+            values.append(text[start:i])
+            start = i + 1
         i += 1
-    return n, inside if depth else [], len(depth)
+    if depth:
+        return []
+    return [v for v in (v.strip() for v in [*values, text[start:]]) if any(c in separators for c in v)]
+
+
+def torn(piece: str) -> bool:
+    """Does the piece hold a quote or bracket without its partner?"""
+    depth, i = 0, 0
+    while i < len(piece):
+        c = piece[i]
+        if c in QUOTES:
+            i = _close_quote(piece, i)
+            if i < 0:
+                return True
+        elif c in BRACKETS:
+            depth += 1
+        elif c in CLOSERS:
+            depth -= 1
+            if depth < 0:
+                return True
+        i += 1
+    return depth > 0
+
 
+def _cuts(text: str, separators: str) -> list[int]:
+    return [i for i, c in enumerate(text) if c in separators]
 
-def segment(text: str, separators: str, known: Sequence[tuple[int, int]] = ()) -> list[str]:
-    """The values of one cell. ``known``: (start, end) of known whole values found in it.
 
-    Forward dynamic programming over value starts. From a start lead: the value that runs to the
-    next unprotected separator; each known value that begins here and is followed by a separator;
-    and, where an opener never closes, a cut at each separator under it. A cover pays for separators
-    kept in an open value first, then for openers without partner; ties keep the earlier edge.
+def segment(text: str, separators: str, known: Iterable[Span] = ()) -> list[str]:
+    """The values of one cell. ``known``: (start, end, count) of known whole values found in it.
+
+    Pieces run from separator to separator. A known value that begins where a piece begins and ends
+    where one ends covers all pieces between. Of all covers the best has the fewest torn pieces, then
+    the fewest values, then the more frequent known values; of equal ones the first found.
     """
-    n, at = len(text), {}
-    for s, e in known:
-        at.setdefault(s, []).append(e)
-    best: dict[int, tuple[int, int, str]] = {0: (0, -1, "")}
-    todo, seen = [0], {0}
-    order: list[int] = []
+    cuts = _cuts(text, separators)
+    starts, ends = [0, *[c + 1 for c in cuts]], [*cuts, len(text)]
+    # a known value may have blanks around it: where each piece's text begins and ends
+    begin, stop = {}, {}
+    for k, (s, e) in enumerate(zip(starts, ends)):
+        piece = text[s:e]
+        begin[s + len(piece) - len(piece.lstrip())] = begin[s] = k
+        stop[e - len(piece) + len(piece.rstrip())] = stop[e] = k
     edges: dict[int, list[tuple[int, int]]] = {}
-    while todo:
-        s = todo.pop()
-        order.append(s)
-        end, inside, opened = _segment_end(text, s, separators)
-        out = [(end, OPEN * len(inside) + UNMATCHED * opened)]
-        out += [(i, UNMATCHED) for i in inside[:1]]
-        first = s
-        while first < n and (text[first].isspace() and text[first] not in separators):
-            first += 1
-        for k in {s, first}:
-            for e in at.get(k, ()):
-                stop = e
-                while stop < n and text[stop].isspace() and text[stop] not in separators:
-                    stop += 1
-                if stop >= n or text[stop] in separators:
-                    out.append((stop, 0))
-        edges[s] = out
-        for e, _ in out:
-            if e + 1 <= n and e < n and e + 1 not in seen:
-                seen.add(e + 1)
-                todo.append(e + 1)
-    final: tuple[int, int] | None = None
-    back: dict[int, int] = {}
-    cost = {0: 0}
-    for s in sorted(order):
-        if s not in cost:
-            continue
-        for e, c in edges[s]:
-            total = cost[s] + c
-            if e >= n:
-                if final is None or total < final[0]:
-                    final = (total, s)
-            elif e + 1 not in cost or total < cost[e + 1]:
-                cost[e + 1], back[e + 1] = total, s
-    items, stop, s = [], n, final[1] if final else 0
-    while True:
-        items.append(text[s:stop])
-        if s == 0:
-            break
-        stop, s = s - 1, back[s]
+    for s, e, n in known:
+        if s in begin and e in stop and stop[e] > begin[s]:
+            edges.setdefault(begin[s], []).append((stop[e], n))
+    if not edges:
+        return [v for v in (unquoted(text[s:e]) for s, e in zip(starts, ends)) if v]
+    best: list[tuple[int, int, int] | None] = [(0, 0, 0), *[None] * len(starts)]
+    back = [0] * (len(starts) + 1)
+    for k, (s, e) in enumerate(zip(starts, ends)):
+        here = best[k]
+        for last, t, n in [*[(j, 0, n) for j, n in edges.get(k, ())], (k, int(torn(text[s:e])), 0)]:
+            cost = (here[0] + t, here[1] + 1, here[2] - n)
+            if best[last + 1] is None or cost < best[last + 1]:
+                best[last + 1], back[last + 1] = cost, k
+    items, k = [], len(starts)
+    while k:
+        items.append(text[starts[back[k]] : ends[k - 1]])
+        k = back[k]
     return [v for v in map(unquoted, reversed(items)) if v]
 
 
 class Automaton:
-    """Known whole values, found in a text in one pass."""
+    """Known whole values with their counts, found in a text in one pass."""
 
-    def __init__(self, values: Iterable[str]):
+    def __init__(self, values: Mapping[str, int] | Iterable[str]):
+        counts = values if isinstance(values, Mapping) else dict.fromkeys(values, 1)
         self._found = ahocorasick.Automaton()
-        for v in values:
+        for v, n in counts.items():
             if v:
-                self._found.add_word(v, len(v))
+                self._found.add_word(v, (len(v), n))
         if len(self._found):
             self._found.make_automaton()
 
-    def spans(self, text: str) -> list[tuple[int, int]]:
+    def spans(self, text: str) -> list[Span]:
         if not len(self._found):
             return []
-        return [(end + 1 - n, end + 1) for end, n in self._found.iter(text)]
+        return [(end + 1 - size, end + 1, n) for end, (size, n) in self._found.iter(text)]
 
 
 def split_cell(text: str | None, separators: str, automaton: Automaton | None = None) -> list[str]:
@@ -180,89 +176,114 @@ def _separators_of(kind: str) -> str:
 
 
 def learn_dictionary(cells: DataFrame) -> DataFrame:
-    """(value): distinct values with protected separators, from cells in which every quote and bracket closes."""
+    """(kind, value, n): values with protected separators and how often they stand in cells in which every quote and bracket closes."""
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = set()
+            found: dict[tuple[str, str], int] = {}
             for text, kind in zip(pdf["cell"], pdf["kind"]):
-                seps, s = _separators_of(kind), 0
-                if _json_list(text) is not None:
-                    continue
-                whole = []
-                while s <= len(text):
-                    end, inside, opened = _segment_end(text, s, seps)
-                    if opened:
-                        whole = []
-                        break
-                    whole.append(text[s:end].strip())
-                    s = end + 1
-                found.update(v for v in whole if any(c in seps for c in v))
-            yield pd.DataFrame({"value": sorted(found)}, dtype="object")
+                if _json_list(text) is None:
+                    for v in protected_values(text, _separators_of(kind)):
+                        found[kind, v] = found.get((kind, v), 0) + 1
+            yield pd.DataFrame([(k, v, n) for (k, v), n in sorted(found.items())], columns=["kind", "value", "n"])
 
     held = F.col("cell").rlike("[" + "".join(["\\" + c for c in '"()']) + "＂“„「『（）]")
-    return cells.where(held).select("cell", "kind").mapInPandas(learn, "value string").distinct()
+    return cells.where(held).select("cell", "kind").mapInPandas(learn, "kind string, value string, n bigint").groupBy("kind", "value").agg(F.sum("n").alias("n"))
 
 
-def split_values(cells: DataFrame, *, max_dictionary_bytes: int = MAX_DICTIONARY_BYTES) -> DataFrame:
-    """One row per value of ``cells`` (row_id, field_name, kind, cell): (row_id, field_name, pos_no, item_text).
+def start_key(pieces: Sequence[str]) -> int:
+    """Hash of a value's first two pieces, without blanks outside: what a value and the place where it may stand share."""
+    return int.from_bytes(hashlib.blake2b("\0".join([pieces[0].lstrip(), pieces[1].strip()]).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
-    ``kind`` is "ids" where blanks separate too, else "text". pos_no counts the non-empty values
-    from 1; repeated values stay; null and blank cells give no row. The dictionary is broadcast
-    only if its measured size is within ``max_dictionary_bytes``; a larger one is cut into shards of
-    that size, each searched in all cells, and the spans found are gathered per cell before the cover.
-    """
-    cells = cells.where("cell IS NOT NULL AND trim(cell) <> ''").select("row_id", "field_name", "kind", "cell")
-    dictionary = materialize(learn_dictionary(cells), "known-values")
-    size = dictionary.agg(F.coalesce(F.sum(F.octet_length("value") + 64), F.lit(0))).first()[0]
-    schema = "row_id bigint, field_name string, pos_no bigint, item_text string"
 
-    def rows(pdf: pd.DataFrame, split) -> pd.DataFrame:  # noqa: ANN001
-        out = [(r, f, k, v) for r, f, *cell in zip(*(pdf[c] for c in pdf.columns)) for k, v in enumerate(split(*cell), 1)]
-        return pd.DataFrame(out, columns=["row_id", "field_name", "pos_no", "item_text"])
+def _pieces(text: str, separators: str) -> list[str]:
+    cuts = _cuts(text, separators)
+    return [text[s:e] for s, e in zip([0, *[c + 1 for c in cuts]], [*cuts, len(text)])]
+
 
+def _covered(cells: DataFrame, dictionary: DataFrame, told: Callable[[str, str, Automaton], list[tuple]], columns: str, max_dictionary_bytes: int) -> DataFrame:
+    """Rows (row_id, field_name, *columns): what ``told`` (kind, cell, automaton) says of each cell.
+
+    A dictionary within the bound is broadcast and becomes one automaton a task. A larger one is joined
+    to the cells by the hash of the two pieces that a value begins with, and each batch of cells has an
+    automaton of the values that may stand in it.
+    """
+    schema = f"row_id bigint, field_name string, {columns}"
+    names = [c.split()[0] for c in schema.split(", ")]
+    size = dictionary.agg(F.coalesce(F.sum(F.octet_length("value") + 64), F.lit(0))).first()[0]
     if size <= max_dictionary_bytes:
-        shared = cells.sparkSession.sparkContext.broadcast([r.value for r in dictionary.collect()])
+        listed: dict[str, dict[str, int]] = {}
+        for r in dictionary.collect():
+            listed.setdefault(r.kind, {})[r.value] = r.n
+        shared = cells.sparkSession.sparkContext.broadcast(listed)
 
         def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            automaton = Automaton(shared.value)
+            automata = {k: Automaton(v) for k, v in shared.value.items()}
             for pdf in batches:
-                yield rows(pdf, lambda kind, cell: split_cell(cell, _separators_of(kind), automaton))
+                out = [(r, f, *t) for r, f, k, c in zip(*(pdf[x] for x in ("row_id", "field_name", "kind", "cell"))) for t in told(k, c, automata.get(k))]
+                yield pd.DataFrame(out, columns=names)
 
         return cells.mapInPandas(whole, schema)
 
-    # each shard of the dictionary is broadcast in its turn and searched in all cells; spans meet again by cell
-    shards = int(-(-size // max_dictionary_bytes))
-    found = None
-    for k in range(shards):
-        shard = dictionary.where(F.pmod(F.xxhash64("value"), F.lit(shards)) == k)
-        part = cells.mapInPandas(_spans(cells.sparkSession.sparkContext.broadcast([r.value for r in shard.collect()])), "row_id bigint, field_name string, spans array<array<int>>")
-        found = part if found is None else found.unionByName(part)
-    spans = found.groupBy("row_id", "field_name").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    def first_key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(key=[start_key([*_pieces(v, _separators_of(k)), ""]) for k, v in zip(pdf["kind"], pdf["value"])])
 
-    def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def split(kind: str, cell: str, found) -> list[str]:  # noqa: ANN001
-            values = _json_list(cell)
-            if values is not None:
-                return [v for v in values if v]
-            return segment(cell, _separators_of(kind), [(int(s), int(e)) for s, e in (found if found is not None else ())])
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            parts = [_pieces(c, _separators_of(k)) for k, c in zip(pdf["kind"], pdf["cell"])]
+            yield pdf.assign(keys=[list({start_key(p[i : i + 2]) for i in range(len(p) - 1)}) for p in parts])
+
+    known = dictionary.select("kind", "value", "n").mapInPandas(first_key, "kind string, value string, n bigint, key bigint")
+    places = cells.mapInPandas(keyed, "row_id bigint, field_name string, kind string, cell string, keys array<bigint>")
+    met = places.select("row_id", "field_name", "kind", F.explode("keys").alias("key")).join(known, ["kind", "key"])
+    may = met.groupBy("row_id", "field_name", "kind").agg(F.collect_set(F.struct("value", "n")).alias("may"))
 
+    def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield rows(pdf, split)
+            here: dict[str, dict[str, int]] = {}
+            for k, values in zip(pdf["kind"], pdf["may"]):
+                here.setdefault(k, {}).update({v["value"]: v["n"] for v in (values if values is not None else ())})
+            automata = {k: Automaton(v) for k, v in here.items()}
+            out = [(r, f, *t) for r, f, k, c in zip(*(pdf[x] for x in ("row_id", "field_name", "kind", "cell"))) for t in told(k, c, automata[k])]
+            yield pd.DataFrame(out, columns=names)
 
-    return cells.join(spans, ["row_id", "field_name"], "left").select("row_id", "field_name", "kind", "cell", "spans").mapInPandas(cover, schema)
+    return cells.join(may, ["row_id", "field_name", "kind"], "left").select("row_id", "field_name", "kind", "cell", "may").mapInPandas(cover, schema)
 
 
-def _spans(shared):  # noqa: ANN001, ANN202
-    """Search of one shard's values in cells: (row_id, field_name, spans) where something was found."""
+def _filled(cells: DataFrame) -> DataFrame:
+    return cells.where("cell IS NOT NULL AND trim(cell) <> ''").select("row_id", "field_name", "kind", "cell")
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = Automaton(shared.value)
-        for pdf in batches:
-            hits = ((r, f, automaton.spans(c)) for r, f, c in zip(pdf["row_id"], pdf["field_name"], pdf["cell"]))
-            yield pd.DataFrame([(r, f, [list(s) for s in h]) for r, f, h in hits if h], columns=["row_id", "field_name", "spans"])
 
-    return search
+def _known(cells: DataFrame, known: DataFrame | None) -> DataFrame:
+    learned = learn_dictionary(cells)
+    if known is not None:
+        learned = learned.unionByName(known.select("kind", "value", F.lit(1).cast("bigint").alias("n")).where("value <> ''")).groupBy("kind", "value").agg(F.sum("n").alias("n"))
+    return materialize(learned, "known-values")
+
+
+def split_values(cells: DataFrame, *, known: DataFrame | None = None, max_dictionary_bytes: int = MAX_DICTIONARY_BYTES) -> DataFrame:
+    """One row per value of ``cells`` (row_id, field_name, kind, cell): (row_id, field_name, pos_no, item_text).
+
+    ``kind`` is "ids" where blanks separate too, else "text". pos_no counts the non-empty values
+    from 1; repeated values stay; null and blank cells give no row. ``known`` (kind, value) adds whole
+    values to the learned ones: they keep their separators even without quotes or brackets. The
+    dictionary is broadcast only if its measured size is within ``max_dictionary_bytes``.
+    """
+    cells = _filled(cells)
+    said = lambda kind, cell, automaton: list(enumerate(split_cell(cell, _separators_of(kind), automaton), 1))
+    return _covered(cells, _known(cells, known), said, "pos_no bigint, item_text string", max_dictionary_bytes)
+
+
+def decided_cells(cells: DataFrame, *, known: DataFrame | None = None, max_dictionary_bytes: int = MAX_DICTIONARY_BYTES) -> DataFrame:
+    """(row_id, field_name, decided) of every filled cell: would it be split otherwise without the dictionary?"""
+    cells = _filled(cells)
+
+    def differs(kind: str, cell: str, automaton: Automaton | None) -> list[tuple]:
+        seps = _separators_of(kind)
+        return [(split_cell(cell, seps, automaton) != split_cell(cell, seps),)]
+
+    return _covered(cells, _known(cells, known), differs, "decided boolean", max_dictionary_bytes)
 
 
 def packed_cells(df: DataFrame, *, row_id: str, fields: dict[str, str]) -> DataFrame:

@@ -33,12 +33,21 @@ def p1_rules(spark: SparkSession, sf: str) -> DataFrame:
 PACKED_FIELDS = {"evidence_ids": "ids", "alternative_chinese": "text"}
 
 
+def _packed(spark: SparkSession, sf: str) -> DataFrame:
+    return packed_cells.packed_cells(table(spark, sf, "terminology_registry"), row_id="row_id", fields=PACKED_FIELDS)
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return packed_cells.split_values(packed_cells.packed_cells(table(spark, sf, "terminology_registry"), row_id="row_id", fields=PACKED_FIELDS))
+    return packed_cells.split_values(_packed(spark, sf))
 
 
 def p2_dictionary(spark: SparkSession, sf: str) -> DataFrame:
-    return packed_cells.learn_dictionary(packed_cells.packed_cells(table(spark, sf, "terminology_registry"), row_id="row_id", fields=PACKED_FIELDS).where("cell IS NOT NULL"))
+    return packed_cells.learn_dictionary(_packed(spark, sf).where("cell IS NOT NULL"))
+
+
+def p2_decided(spark: SparkSession, sf: str) -> DataFrame:
+    """How many cells the dictionary decides: they would be split otherwise without it."""
+    return packed_cells.decided_cells(_packed(spark, sf)).groupBy("field_name").agg(F.count("*").alias("n_cells"), F.count_if("decided").alias("n_decided"))
 
 
 CHAIN = ["paragraph", "claim", "anchor"]
@@ -127,7 +136,7 @@ def p5_report(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_records": p1_records, "p1_versions": p1_versions, "p1_rules": p1_rules,
-    "p2_found": p2_found, "p2_dictionary": p2_dictionary,
+    "p2_found": p2_found, "p2_dictionary": p2_dictionary, "p2_decided": p2_decided,
     "p3_found": p3_found, "p3_paragraphs": _p3_table("paragraph", 1), "p3_claims": _p3_table("claim", 2), "p3_anchors": _p3_table("anchor", 3),
     "p4_found": p4_found, "p4_attribute_log": p4_attribute_log, "p4_versions": p4_versions,
     "p5_found": p5_found, "p5_report": p5_report,

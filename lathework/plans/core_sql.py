@@ -146,16 +146,21 @@ def _packed(field: str, blanks: str) -> str:
     # a value is a run of quoted parts, bracketed parts and characters that neither separate nor open; brackets hold no brackets here
     item = rf'(?:"(?:[^"]|"")*"|“[^”]*”|\([^()（）]*\)|（[^()（）]*）|[^{_SEPARATORS}{blanks}"“(（])+'
     return f"""
-  SELECT row_id, '{field}' AS field_name, CASE WHEN starts_with(trim({field}), '[') AND json_valid({field}) THEN list_transform(json_extract_string({field}, '$[*]'), lambda x: trim(x))
-    ELSE list_transform(regexp_extract_all({field}, '{item}'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) END AS items FROM terminology_registry WHERE {field} IS NOT NULL"""
+  SELECT row_id, '{field}' AS field_name, starts_with(trim({field}), '[') AND json_valid({field}) AS listed, CASE WHEN starts_with(trim({field}), '[') AND json_valid({field}) THEN list_transform(json_extract_string({field}, '$[*]'), lambda x: trim(x))
+    ELSE list_transform(regexp_extract_all({field}, '{item}'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) END AS items FROM terminology_registry WHERE regexp_matches({field}, '[^ ]')"""
 
 
+_P2_RAW = "WITH raw AS (" + _packed("evidence_ids", " \\t") + " UNION ALL " + _packed("alternative_chinese", "") + "), "
 P2_FOUND = (
-    "WITH raw AS (" + _packed("evidence_ids", " \\t") + " UNION ALL " + _packed("alternative_chinese", "") + r"""),
+    _P2_RAW + r"""
 plain AS (SELECT row_id, field_name, list_filter(list_transform(items, lambda x: CASE WHEN length(x) > 1 AND x[1] = '"' AND x[-1] = '"' THEN trim(replace(x[2:-2], '""', '"'))
   WHEN length(x) > 1 AND x[1] = '“' AND x[-1] = '”' THEN trim(x[2:-2]) ELSE x END), lambda x: x <> '') AS items FROM raw)
 SELECT row_id, field_name, CAST(pos AS BIGINT) AS pos_no, items[pos] AS item_text FROM (SELECT *, unnest(range(1, len(items) + 1)) AS pos FROM plain)"""
 )
+# values that hold a separator: those the dictionary knows
+_P2_HELD = f"list_filter(items, lambda x: regexp_matches(x, '[{_SEPARATORS}' || CASE field_name WHEN 'evidence_ids' THEN ' \\t' ELSE '' END || ']'))"
+P2_DICTIONARY = _P2_RAW + f"held AS (SELECT CASE field_name WHEN 'evidence_ids' THEN 'ids' ELSE 'text' END AS kind, unnest({_P2_HELD}) AS value FROM raw WHERE NOT listed) SELECT kind, value, count(*) AS n FROM held GROUP BY ALL"
+P2_DECIDED = _P2_RAW + f"held AS (SELECT field_name, NOT listed AND len({_P2_HELD}) > 0 AS decided FROM raw) SELECT field_name, count(*) AS n_cells, count(*) FILTER (WHERE decided) AS n_decided FROM held GROUP BY field_name"
 
 
 def _elements(j: str) -> str:
@@ -205,4 +210,4 @@ P4_ATTRIBUTE_LOG = (
     + " SELECT workspace_id, term_id, attribute, value, strftime(a, '%Y-%m-%d') AS valid_from, CASE WHEN o THEN '' ELSE strftime(n, '%Y-%m-%d') END AS valid_to FROM logs"
 )
 
-SQL = {"p1_found": P1_FOUND, "p1_versions": P1_VERSIONS, "p1_records": P1_RECORDS, "p1_rules": P1_RULES, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_paragraphs": P3_PARAGRAPHS, "p3_claims": P3_CLAIMS, "p3_anchors": P3_ANCHORS, "p4_found": P4_FOUND, "p4_attribute_log": P4_ATTRIBUTE_LOG, "p4_versions": P4_VERSIONS, "p5_found": P5_FOUND, "p5_report": P5_REPORT}
+SQL = {"p1_found": P1_FOUND, "p1_versions": P1_VERSIONS, "p1_records": P1_RECORDS, "p1_rules": P1_RULES, "p2_found": P2_FOUND, "p2_dictionary": P2_DICTIONARY, "p2_decided": P2_DECIDED, "p3_found": P3_FOUND, "p3_paragraphs": P3_PARAGRAPHS, "p3_claims": P3_CLAIMS, "p3_anchors": P3_ANCHORS, "p4_found": P4_FOUND, "p4_attribute_log": P4_ATTRIBUTE_LOG, "p4_versions": P4_VERSIONS, "p5_found": P5_FOUND, "p5_report": P5_REPORT}
