@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, text_or_blank
+from ..session import materialize
 
 SALT = 32
+MAX_CALENDAR_ROWS = 500_000  # of a calendar that is broadcast: about 30 bytes each
 
 
 def latest_rows(df: DataFrame, keys: Sequence[str], values: Sequence[str | Column], *, loaded_at: str, row_id: str) -> DataFrame:
@@ -33,14 +35,16 @@ def snapshot_calendar(df: DataFrame, *, scope: str, date: str) -> DataFrame:
     )
 
 
-def attribute_log(df: DataFrame, *, scope: str, date: str, entity: str, attributes: Sequence[str], loaded_at: str, row_id: str) -> DataFrame:
+def attribute_log(df: DataFrame, *, scope: str, date: str, entity: str, attributes: Sequence[str], loaded_at: str, row_id: str, max_calendar_rows: int = MAX_CALENDAR_ROWS) -> DataFrame:
     """Per-attribute change log with intervals: (scope, entity, attribute, value, valid_from, valid_to).
 
     A row opens where the attribute takes a value that the snapshot just before did not show (the
     entity was absent, or the value was another); valid_to is the next change of this attribute, or
     the first later snapshot without the entity, or null. Null and blank values are one and the
     same. Rows without scope, date or entity make no version, though rows without entity still
-    date a snapshot. An empty table gives an empty log.
+    date a snapshot. An empty table gives an empty log. The calendar of all scopes is broadcast if it
+    has at most ``max_calendar_rows`` rows. All that follows the rows' one exchange by entity stays in
+    the partitions it makes.
     """
     values = [text_or_blank(F.col(a)).alias(f"_a{i}") for i, a in enumerate(attributes)]
     names = [f"_a{i}" for i in range(len(attributes))]
@@ -48,12 +52,14 @@ def attribute_log(df: DataFrame, *, scope: str, date: str, entity: str, attribut
         F.col(scope).alias("_scope"), F.col(date).alias("_date"), F.nullif(strip(F.col(entity)), F.lit("")).alias("_entity"),
         F.col(loaded_at).alias("_loaded"), F.col(row_id).alias("_row"), *values,
     )
-    calendar = snapshot_calendar(known, scope="_scope", date="_date")
+    calendar = materialize(snapshot_calendar(known, scope="_scope", date="_date"), "calendar")
     rows = latest_rows(known.where("_scope IS NOT NULL AND _date IS NOT NULL AND _entity IS NOT NULL"), ["_scope", "_date", "_entity"], names, loaded_at="_loaded", row_id="_row")
-    # a scope may hold a third of all rows, so its dates are spread over SALT sub-keys; the calendar is repeated for each
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_entity"), F.lit(SALT)).cast("int"))
-    calendar = calendar.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    rows = rows.join(calendar, ["_scope", "_date", "_salt"]).drop("_salt")
+    if calendar.count() <= max_calendar_rows:
+        rows = rows.join(F.broadcast(calendar), ["_scope", "_date"])
+    else:
+        # a scope may hold a third of all rows, so its dates are spread over SALT sub-keys; the calendar is repeated for each
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_entity"), F.lit(SALT)).cast("int"))
+        rows = rows.join(calendar.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["_scope", "_date", "_salt"]).drop("_salt")
 
     w = Window.partitionBy("_scope", "_entity").orderBy("seq")
     before, after = F.lag("seq").over(w), F.lead("seq").over(w)
@@ -74,9 +80,11 @@ def attribute_log(df: DataFrame, *, scope: str, date: str, entity: str, attribut
 
 def combine_intervals(log: DataFrame, attributes: Sequence[str]) -> DataFrame:
     """Versions from the attribute log: (scope, entity, *attributes, valid_from, valid_to)."""
-    starts = log.select("scope", "entity", F.col("valid_from").alias("at"), "attribute", "value")
-    stops = log.where("valid_to IS NOT NULL").select("scope", "entity", F.col("valid_to").alias("at"), "attribute", F.lit(None).cast("string").alias("value"))
-    cut = starts.unionByName(stops).groupBy("scope", "entity", "at").agg(
+    # both ends of an interval come from one row, so that the log is worked out once
+    opens = F.struct(F.col("valid_from").alias("at"), "value")
+    closes = F.struct(F.col("valid_to").alias("at"), F.lit(None).cast("string").alias("value"))
+    ends = log.select("scope", "entity", "attribute", F.explode(F.array(opens, closes)).alias("e")).select("scope", "entity", "attribute", "e.*").where("at IS NOT NULL")
+    cut = ends.groupBy("scope", "entity", "at").agg(
         *[F.max(F.when(F.col("attribute") == a, F.col("value"))).alias(f"_v{i}") for i, a in enumerate(attributes)],
         *[F.max(F.when(F.col("attribute") == a, F.col("value").isNull())).alias(f"_s{i}") for i, a in enumerate(attributes)],
     )
@@ -97,5 +105,5 @@ def combine_intervals(log: DataFrame, attributes: Sequence[str]) -> DataFrame:
     return run.where(some).select("scope", "entity", *[F.col(f"_now._c{i}").alias(a) for i, a in enumerate(attributes)], "valid_from", "valid_to")
 
 
-def versions(df: DataFrame, *, scope: str, date: str, entity: str, attributes: Sequence[str], loaded_at: str, row_id: str) -> DataFrame:
-    return combine_intervals(attribute_log(df, scope=scope, date=date, entity=entity, attributes=attributes, loaded_at=loaded_at, row_id=row_id), attributes)
+def versions(df: DataFrame, *, scope: str, date: str, entity: str, attributes: Sequence[str], loaded_at: str, row_id: str, max_calendar_rows: int = MAX_CALENDAR_ROWS) -> DataFrame:
+    return combine_intervals(attribute_log(df, scope=scope, date=date, entity=entity, attributes=attributes, loaded_at=loaded_at, row_id=row_id, max_calendar_rows=max_calendar_rows), attributes)

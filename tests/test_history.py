@@ -67,3 +67,5 @@ def test_against_brute_force(spark, rows):
                 if now and not start:
                     start = (day, now)
     assert set(versions(spark, rows, data)) == want
+    joined = history.versions(frame(spark, data), **ARGS, max_calendar_rows=0)
+    assert set(rows(joined, "scope", "entity", "status", "valid_from", "valid_to")) == want

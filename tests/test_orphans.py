@@ -24,8 +24,8 @@ def spans(spark, data):
     return orphans.periods_from_rows(df, field="fk", key="id", start="a", stop="z")
 
 
-def found(rows, r, p, total=10):
-    return rows(orphans.orphans(r, p, total), "row_id", "reason")
+def found(rows, r, p, total=10, **how):
+    return rows(orphans.orphans(r, p, total, **how), "row_id", "reason")
 
 
 def test_reasons_and_boundaries(spark, rows):
@@ -61,5 +61,14 @@ def test_hot_keys_against_brute_force(spark, rows):
             want.append((i, "LATE"))
         elif not before[-1][2]:
             want.append((i, "DELETED"))
-    for total in (400, 10**9):  # with and without heavy keys
-        assert found(rows, refs(spark, uses), events(spark, log), total) == sorted(want, key=repr)
+    for total, most in ((400, 10**6), (10**9, 10**6), (400, 0), (150_000, 10**6)):  # all keys heavy, none, heavy without broadcast, one heavy
+        assert found(rows, refs(spark, uses), events(spark, log), total, max_broadcast_rows=most) == sorted(want, key=repr)
+    counts = rows(orphans.orphan_counts(refs(spark, uses), events(spark, log), 150_000), "ref_month", "reason", "n_orphans")
+    month = {i: at(h).strftime("%Y-%m") for i, (_, h) in enumerate(uses)}
+    assert counts == sorted({(month[i], r, sum(month[j] == month[i] and s == r for j, s in want)) for i, r in want}, key=repr)
+
+
+def test_heavy_keys_are_checked_by_broadcast_and_the_rest_by_anti_join(spark):
+    r, p = refs(spark, [("hot", h) for h in range(50)] + [("cold", 1)]), spans(spark, [("HOT", 3, 9), ("HOT", 20, 30), ("HOT", 25, 40)])
+    bad = {(x.key, x.heavy, x.verdict, x.n) for x in orphans.judged_groups(r, p, 40_000)[0].collect()}
+    assert bad == {("HOT", True, "MIXED", 50), ("COLD", False, "MISSING", 1)}
