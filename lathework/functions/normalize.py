@@ -235,11 +235,7 @@ def mapped(c: Column, values: Mapping[str, str], default: str) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), c), F.lit(default))
 
 
-# fixed value: marks of internal records that public text must not hold
-INTERNAL_MARKS = r"(?i)\b(?:AUD|AN|CLM)-\d+\b|\bZotero\s*key\b|B\s*§\s*\d|\bSI\s*(?:Table|Figure)\s*S?\d+"
-
-
-def marks_found(c: Column, pattern: str = INTERNAL_MARKS) -> Column:
+def marks_found(c: Column, pattern: str) -> Column:
     """Distinct matches of a pattern of forbidden marks; an empty array is a pass."""
     return F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(0)))
 
@@ -301,7 +297,7 @@ def text_role(kind: Column, size: Column, body_size: Column, text: Column) -> Co
     return (
         F.when(kind == "title", "TITLE").when((kind == "heading") & (size >= body_size * 1.55), "H1").when((kind == "heading") & (size >= body_size * 1.30), "H2").when(kind == "heading", "H3")
         .when(kind == "table_cell", "TABLE_TEXT").when(t.startswith("abstract"), "ABSTRACT").when(t.rlike(r"^(fig(?:ure)?\.?|table|supplementary\s+(?:fig|table))\s*\d"), "CAPTION")
-        .when(t.rlike(r"^(?:https?://\S+|(?:doi\s*:?\s*)?10\.\d{4,9}/\S+)$"), "DOI_URL").when(kind.isin("page_header", "page_footer"), "OTHER").otherwise("BODY")
+        .when(t.rlike(r"^(?:https?://\S+|(?:doi\s*:?\s*)?10\.\d{4,9}/\S+)$"), "DOI_URL").when(kind.isin("header", "footer"), "OTHER").otherwise("BODY")
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import identity
@@ -36,10 +36,10 @@ def matching_rows(left: DataFrame, right: DataFrame, keys: Sequence[tuple[Sequen
     return hits.dropDuplicates(["_row"]).drop("_row")
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str | Column]) -> DataFrame:
-    """The rows an append guarded by ``keys`` accepts: the first per key in ``order``."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows an append guarded by ``keys`` accepts: the first per key in ``order``. Null keys are one key. An aggregation, combined before the shuffle."""
+    first = F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_first")
+    return df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(first).select("_first.*")
 
 
 def duplicate_identities(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -62,8 +62,10 @@ def current_rows(df: DataFrame, *, key: str, flag: str, preferred: str, order: s
 
     ``flag`` and ``preferred`` are boolean columns; ``order`` decides what is last.
     """
-    all_rows, last = Window.partitionBy(key), F.col(order).desc()
-    df = df.withColumn("_flags", F.sum(F.coalesce(F.col(flag), F.lit(False)).cast("int")).over(all_rows)).withColumn("_prefs", F.sum(F.coalesce(F.col(preferred), F.lit(False)).cast("int")).over(all_rows))
-    rank = F.when((F.col("_flags") == 1) & F.col(flag), 0).when(F.col(preferred), 1).otherwise(2)
-    df = df.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(rank, last))).where("_rn = 1")
-    return df.withColumn("ambiguous", (F.col("_flags") != 1) & (F.col("_prefs") > 1)).drop("_flags", "_prefs", "_rn")
+    flagged, favoured = F.coalesce(F.col(flag), F.lit(False)), F.coalesce(F.col(preferred), F.lit(False))
+    last = lambda when: F.max_by(F.struct(*df.columns), F.when(when, F.col(order)))
+    per = df.groupBy(F.col(key).alias("_key")).agg(
+        F.count_if(flagged).alias("_flags"), F.count_if(favoured).alias("_prefs"), last(flagged).alias("_f"), last(favoured).alias("_p"), last(F.lit(True)).alias("_l")
+    )
+    row = F.when(F.col("_flags") == 1, F.col("_f")).when(F.col("_prefs") > 0, F.col("_p")).otherwise(F.col("_l"))
+    return per.select(row.alias("_row"), ((F.col("_flags") != 1) & (F.col("_prefs") > 1)).alias("ambiguous")).select("_row.*", "ambiguous")

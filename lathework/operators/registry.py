@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import component, ordered_union
 from ..functions.text import strip, text_or_blank
+from ..session import materialize
 from .token_compare import terms_in_texts
 
 
@@ -29,8 +30,8 @@ def ambiguous_terms(df: DataFrame) -> DataFrame:
 def resolve(queries: DataFrame, registry: DataFrame, *, parts: Sequence[str] = ("domain", "subdomain", "context")) -> DataFrame:
     """Each query (query_id, english_term, parts; null part: any) with its candidates and decision.
 
-    REUSE if exactly one candidate fits and it is of high confidence, active or contextual and has evidence; else VERIFY.
-    Candidates meet by term first (equi-join), the other parts filter.
+    REUSE if exactly one of the candidates that fit is of high confidence, active or contextual and has evidence, whatever
+    others fit; else VERIFY. Candidates meet by term first (equi-join), the other parts filter.
     """
     q = queries.select("query_id", component(F.col("english_term")).alias("_t"), *[F.when(F.col(p).isNotNull(), component(F.col(p))).alias(f"_q_{p}") for p in parts])
     r = registry.select(
@@ -41,28 +42,34 @@ def resolve(queries: DataFrame, registry: DataFrame, *, parts: Sequence[str] = (
     fits = F.col("term_id").isNotNull()
     for p in parts:
         fits = fits & (F.col(f"_q_{p}").isNull() | (F.col(f"_q_{p}") == F.col(f"_r_{p}")))
-    per = j.groupBy("query_id").agg(F.count_if(fits).alias("n_candidates"), F.count_if(fits & F.col("_good")).alias("n_good"), F.min(F.when(fits, F.col("term_id"))).alias("_first"))
-    reuse = (F.col("n_candidates") == 1) & (F.col("n_good") == 1)
+    per = j.groupBy("query_id").agg(F.count_if(fits).alias("n_candidates"), F.count_if(fits & F.col("_good")).alias("n_good"), F.min(F.when(fits & F.col("_good"), F.col("term_id"))).alias("_first"))
+    reuse = F.col("n_good") == 1
     return per.select("query_id", "n_candidates", F.when(reuse, "REUSE").otherwise("VERIFY").alias("decision"), F.when(reuse, F.col("_first")).otherwise("").alias("term_id"))
 
 
-def evidence_state(events: DataFrame, *, key: Column, target: Column, kind: str, order: str, payload: Sequence[str], updated: str, update: str) -> DataFrame:
-    """Fold of an event log in the order of ``order``: (id, payload, updated, state).
+# fixed values: the events that change a record; any other one adds it
+CHANGES = ("DEPRECATE", "UNLINK", "UPDATE_SUPPORTS")
 
-    ADD (or no type) sets the record and starts it anew; DEPRECATE and UPDATE_SUPPORTS change an existing record; others change
-    nothing; events on unknown targets or before the last ADD are lost. A single aggregation, combined before the shuffle: what
-    came last of each kind, and whether that was after the last ADD.
+
+def evidence_state(events: DataFrame, *, key: Column, target: Column, kind: str, order: str, payload: Sequence[str], updates: Mapping[str, str], guard: str) -> DataFrame:
+    """Fold of an event log in the order of ``order``: (id, payload, updated columns, state).
+
+    An addition (any kind but CHANGES, or none) sets the record and starts it anew. DEPRECATE marks it. UPDATE_SUPPORTS
+    counts only if ``guard`` is not null; then each of ``updates`` (column -> column of the update) that is not null there
+    replaces the record's. UNLINK changes nothing; events on unknown targets or before the last addition are lost. A single
+    aggregation, combined before the shuffle: what came last of each kind, and whether that was after the last addition.
     """
-    is_add = F.coalesce(F.col(kind), F.lit("ADD")) == "ADD"
+    is_add = F.col(kind).isNull() | ~F.col(kind).isin(*CHANGES)
     e = events.withColumn("_add", is_add).withColumn("_id", F.nullif(strip(F.when(is_add, key).otherwise(target)), F.lit(""))).where("_id IS NOT NULL")
     last = lambda when: F.when(when, F.col(order))
-    deprecates, updates = F.col(kind) == "DEPRECATE", F.col(kind) == "UPDATE_SUPPORTS"
+    update = (F.col(kind) == "UPDATE_SUPPORTS") & F.col(guard).isNotNull()
+    newest = [f(i, update & F.col(c).isNotNull(), c) for i, c in enumerate(updates.values()) for f in (lambda i, w, c: F.max(last(w)).alias(f"_u{i}"), lambda i, w, c: F.max_by(F.struct(F.col(c).alias("v")), last(w)).alias(f"_n{i}"))]
     fold = e.groupBy("_id").agg(
-        F.max_by(F.struct(*payload, F.col(updated), F.col("status")), last(F.col("_add"))).alias("_r"), F.max(last(F.col("_add"))).alias("_at"),
-        F.max(last(deprecates)).alias("_dep"), F.max(last(updates)).alias("_upd"), F.max_by(F.struct(F.col(update).alias("v")), last(updates)).alias("_new"),
+        F.max_by(F.struct(*payload, *updates, F.col("status")), last(F.col("_add"))).alias("_r"), F.max(last(F.col("_add"))).alias("_at"), F.max(last(F.col(kind) == "DEPRECATE")).alias("_dep"), *newest
     ).where("_at IS NOT NULL")
+    replaced = [F.when(F.col(f"_u{i}") > F.col("_at"), F.col(f"_n{i}.v")).otherwise(F.col(f"_r.{c}")).alias(c) for i, c in enumerate(updates)]
     return fold.select(
-        F.col("_id").alias("id"), *[F.col(f"_r.{p}") for p in payload], F.coalesce(F.when(F.col("_upd") > F.col("_at"), F.col("_new.v")), F.col(f"_r.{updated}")).alias(updated),
+        F.col("_id").alias("id"), *[F.col(f"_r.{p}") for p in payload], *replaced,
         F.when(F.col("_dep") > F.col("_at"), "DEPRECATED").otherwise(F.coalesce(F.col("_r.status"), F.lit("ACTIVE"))).alias("state"),
     )
 
@@ -181,13 +188,29 @@ def reconcile(target: DataFrame, updates: DataFrame, *, key: str, fields: Sequen
 
 
 def append_new(target: DataFrame, rows: DataFrame, keys: Sequence[Sequence[str]]) -> DataFrame:
-    """Rows that may be appended: unknown to ``target`` under every key, and the first of their kind among themselves (by all columns)."""
-    out = rows
+    """Rows that may be appended one after the other (in the order of all columns): those that share no key with ``target`` or with a row appended before.
+
+    A key with a null in it matches nothing. With one key a round decides all; with several, a row that
+    shares a key with a refused one only is decided in the next round.
+    """
+    fresh = rows
     for k in keys:
-        out = out.join(target.select(*k).distinct(), list(k), "left_anti")
-        w = Window.partitionBy(*k).orderBy(*rows.columns)
-        out = out.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-    return out.select(*rows.columns)
+        fresh = fresh.join(target.select(*k).distinct(), list(k), "left_anti")
+    left = materialize(fresh.orderBy(*rows.columns).withColumn("_n", F.monotonically_increasing_id()), "fresh-rows")
+    out = None
+    while True:
+        judged, first = left, F.lit(True)
+        for i, k in enumerate(keys):
+            judged = judged.join(left.groupBy(*k).agg(F.min("_n").alias(f"_f{i}")), list(k), "left")
+            first = first & (F.col(f"_f{i}").isNull() | (F.col(f"_f{i}") == F.col("_n")))
+        taken = materialize(judged.where(first).select(*left.columns), "appended-rows")
+        out = taken if out is None else out.unionByName(taken)
+        left = left.join(taken.select("_n"), "_n", "left_anti")
+        for k in keys:
+            left = left.join(taken.select(*k).distinct(), list(k), "left_anti")
+        left = materialize(left.select(*taken.columns), "fresh-rows") if len(keys) > 1 else None
+        if left is None or left.isEmpty():
+            return out.select(*rows.columns)
 
 
 def change_preferred(registry: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -44,4 +44,5 @@ def preferred_version(df: DataFrame, *, key: str, kind: str, order: Sequence[str
     """One row per key: the kind that comes first in ``order``, ties to the latest ``version``."""
     place = F.coalesce(F.array_position(F.array(*[F.lit(k) for k in order]), F.col(kind)), F.lit(0))
     rank = F.when(place == 0, len(order) + 1).otherwise(place)
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(rank, F.col("version").desc_nulls_last()))).where("_rn = 1").drop("_rn")
+    best = F.max_by(F.struct(*[c for c in df.columns if c != key]), F.struct(-rank, F.col("version")))
+    return df.groupBy(key).agg(best.alias("_best")).select(key, "_best.*")

@@ -122,8 +122,8 @@ def line_blocks(lines: DataFrame, *, page: Sequence[str], factor: float = 1.6) -
 
 
 def block_kind(*, top: Column, bottom: Column, page_height: Column, size: Column, body_size: Column, lines: Column, text: Column, bold: Column, in_table: Column) -> Column:
-    """Kind of a block by its place and size; the first rule that holds."""
-    short = F.length(text) <= 120
+    """Kind of a block by its place and size (one that text_role understands); the first rule that holds. Bold text is a heading if it has two lines at most."""
+    short = lines <= 2
     return (
         F.when(in_table, "table_cell").when(bottom < page_height * 0.06, "header").when(top > page_height * 0.94, "footer")
         .when((lines >= 3) & (F.length(text) >= 160), "paragraph").when(size >= F.greatest(F.lit(14.0), body_size * 1.7), "title")

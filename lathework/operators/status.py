@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import markdown_cell
-from .ordered import carry_forward
 
 # fixed values: statuses from the one that wins to the one that yields
 PRECEDENCE = ("CONFLICT", "MISSING", "PRESENT_UNVERIFIED", "VERIFIED", "UNKNOWN")
@@ -29,9 +28,10 @@ def reduced(df: DataFrame, group: Sequence[str], status: str, precedence: Sequen
 
 def latest_known(observations: DataFrame, *, key: Sequence[str], order: str, status: str, unknown: str = "UNKNOWN") -> DataFrame:
     """One row per key: the latest observation, with ``last_known``: the latest one that was not unknown (never the unknown itself)."""
-    d = carry_forward(observations, key=key, order=order, value=status, known=F.col(status) != unknown)
-    w = Window.partitionBy(*key).orderBy(F.col(order).desc())
-    return d.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    per = observations.groupBy(*key).agg(
+        F.max_by(F.struct(*[c for c in observations.columns if c not in key]), order).alias("_last"), F.max_by(status, F.when(F.col(status) != unknown, F.col(order))).alias("last_known")
+    )
+    return per.select(*key, "_last.*", "last_known")
 
 
 def overview(latest: DataFrame, *, row: str, column: str, value: str, columns: Sequence[str], done: Sequence[str] = ("VERIFIED", "NOT_APPLICABLE"), default: str = "UNKNOWN") -> DataFrame:

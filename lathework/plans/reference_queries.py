@@ -174,12 +174,12 @@ def resolve_context(spark, terminology_registry, term_submissions):
 
 
 def _evidence(log: DataFrame) -> DataFrame:
-    return registry.evidence_state(log, key=F.upper(F.trim("evidence_id")), target=F.upper(F.trim("target_evidence_id")), kind="event_type", order="seq", payload=["evidence_type", "reported_terms"], updated="supports", update="new_supports")
+    return registry.evidence_state(log, key=F.upper(F.trim("evidence_id")), target=F.upper(F.trim("target_evidence_id")), kind="event_type", order="seq", payload=["evidence_type"], updates={"supports": "new_supports", "reported_terms": "reported_terms", "roles": "roles"}, guard="new_supports")
 
 
 @query
 def evidence_fold(spark, terminology_evidence):
-    return _evidence(terminology_evidence).select(F.col("id").alias("evidence_id"), "state", F.coalesce("evidence_type", F.lit("")).alias("evidence_type"), F.coalesce(F.array_join("supports", "|"), F.lit("")).alias("supports"))
+    return _evidence(terminology_evidence).select(F.col("id").alias("evidence_id"), "state", F.coalesce("evidence_type", F.lit("")).alias("evidence_type"), *[F.coalesce(F.array_join(c, "|"), F.lit("")).alias(c) for c in ("supports", "reported_terms", "roles")])
 
 
 @query

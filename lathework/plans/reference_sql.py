@@ -54,17 +54,19 @@ _IDS = r"list_filter(list_transform(string_split_regex(coalesce(evidence_id, '')
 SQL["resolve_context"] = f"""
 WITH q AS (SELECT submission_id AS query_id, {_C.format("json_extract_string(record, '$.English_Term')")} AS t, json_extract_string(record, '$.Domain') AS d FROM term_submissions WHERE json_extract_string(record, '$.English_Term') IS NOT NULL),
 r AS (SELECT term_id, {_C.format('english_term')} AS t, {_C.format('domain')} AS d, confidence = 'HIGH' AND status IN ('ACTIVE', 'CONTEXTUAL') AND len({_IDS}) > 0 AS good FROM terminology_registry WHERE removed_at IS NULL AND trim(english_term) <> ''),
-p AS (SELECT query_id, count(r.term_id) AS n_candidates, count(*) FILTER (WHERE r.good) AS g, min(r.term_id) AS f FROM q LEFT JOIN r ON q.t = r.t AND (q.d IS NULL OR {_C.format('q.d')} = r.d) GROUP BY query_id)
-SELECT query_id, n_candidates, CASE WHEN n_candidates = 1 AND g = 1 THEN 'REUSE' ELSE 'VERIFY' END AS decision, CASE WHEN n_candidates = 1 AND g = 1 THEN f ELSE '' END AS term_id FROM p"""
-_FOLD = """
-ev AS (SELECT seq, coalesce(event_type, 'ADD') AS k, upper(trim(CASE WHEN coalesce(event_type, 'ADD') = 'ADD' THEN evidence_id ELSE target_evidence_id END)) AS id, * EXCLUDE (seq) FROM terminology_evidence),
+p AS (SELECT query_id, count(r.term_id) AS n_candidates, count(*) FILTER (WHERE r.good) AS g, min(r.term_id) FILTER (WHERE r.good) AS f FROM q LEFT JOIN r ON q.t = r.t AND (q.d IS NULL OR {_C.format('q.d')} = r.d) GROUP BY query_id)
+SELECT query_id, n_candidates, CASE WHEN g = 1 THEN 'REUSE' ELSE 'VERIFY' END AS decision, CASE WHEN g = 1 THEN f ELSE '' END AS term_id FROM p"""
+# the log replayed by hand: the last addition, then every later event on it
+_LATER = "(SELECT arg_max(u.{0}, u.seq) FROM ev u WHERE u.id = a.id AND u.seq > a.at AND u.k = 'UPDATE_SUPPORTS' AND u.new_supports IS NOT NULL AND u.{0} IS NOT NULL)"
+_FOLD = f"""
+ev AS (SELECT seq, CASE WHEN event_type IN ('DEPRECATE', 'UNLINK', 'UPDATE_SUPPORTS') THEN event_type ELSE 'ADD' END AS k, upper(trim(CASE WHEN event_type IN ('DEPRECATE', 'UNLINK', 'UPDATE_SUPPORTS') THEN target_evidence_id ELSE evidence_id END)) AS id, * EXCLUDE (seq) FROM terminology_evidence),
 adds AS (SELECT id, max(seq) AS at FROM ev WHERE k = 'ADD' AND id <> '' GROUP BY id),
-state AS (SELECT a.id, e.evidence_type, e.reported_terms, e.supports AS s0, e.status,
-   (SELECT arg_max(u.new_supports, u.seq) FROM ev u WHERE u.id = a.id AND u.seq > a.at AND u.k = 'UPDATE_SUPPORTS') AS s1,
+state AS (SELECT a.id, e.evidence_type, e.supports AS s0, e.reported_terms AS r0, e.roles AS o0, e.status,
+   {_LATER.format('new_supports')} AS s1, {_LATER.format('reported_terms')} AS r1, {_LATER.format('roles')} AS o1,
    EXISTS (SELECT 1 FROM ev g WHERE g.id = a.id AND g.seq > a.at AND g.k = 'DEPRECATE') AS gone
    FROM adds a JOIN ev e ON e.seq = a.at),
-folded AS (SELECT id, evidence_type, reported_terms, coalesce(s1, s0) AS supports, CASE WHEN gone THEN 'DEPRECATED' ELSE coalesce(status, 'ACTIVE') END AS state FROM state)"""
-SQL["evidence_fold"] = f"WITH {_FOLD} SELECT id AS evidence_id, state, coalesce(evidence_type, '') AS evidence_type, coalesce(array_to_string(supports, '|'), '') AS supports FROM folded"
+folded AS (SELECT id, evidence_type, coalesce(s1, s0) AS supports, coalesce(r1, r0) AS reported_terms, coalesce(o1, o0) AS roles, CASE WHEN gone THEN 'DEPRECATED' ELSE coalesce(status, 'ACTIVE') END AS state FROM state)"""
+SQL["evidence_fold"] = f"WITH {_FOLD} SELECT id AS evidence_id, state, coalesce(evidence_type, '') AS evidence_type, coalesce(array_to_string(supports, '|'), '') AS supports, coalesce(array_to_string(reported_terms, '|'), '') AS reported_terms, coalesce(array_to_string(roles, '|'), '') AS roles FROM folded"
 SQL["evidence_links"] = f"""WITH {_FOLD},
 links AS (SELECT DISTINCT term_id, {_C.format('english_term')} AS t, unnest(list_transform({_IDS}, lambda x: upper(x))) AS id FROM terminology_registry),
 issues AS (SELECT DISTINCT term_id, l.id, CASE WHEN f.id IS NULL THEN 'UNKNOWN' WHEN f.state = 'DEPRECATED' THEN 'DEPRECATED' WHEN NOT coalesce(list_contains(list_transform(f.supports, lambda x: lower(trim(x))), l.t), false) THEN 'UNSUPPORTED' END AS issue FROM links l LEFT JOIN folded f ON f.id = l.id)

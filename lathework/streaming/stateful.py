@@ -9,35 +9,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-EVIDENCE_OUT = "id string, seq bigint, supports array<string>, state string"
-EVIDENCE_STATE = "seq bigint, supports array<string>, state string"
+EVIDENCE_OUT = "id string, seq bigint, supports array<string>, reported_terms array<string>, roles array<string>, state string"
+EVIDENCE_STATE = "seq bigint, supports array<string>, reported_terms array<string>, roles array<string>, state string"
 
 
 def fold_evidence(events: DataFrame) -> DataFrame:
-    """Running state of evidence: (id, seq, supports, state) after each micro-batch that touches an id.
+    """Running state of evidence: (id, seq, supports, reported_terms, roles, state) after each micro-batch that touches an id.
 
-    ``events``: (id, seq, kind, supports, status). Within a batch events count in the order of seq; an event at or below the last
-    seq seen is a repeat and is ignored. ADD starts anew, DEPRECATE and UPDATE_SUPPORTS change what exists, others nothing.
+    ``events``: (id, seq, kind, supports, reported_terms, roles, status), of an update its new lists. Within a batch events count in
+    the order of seq; an event at or below the last seq seen is a repeat and is ignored. The rules are those of registry.evidence_state.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, supports, status = state.get if state.exists else (-1, None, None)
+        last, *lists, status = state.get if state.exists else (-1, None, None, None, None)
         pdf = pd.concat(list(batches)).sort_values("seq", kind="stable")
         touched = False
         for r in pdf.itertuples(index=False):
             if r.seq <= last:
                 continue
             last = int(r.seq)
-            kind = r.kind if isinstance(r.kind, str) else "ADD"
-            if kind == "ADD":
-                supports, status, touched = _list(r.supports), r.status if isinstance(r.status, str) else "ACTIVE", True
-            elif status is not None and kind == "DEPRECATE":
+            given = [_list(r.supports), _list(r.reported_terms), _list(r.roles)]
+            if r.kind not in ("DEPRECATE", "UNLINK", "UPDATE_SUPPORTS"):
+                lists, status, touched = given, r.status if isinstance(r.status, str) else "ACTIVE", True
+            elif status is not None and r.kind == "DEPRECATE":
                 status, touched = "DEPRECATED", True
-            elif status is not None and kind == "UPDATE_SUPPORTS":
-                supports, touched = _list(r.supports), True
-        state.update((last, supports, status))
+            elif status is not None and r.kind == "UPDATE_SUPPORTS" and given[0] is not None:
+                lists, touched = [new if new is not None else old for new, old in zip(given, lists)], True
+        state.update((last, *lists, status))
         if touched:
-            yield pd.DataFrame({"id": [key[0]], "seq": [last], "supports": [supports], "state": [status]})
+            yield pd.DataFrame({"id": [key[0]], "seq": [last], "supports": [lists[0]], "reported_terms": [lists[1]], "roles": [lists[2]], "state": [status]})
 
     return events.groupBy("id").applyInPandasWithState(step, EVIDENCE_OUT, EVIDENCE_STATE, "update", GroupStateTimeout.NoTimeout)
 

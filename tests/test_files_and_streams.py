@@ -81,21 +81,32 @@ def test_csv_and_reports(spark, tmp_path, rows):
     assert rows(spark.read.json(str(tmp_path / "o")), "v") == [(1,)]
 
 
-EVENTS = [("A", 2, None, ["x"], None), ("A", 1, "DEPRECATE", None, None), ("A", 3, "UPDATE_SUPPORTS", ["y"], None), ("A", 4, "DEPRECATE", None, None), ("B", 5, "ADD", ["p"], "OLD"), ("C", 6, "DEPRECATE", None, None), ("A", 7, "ADD", ["z"], None)]
-EVENT = "id string, seq long, kind string, supports array<string>, status string"
+N = None
+EVENTS = [
+    ("A", 2, N, ["x"], ["x"], N, N), ("A", 1, "DEPRECATE", N, N, N, N), ("A", 3, "UPDATE_SUPPORTS", ["y"], ["y"], ["r"], N), ("A", 4, "UPDATE_SUPPORTS", N, ["lost"], N, N), ("B", 5, "ADD", ["p"], N, N, "OLD"), ("C", 6, "DEPRECATE", N, N, N, N),
+    ("D", 7, "ADD", ["z"], N, N, N), ("D", 8, "DEPRECATE", N, N, N, N), ("B", 9, "UNLINK", N, N, N, N), ("D", 10, "UPDATE_SUPPORTS", ["w"], N, N, N),
+]
+EVENT = "id string, seq long, kind string, supports array<string>, reported_terms array<string>, roles array<string>, status string"
 
 
 def test_streamed_fold_equals_batch_over_several_batches(spark, tmp_path, rows):
+    from lathework.operators import registry
+
+    log = spark.createDataFrame(EVENTS, EVENT).withColumn("new", F.col("supports"))
+    batch = registry.evidence_state(log, key=F.col("id"), target=F.col("id"), kind="kind", order="seq", payload=[], updates={"supports": "new", "reported_terms": "reported_terms", "roles": "roles"}, guard="new")
+    got = {}
+
+    def keep(df, n):
+        got.update({r.id: (r.id, r.supports, r.reported_terms, r.roles, r.state) for r in df.orderBy("seq").collect()})
+
     for i, part in enumerate((EVENTS[:3], EVENTS[3:], EVENTS[:2])):  # the last part repeats old events
         spark.createDataFrame(part, EVENT).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
         out = stateful.fold_evidence(spark.readStream.schema(EVENT).json(str(tmp_path / "in")))
-        got = {}
-        q = out.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda df, n: got.update({r.id: (r.supports, r.state) for r in df.orderBy("seq").collect()})).trigger(availableNow=True).start()
-        q.awaitTermination()
+        out.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
         if i == 1:
-            assert got == {"A": (["z"], "ACTIVE"), "B": (["p"], "OLD")}
-        if i == 2:
-            assert got == {}
+            assert sorted(got.values()) == rows(batch) == [("A", ["y"], ["y"], ["r"], "ACTIVE"), ("B", ["p"], None, None, "OLD"), ("D", ["w"], None, None, "DEPRECATED")]
+            got.clear()
+    assert got == {}
 
 
 def test_streamed_chains_and_carry(spark, tmp_path, rows):

@@ -97,14 +97,57 @@ def test_identity_rules(spark, rows):
     assert rows(identity.current_rows(docs, key="k", flag="f", preferred="p", order="o"), "k", "o", "ambiguous") == [("k", 2, True), ("m", 1, False), ("z", 3, False)]
 
 
+LOG = "seq long, event_type string, evidence_id string, target string, supports array<string>, new_supports array<string>, reported_terms array<string>, roles array<string>, status string"
+
+
+def fold(spark, events):
+    e = spark.createDataFrame(events, LOG)
+    updates = {"supports": "new_supports", "reported_terms": "reported_terms", "roles": "roles"}
+    return registry.evidence_state(e, key=F.col("evidence_id"), target=F.col("target"), kind="event_type", order="seq", payload=[], updates=updates, guard="new_supports")
+
+
 def test_evidence_fold_rules(spark, rows):
-    e = spark.createDataFrame(
-        [(1, "DEPRECATE", None, "A", None, None, None), (2, None, "A", None, ["x"], None, None), (3, "UPDATE_SUPPORTS", None, "A", None, ["y"], None), (4, "DEPRECATE", None, "A", None, None, None), (5, "ADD", "B", None, ["p"], None, "OLD"),
-         (6, "UNLINK", None, "B", None, None, None), (7, "UPDATE_SUPPORTS", None, "Z", None, ["q"], None), (8, "DEPRECATE", None, "C", None, None, None), (9, "ADD", "C", None, None, None, None)],
-        "seq long, event_type string, evidence_id string, target string, supports array<string>, new_supports array<string>, status string",
+    n = None
+    got = fold(spark, [
+        (1, "DEPRECATE", n, "A", n, n, n, n, n), (2, n, "A", n, ["x"], n, ["x"], ["r"], n), (3, "UPDATE_SUPPORTS", n, "A", n, ["x", "y"], ["y"], n, n), (4, "UPDATE_SUPPORTS", n, "A", n, n, ["z"], ["q"], n), (5, "DEPRECATE", n, "A", n, n, n, n, n),
+        (6, "ADD", "B", n, ["p"], n, n, n, "OLD"), (7, "UNLINK", n, "B", n, n, n, n, n), (8, "UPDATE_SUPPORTS", n, "Z", n, ["q"], n, n, n), (9, "DEPRECATE", n, "C", n, n, n, n, n), (10, "IMPORT", "C", n, n, n, n, n, n),
+        (11, "UPDATE_SUPPORTS", n, "B", n, ["s"], n, ["t"], n), (12, "ADD", "D", n, ["d"], n, ["d"], n, n), (13, "UPDATE_SUPPORTS", n, "D", n, [], n, n, n), (14, "ADD", "D", n, ["e"], n, n, n, n),
+    ])
+    assert rows(got) == [("A", ["x", "y"], ["y"], ["r"], "DEPRECATED"), ("B", ["s"], None, ["t"], "OLD"), ("C", None, None, None, "ACTIVE"), ("D", ["e"], None, None, "ACTIVE")]
+    assert rows(fold(spark, [])) == []
+
+
+def test_resolve_counts_good_candidates_only(spark, rows):
+    reg = spark.createDataFrame(
+        [("T9", "map", "S", None, "c", "HIGH", "ACTIVE", "E1", None), ("T1", "Map ", "S", None, "c", "LOW", "ACTIVE", "E1", None), ("T3", "cue", "S", None, "c", "HIGH", "ACTIVE", "E1", None), ("T4", "cue", "s", None, "C", "HIGH", "CONTEXTUAL", None, "E2"), ("T5", "gain", "S", None, "c", "HIGH", "ACTIVE", " ", "")],
+        "term_id string, english_term string, domain string, subdomain string, context string, confidence string, status string, evidence_id string, evidence_ids string",
     )
-    s = registry.evidence_state(e, key=F.col("evidence_id"), target=F.col("target"), kind="event_type", order="seq", payload=[], updated="supports", update="new_supports")
-    assert rows(s) == [("A", ["y"], "DEPRECATED"), ("B", ["p"], "OLD"), ("C", None, "ACTIVE")]
+    q = spark.createDataFrame([(1, "MAP", "S", None, "c"), (2, "cue", "S", None, "c"), (3, "gain", None, None, None), (4, "none", None, None, None), (5, "map", "other", None, None)], "query_id int, english_term string, domain string, subdomain string, context string")
+    assert rows(registry.resolve(q, reg)) == [(1, 2, "REUSE", "T9"), (2, 2, "VERIFY", ""), (3, 1, "VERIFY", ""), (4, 0, "VERIFY", ""), (5, 0, "VERIFY", "")]
+
+
+def test_appended_rows_are_judged_one_by_one(spark, rows):
+    schema = "a int, b int, v string"
+    target = spark.createDataFrame([(None, 20, "t"), (None, None, "t")], schema)
+    new = spark.createDataFrame([(1, 20, "known by b"), (1, 30, "free"), (None, 40, "null a"), (None, 41, "null a, too"), (5, 50, "first"), (5, 60, "shares a"), (6, 60, "shares b with a refused row"), (6, 60, "shares b with a refused row")], schema)
+    assert rows(registry.append_new(target, new, [["a"], ["b"]]), "v") == [("first",), ("free",), ("null a",), ("null a, too",), ("shares b with a refused row",)]
+    assert rows(registry.append_new(target, new.limit(0), [["a"], ["b"]])) == []
+    assert rows(registry.append_new(target.limit(0), new, [["a", "b"]]), "a", "b") == sorted([(1, 20), (1, 30), (None, 40), (None, 41), (5, 50), (5, 60), (6, 60)], key=repr)
+
+
+def test_citations_put_in_brackets(spark):
+    assert udfs.bracketed("记忆2,3。再见2。{x}5 结束2，", ["2", "2,3", "5"]) == "记忆[2,3]。再见[2]。{x}5 结束2，"
+    assert udfs.bracketed("睡眠（a）4-6 与", ["4–6"]) == "睡眠（a）[4–6] 与" and udfs.bracketed("无", []) == "无"
+    d = spark.createDataFrame([("研究7。", ["7"]), (None, ["7"]), ("研究7。", None)], "t string, g array<string>")
+    assert [r.x for r in d.select(udfs.bracket_citations("t", "g").alias("x")).collect()] == ["研究[7]。", None, "研究7。"]
+    assert one(spark, udfs.raised_citations(F.col("x")), x="见[1, 2–4]。") == "见¹,²–⁴。"
+
+
+def test_block_kinds_and_roles_fit(spark, rows):
+    d = spark.createDataFrame([(10.0, 20.0, 9.0, 1, "head", False), (960.0, 990.0, 9.0, 1, "foot", False), (300.0, 320.0, 18.0, 1, "Title", False), (300.0, 320.0, 10.0, 2, "bold " * 40, True), (300.0, 320.0, 10.0, 3, "bold", True)], "top double, bottom double, size double, lines int, text string, bold boolean")
+    kind = spatial.block_kind(top=F.col("top"), bottom=F.col("bottom"), page_height=F.lit(1000.0), size=F.col("size"), body_size=F.lit(10.0), lines=F.col("lines"), text=F.col("text"), bold=F.col("bold"), in_table=F.lit(False))
+    d = d.withColumn("kind", kind).select("kind", N.text_role(F.col("kind"), F.col("size"), F.lit(10.0), F.col("text")).alias("role"))
+    assert [tuple(r) for r in d.collect()] == [("header", "OTHER"), ("footer", "OTHER"), ("title", "TITLE"), ("heading", "H3"), ("paragraph", "BODY")]
 
 
 def test_reconcile_needs_exactly_one_match(spark, rows):
