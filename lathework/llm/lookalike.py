@@ -2,8 +2,9 @@
 
 Ignorable characters go, blanks and hyphens become the ordinary ones, letters, digits and ideographs
 take their compatibility form and compose. What remains are look-alike letters of other scripts.
-For each token that holds one, the lattice of what every character may stand for is searched with
-Viterbi under character n-gram scores, along paths of one script each.
+For each token that holds one, the lattice of what every character may stand for, in every script it
+may stand in, is searched with Viterbi under character n-gram scores; a change of script costs more than
+any n-gram, so that a path leaves its script only where it must.
 """
 
 from __future__ import annotations
@@ -35,6 +36,23 @@ OTHER = {
 }
 LOOK_ALIKES = CYRILLIC | GREEK | OTHER
 
+# fixed values: second readings of letters that look like two Latin ones
+SECOND_READINGS = {"І": "l", "Ι": "l", "Ӏ": "l", "ӏ": "I", "υ": "v", "ɩ": "l"}
+
+
+def _accented() -> dict[str, str]:
+    """Precomposed letters on a look-alike: the same marks on the Latin letter."""
+    out = {}
+    for c in map(chr, [*range(0x370, 0x530), *range(0x1F00, 0x2000)]):
+        whole = unicodedata.normalize("NFD", c)
+        if len(whole) > 1 and whole[0] in LOOK_ALIKES and c not in LOOK_ALIKES:
+            out[c] = unicodedata.normalize("NFC", LOOK_ALIKES[whole[0]] + whole[1:])
+    return out
+
+
+ACCENTED = _accented()
+DOUBTFUL = LOOK_ALIKES | ACCENTED
+
 # fixed values: CJK radicals without compatibility decomposition and the ideographs they stand for
 RADICALS = {
     "⺁": "厂", "⺄": "乙", "⺅": "亻", "⺆": "冂", "⺈": "刀", "⺉": "刂", "⺊": "卜", "⺌": "小", "⺍": "小", "⺎": "兀", "⺏": "尣", "⺐": "尢", "⺒": "巳", "⺓": "幺",
@@ -150,36 +168,83 @@ class Model:
         return math.log(p)
 
 
+SWITCH = 40.0  # cost of a change of script within a token
+SECOND = 3.0  # cost of a second reading
+
+
+def _classes() -> dict[str, dict[str, list[str]]]:
+    """Latin letter -> script -> the letters of that script that look like it."""
+    out: dict[str, dict[str, list[str]]] = {}
+    for c, latin in DOUBTFUL.items():
+        out.setdefault(latin, {}).setdefault(script(c), []).append(c)
+    return out
+
+
+CLASSES = _classes()
+
+
+def home_scripts(token: str) -> set[str]:
+    """Scripts that doubtful letters of a token may be read in.
+
+    Latin, unless another script has a letter beyond doubt (that no Latin one looks like); then that
+    script, if most letters are of it as written and no letter is Latin beyond doubt. A word mostly
+    Latin stays so with one odd letter in it. Else nothing is read otherwise: the letters are symbols.
+    """
+    written = [script(c) for c in token if script(c)]
+    sure = [script(c) for c in token if script(c) not in ("", "LATIN") and c not in DOUBTFUL]
+    sure_latin = sum(1 for c in token if script(c) == "LATIN" and c not in CLASSES and c not in DOUBTFUL)
+    if not sure:
+        return {"LATIN"}
+    if len(set(sure)) == 1 and not sure_latin and 2 * written.count(sure[0]) > len(written):
+        return {sure[0]}
+    return {"LATIN"} if len(sure) == 1 and sum(s == "LATIN" for s in written) >= 3 else set()
+
+
+def readings(c: str, homes: set[str]) -> list[tuple[str, float]]:
+    """What a letter may stand for, with its cost: itself, and its look-alikes in the home scripts."""
+    out = [(c, 0.0)]
+    latin = DOUBTFUL.get(c, c)
+    for home in sorted(homes - {script(c)}):
+        if home == "LATIN":
+            out += [(latin, 0.0)] + [(x, SECOND) for x in SECOND_READINGS.get(c, "")]
+        else:
+            out += [(x, SECOND * i) for i, x in enumerate(CLASSES.get(latin, {}).get(home, ()))]
+    return out
+
+
 def viterbi(token: str, model: Model) -> str:
-    """The likeliest reading of a token over the lattice of what its characters may stand for.
+    """The likeliest reading of a token over the lattice of what its letters may stand for.
 
-    A path keeps to one script: the token as it is, or all its letters Latin. Where some character
-    can't be Latin only the first path exists; where one is Latin beyond doubt only the second. A
-    lone Greek letter is a symbol and stays. Ties go to Latin.
+    A state is the script and the last letters of a path; of all paths into a state the best one goes
+    on. A lone Greek letter is a symbol and stays. Ties go to Latin.
     """
-    if not any(c in LOOK_ALIKES for c in token) or (len(token) == 1 and token in GREEK):
-        return token
-    scripts = {script(c) for c in token if c not in LOOK_ALIKES} - {""}
-    if scripts - {"LATIN"}:
+    homes = home_scripts(token)
+    if (len(token) == 1 and token in GREEK) or not any(len(readings(c, homes)) > 1 for c in token):
         return token
-    paths = {"latin": (0.0, "")} if "LATIN" in scripts else {"own": (0.0, ""), "latin": (0.0, "")}
-    for choices in [(c, LOOK_ALIKES.get(c, c)) for c in token]:
-        step = {}
-        for name, (total, text) in paths.items():
-            c = choices[name == "latin"]
-            step[name] = (total + model.score(modelled(text), modelled(c)), text + c)
-        paths = step
-    ended = {name: (total + model.score(modelled(text), "$"), text) for name, (total, text) in paths.items()}
-    return max(ended.items(), key=lambda p: (p[1][0], p[0] == "latin"))[1][1]
+    states: dict[tuple[str, str], tuple[float, str]] = {("", "^" * (ORDER - 1)): (0.0, "")}
+    for c in token:
+        step: dict[tuple[str, str], tuple[float, str]] = {}
+        for x, cost in readings(c, homes):
+            own, shown = script(x), modelled(x)
+            for (now, before), (total, text) in states.items():
+                turn = SWITCH if own and now and own != now else 0.0
+                state = (own or now, (before + shown)[-(ORDER - 1) :])
+                score = total + model.score(before, shown[-1:] or "?") - cost - turn
+                if state not in step or (score, own == "LATIN") > (step[state][0], step[state][1][-1:] < "\x80"):
+                    step[state] = (score, text + x)
+        states = step
+    ended = {state: (total + model.score(state[1], "$"), state[0] == "LATIN", text) for state, (total, text) in states.items()}
+    return max(ended.values(), key=lambda e: e[:2])[2]
 
 
 def plain(text: str, model: Model) -> str:
     text = normalized(text)
-    if text.isascii() or not any(c in LOOK_ALIKES for c in text):
+    if text.isascii():
         return text
     out, at = [], 0
     for s, e in tokens(text):
-        out += [text[at:s], viterbi(text[s:e], model)]
+        word = text[s:e]
+        out += [text[at:s], word if word.isascii() else viterbi(word, model)]
         at = e
     return "".join([*out, text[at:]])
 

@@ -16,6 +16,14 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.plain_forms(table(spark, sf, "terminology_registry").select("row_id", F.explode(cells).alias("e")).select("row_id", "e.*"))
 
 
+def p6_planted(spark: SparkSession, sf: str) -> DataFrame:
+    """Plain English terms and a disguised copy of each: letters of two other scripts, an invisible character, another blank. Out come the plain ones again."""
+    terms = table(spark, sf, "terminology_registry").where(F.col("english_term").rlike("^[A-Za-z0-9-]+( [A-Za-z0-9-]+)*$")).select("row_id", F.col("english_term").alias("cell"))
+    disguised = F.concat(F.substring("cell", 1, 1), F.lit("\u200b"), F.translate(F.expr("substring(cell, 2)"), "eo ", "\u0435\u03bf\u00a0"))
+    cells = terms.select("row_id", F.lit("plain").alias("field_name"), "cell").unionByName(terms.select("row_id", F.lit("disguised").alias("field_name"), disguised.alias("cell")))
+    return lookalike.plain_forms(cells)
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return multiset_dedup.copies(table(spark, sf, "term_submissions"), row_id="submission_id", record="record")
 
@@ -62,7 +70,7 @@ def p10_share(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "p6_found": p6_found, "p7_found": p7_found, "p7_kept": p7_kept, "p8_found": p8_found, "p8_coverage": p8_coverage, "p8_items": p8_items,
+    "p6_found": p6_found, "p6_planted": p6_planted, "p7_found": p7_found, "p7_kept": p7_kept, "p8_found": p8_found, "p8_coverage": p8_coverage, "p8_items": p8_items,
     "p9_selection": p9_selection, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_share": p10_share,
 }

@@ -36,4 +36,6 @@ SELECT d.doc_id, CAST(length(d.text) AS BIGINT) AS n_chars, CAST(coalesce(sum(sp
        round(CASE WHEN length(d.text) = 0 THEN 0.0 ELSE coalesce(sum(span_end - span_start), 0) / length(d.text) END, 6) AS shared_share
 FROM documents d LEFT JOIN found f USING (doc_id) WHERE d.text IS NOT NULL GROUP BY d.doc_id, d.text"""
 
-SQL = {"p7_found": P7_FOUND, "p7_kept": P7_KEPT, "p8_found": P8_FOUND, "p10_found": P10_FOUND, "p10_share": P10_SHARE}
+P6_PLANTED = "SELECT row_id, 'disguised' AS field_name, english_term AS plain_text FROM terminology_registry WHERE regexp_matches(english_term, '^[A-Za-z0-9-]+( [A-Za-z0-9-]+)*$')"
+
+SQL = {"p6_planted": P6_PLANTED, "p7_found": P7_FOUND, "p7_kept": P7_KEPT, "p8_found": P8_FOUND, "p10_found": P10_FOUND, "p10_share": P10_SHARE}

@@ -33,6 +33,28 @@ def test_words_of_other_scripts_stay():
     assert L.plain("сор", model(["сор роса сора"] * 50 + WORDS)) == "сор"
 
 
+def test_letters_of_other_scripts_are_repaired_too():
+    for given, plain in (("вoда", "вода"), ("Мoсква", "Москва"), ("вοда", "вода"), ("привeт", "привет"), ("λόγoς", "λόγος")):
+        assert L.plain(given, model()) == plain
+    # symbols beside Latin letters are no words of either script
+    for kept in ("Δt", "μV", "λa", "Δα", "α"):
+        assert L.plain(kept, model()) == kept
+    assert L.plain("bаtдterу", model()) == "batдtery"
+
+
+def test_the_scores_choose_between_readings():
+    lines = model(["long lattice", "linear field", "Inner index", "Index"] * 30)
+    assert L.plain("ӀnnеrӀ", lines)[0] == "I" and L.plain("Іndех", lines) == "Index" and L.plain("fіеӀd", lines) == "field"
+    assert L.plain("vаӏuе", model(["value", "valued"] * 30)) == "value"
+    assert L.viterbi("сор", L.Model({})) == "cop"  # a tie goes to Latin
+    # without the scores the second reading is never taken
+    assert L.plain("fіеӀd", L.Model({})) == "fieId"
+
+
+def test_accents_stay_on_the_letter():
+    assert L.plain("cаfё", model()) == "cafë" and L.plain("naїve", model()) == "naïve"
+
+
 def test_long_text():
     assert L.plain("drіft " * 50_000, model()) == "drift " * 50_000
 
