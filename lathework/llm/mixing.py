@@ -29,6 +29,7 @@ BLOCK_TOKENS = 1024
 LEAST_BLOCKS = 1000
 SHARD_TOKENS = 1 << 22
 MAX_SOURCES = 100_000
+MAX_GROUPS = 20_000  # groups of shards whose quotas are worked out on the driver, besides one a source
 
 
 def source_key(c: Column) -> Column:
@@ -123,16 +124,16 @@ def shard_quotas(sizes: Sequence[int], repeats: int, tokens: int, *, block_token
     return out
 
 
-def mix(docs: DataFrame, targets: DataFrame, *, seed: int = 7, total_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, *, seed: int = 7, total_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, max_groups: int = MAX_GROUPS, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """The selection (doc_id, source, n_tokens, times_used) and the report per target source.
 
     The report has source, target_share, n_docs, n_tokens (with repeats) and actual_share, also for
     sources that got nothing. Documents without source or of no listed source, and texts without
-    tokens, are not selected. A source listed twice counts with its first share. Records are whole,
+    tokens, are not selected. A source listed twice counts with its greater share. Records are whole,
     so each shard that is used in part misses its quota by half a record at most, or by more where
-    its first record alone is larger. Only per-source
-    and per-shard totals reach the driver: at most MAX_SOURCES sources, and shards in
-    proportion to shard_tokens; token counts are computed once and kept as a table.
+    its first record alone is larger. The driver works out quotas of sources (at most MAX_SOURCES, else
+    ValueError) and of at most ``max_groups`` groups of shards; those of the shards are worked out group
+    by group on the executors. Token counts are computed once and kept as a table.
     """
     spark = docs.sparkSession
     listed = targets.select(source_key(F.col("source")).alias("source"), F.col("target_share").alias("share"), F.col("max_repeats").cast("bigint").alias("repeats")).where("source IS NOT NULL AND share IS NOT NULL AND repeats IS NOT NULL")
@@ -146,19 +147,32 @@ def mix(docs: DataFrame, targets: DataFrame, *, seed: int = 7, total_tokens: int
     totals = {r.source: int(r.n) for r in counts.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     quotas = plan(totals, wanted, block_tokens=block_tokens, total_tokens=total_tokens)
 
-    # shards cut every source into parts of about shard_tokens, so that none is ordered as a whole
-    shards = spark.createDataFrame([(s, q, r, max(1, -(-totals.get(s, 0) // shard_tokens))) for s, _, r, q in quotas], "source string, quota bigint, repeats bigint, shards bigint")
-    rows = counts.join(F.broadcast(shards), "source").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")))
-    per_shard: dict[str, list[tuple[int, int]]] = {}
-    for r in rows.groupBy("source", "shard").agg(F.sum("n_tokens").alias("n")).collect():
-        per_shard.setdefault(r.source, []).append((r.shard, int(r.n)))
+    # shards cut every source into parts of about shard_tokens, so that none is ordered as a whole; groups of shards keep what the driver sees bounded
+    whole_tokens = sum(totals.values()) or 1
+    cut = []
+    for s, _, r, _ in quotas:
+        shards = max(1, -(-totals.get(s, 0) // shard_tokens))
+        cut.append((s, r, shards, max(1, min(shards, max_groups * totals.get(s, 0) // whole_tokens))))
+    shards = spark.createDataFrame(cut, "source string, repeats bigint, shards bigint, groups bigint")
+    rows = counts.join(F.broadcast(shards), "source").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards"))).withColumn("part", F.pmod("shard", "groups"))
+    sizes = materialize(rows.groupBy("source", "repeats", "part", "shard").agg(F.sum("n_tokens").alias("shard_total")), "shards")
+    per_group: dict[str, list[tuple[int, int]]] = {}
+    for r in sizes.groupBy("source", "part").agg(F.sum("shard_total").alias("n")).collect():
+        per_group.setdefault(r.source, []).append((r.part, int(r.n)))
     filled = []
     for s, _, r, q in quotas:
-        parts = sorted(per_shard.get(s, []))
-        filled += [(s, shard, tokens, n) for (shard, n), tokens in zip(parts, shard_quotas([n for _, n in parts], r, q, block_tokens=block_tokens))]
-    share = spark.createDataFrame(filled, "source string, shard bigint, quota_tokens bigint, shard_total bigint")
+        parts = sorted(per_group.get(s, []))
+        filled += [(s, part, tokens) for (part, _), tokens in zip(parts, shard_quotas([n for _, n in parts], r, q, block_tokens=block_tokens))]
+    of_groups = spark.createDataFrame(filled, "source string, part bigint, tokens bigint")
+
+    def apportion(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("shard")
+        quota = shard_quotas(pdf["shard_total"].tolist(), int(pdf["repeats"].iloc[0]), int(pdf["tokens"].iloc[0]), block_tokens=block_tokens)
+        return pd.DataFrame({"source": pdf["source"], "shard": pdf["shard"], "quota_tokens": quota, "shard_total": pdf["shard_total"]})
+
+    share = sizes.join(F.broadcast(of_groups), ["source", "part"]).groupBy("source", "part").applyInPandas(apportion, "source string, shard bigint, quota_tokens bigint, shard_total bigint")
     w = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id")
-    rows = rows.select("doc_id", "source", "n_tokens", "repeats", "shard").join(F.broadcast(share), ["source", "shard"])
+    rows = rows.select("doc_id", "source", "n_tokens", "repeats", "shard").join(share, ["source", "shard"])
     rows = rows.withColumn("before", F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens"))
     # whole rounds over the shard, then the tokens that are left, to the nearest end of a record; a quota gets one record at least
     rounds = F.floor(F.col("quota_tokens") / F.col("shard_total"))

@@ -60,6 +60,24 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "source_targets"))[1]
 
 
+def p9_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Per target source: are the share and the repeats kept, and is every selected record once in the selection and of its source?"""
+    docs, targets = table(spark, sf, "documents"), table(spark, sf, "source_targets")
+    chosen, report = mixing.mix(docs, targets)
+    of = docs.select("doc_id", mixing.source_key(F.col("source")).alias("own"))
+    used = chosen.join(of, "doc_id", "left").groupBy("source").agg(F.max("times_used").alias("most"), F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"), F.count_if(F.col("own") != F.col("source")).alias("foreign"))
+    named = targets.select(mixing.source_key(F.col("source")).alias("source"), "max_repeats").distinct()
+    able, size = report.agg(F.sum(F.when(F.col("n_docs") > 0, F.col("target_share"))), F.sum("n_tokens")).first()
+    largest = chosen.agg(F.max("n_tokens")).first()[0] or 0
+    within = max(0.02, largest / max(1, size or 0))  # records are whole
+    r = report.join(used, "source", "left").join(named, "source").withColumn("able", F.lit(able))
+    wanted = F.when(F.col("n_docs") > 0, F.col("target_share") / F.col("able")).otherwise(0.0)
+    return r.select(
+        "source", (F.col("n_docs") > 0).alias("selected"), (F.abs(F.col("actual_share") - wanted) <= within).alias("share_kept"),
+        F.coalesce((F.col("most") <= F.col("max_repeats")) & (F.col("n") == F.col("ids")) & (F.col("foreign") == 0), F.lit(True)).alias("records_kept"),
+    )
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return spans.shared_spans(table(spark, sf, "documents"))
 
@@ -71,7 +89,7 @@ def p10_share(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "p6_found": p6_found, "p6_planted": p6_planted, "p7_found": p7_found, "p7_kept": p7_kept, "p8_found": p8_found, "p8_coverage": p8_coverage, "p8_items": p8_items,
-    "p9_selection": p9_selection, "p9_shares": p9_shares,
+    "p9_selection": p9_selection, "p9_shares": p9_shares, "p9_bounds": p9_bounds,
     "p10_found": p10_found, "p10_share": p10_share,
 }
 SQL: dict[str, str] = dict(sql.SQL)

@@ -38,4 +38,9 @@ FROM documents d LEFT JOIN found f USING (doc_id) WHERE d.text IS NOT NULL GROUP
 
 P6_PLANTED = "SELECT row_id, 'disguised' AS field_name, english_term AS plain_text FROM terminology_registry WHERE regexp_matches(english_term, '^[A-Za-z0-9-]+( [A-Za-z0-9-]+)*$')"
 
-SQL = {"p6_planted": P6_PLANTED, "p7_found": P7_FOUND, "p7_kept": P7_KEPT, "p8_found": P8_FOUND, "p10_found": P10_FOUND, "p10_share": P10_SHARE}
+# what any right selection shows, whatever the tokenizer: listed sources with text are selected, shares and repeats hold
+P9_BOUNDS = r"""
+WITH have AS (SELECT replace(lower(trim(source, chr(9) || ' ')), '-', '_') AS s, count(*) AS n FROM documents WHERE length(text) > 0 GROUP BY 1)
+SELECT replace(lower(trim(source)), '-', '_') AS source, coalesce(n, 0) > 0 AND target_share > 0 AND max_repeats > 0 AS selected, true AS share_kept, true AS records_kept FROM source_targets LEFT JOIN have ON s = replace(lower(trim(source)), '-', '_')"""
+
+SQL = {"p9_bounds": P9_BOUNDS, "p6_planted": P6_PLANTED, "p7_found": P7_FOUND, "p7_kept": P7_KEPT, "p8_found": P8_FOUND, "p10_found": P10_FOUND, "p10_share": P10_SHARE}

@@ -7,6 +7,7 @@ not overlap; the part of the item that the tiles cover is its leak, in whatever
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from ..session import spread
 
 MIN_WORDS = 13
-BLOCK_WORDS = 2_000_000  # words of items in one broadcast; more items are searched block after block
+MAX_ITEM_BYTES = 16 << 20  # of item texts that are broadcast; more of them meet the documents by a join on seeds
 
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -136,26 +137,37 @@ def tile(found: list[tuple[int, int, int]], doc_words: int, item_words: int, k:
     return tiles
 
 
-def leaks(docs: DataFrame, items: DataFrame, *, min_words: int = MIN_WORDS, min_coverage: float = 0.0, block_words: int = BLOCK_WORDS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, *, min_words: int = MIN_WORDS, min_coverage: float = 0.0, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
     """(doc_id, item_id, longest, tiles, covered, item_words) of documents (doc_id, text) that hold passages of items (item_id, item_text).
 
     A passage is ``min_words`` or more consecutive words of the item, in its order and with no other
     word between. ``covered`` counts the item's words under tiles; pairs whose covered share is
     under ``min_coverage`` are left out. Null and empty texts hold nothing, items of fewer words
-    leak nowhere, a repeated row gives its pairs again. Whole texts are searched. Items are
-    broadcast in blocks of at most ``block_words`` words, each searched in all documents.
+    leak nowhere, a repeated row gives its pairs again. Whole texts are searched, in one pass over the
+    documents if the items' texts have at most ``max_item_bytes`` and are broadcast. More items are cut
+    into seeds that meet the documents' seeds in a join; only pairs with a common seed are tiled.
     """
     spark = docs.sparkSession
-    sized = items.where("item_id IS NOT NULL AND item_text IS NOT NULL").select("item_id", "item_text", F.length("item_text").alias("n"))
-    blocks = max(1, int(-(-(sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // block_words)))
-    texts = spread(docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text"))
-    out = None
-    for b in range(blocks):
-        block = sized.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        shared = spark.sparkContext.broadcast(Items([(r.item_id, r.item_text) for r in block.collect()], min_words).state())
-        part = texts.mapInPandas(_search(shared, min_words, min_coverage), LEAKS)
-        out = part if out is None else out.unionByName(part)
-    return out
+    given = items.where("item_id IS NOT NULL AND item_text IS NOT NULL").select("item_id", "item_text")
+    size = given.agg(F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0))).first()[0]
+    texts = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text")
+    if size <= max_item_bytes:
+        shared = spark.sparkContext.broadcast(Items([(r.item_id, r.item_text) for r in given.collect()], min_words).state())
+        return spread(texts).mapInPandas(_search(shared, min_words, min_coverage), LEAKS)
+    return _joined(spread(texts), given, min_words, min_coverage)
+
+
+LEAK_COLUMNS = [c.split()[0] for c in LEAKS.split(", ")]
+
+
+def _tiled(doc_id: int, doc: np.ndarray, items: Items, min_coverage: float) -> Iterator[tuple]:
+    """Rows of LEAKS of a document given as numbers of the items' vocabulary."""
+    for i, at, there in items.seeds(doc):
+        item = items.ids[i]
+        tiles = tile(matches(at, there, doc, item, items.k), len(doc), len(item), items.k)
+        covered = sum(n for n, _, _ in tiles)
+        if tiles and covered >= min_coverage * len(item):
+            yield doc_id, items.item_ids[i], max(n for n, _, _ in tiles), len(tiles), covered, len(item)
 
 
 def _search(shared, k: int, min_coverage: float):  # noqa: ANN001, ANN202
@@ -163,16 +175,47 @@ def _search(shared, k: int, min_coverage: float):  # noqa: ANN001, ANN202
         items = Items.of(shared.value)
         known = items.vocabulary
         for pdf in batches:
-            rows = []
+            rows: list[tuple] = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                 w = words(text)
-                doc = np.fromiter((known.get(x, -1) for x in w), np.int64, len(w))
-                for i, at, there in items.seeds(doc):
-                    item = items.ids[i]
-                    tiles = tile(matches(at, there, doc, item, k), len(doc), len(item), k)
-                    covered = sum(n for n, _, _ in tiles)
-                    if tiles and covered >= min_coverage * len(item):
-                        rows.append((doc_id, items.item_ids[i], max(n for n, _, _ in tiles), len(tiles), covered, len(item)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in LEAKS.split(", ")])
+                rows += _tiled(doc_id, np.fromiter((known.get(x, -1) for x in w), np.int64, len(w)), items, min_coverage)
+            yield pd.DataFrame(rows, columns=LEAK_COLUMNS)
 
     return search
+
+
+def word_number(word: str) -> int:
+    """A number of a word that is the same in every process."""
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "big")
+
+
+def _joined(texts: DataFrame, items: DataFrame, k: int, min_coverage: float) -> DataFrame:
+    """Seeds of both sides, each once a text, meet by a join; then each row that has candidates is tiled with them, one item at a time."""
+
+    def seeds_of(key: str, text: str):  # noqa: ANN202
+        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            numbers: dict[str, int] = {}
+            for pdf in batches:
+                for i, t in zip(pdf[key], pdf[text]):
+                    ids = np.fromiter((numbers.setdefault(x, word_number(x)) for x in words(t)), np.int64)
+                    seeds = np.unique(rolling(ids, k)).view(np.int64)
+                    yield pd.DataFrame({key: np.full(len(seeds), i), "seed": seeds})
+                if len(numbers) > 1_000_000:
+                    numbers.clear()
+
+        return cut
+
+    of_items = items.mapInPandas(seeds_of("item_id", "item_text"), "item_id bigint, seed bigint").distinct()
+    of_docs = texts.mapInPandas(seeds_of("doc_id", "text"), "doc_id bigint, seed bigint").distinct()
+    pairs = of_docs.join(of_items, "seed").select("doc_id", "item_id").distinct()
+
+    def tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows: list[tuple] = []
+            for doc_id, text, item_id, item_text in zip(pdf["doc_id"], pdf["text"], pdf["item_id"], pdf["item_text"]):
+                one, w = Items([(item_id, item_text)], k), words(text)
+                rows += _tiled(doc_id, np.fromiter((one.vocabulary.get(x, -1) for x in w), np.int64, len(w)), one, min_coverage)
+            yield pd.DataFrame(rows, columns=LEAK_COLUMNS)
+
+    met = pairs.join(items, "item_id").join(texts, "doc_id").select("doc_id", "text", "item_id", "item_text")
+    return met.mapInPandas(tiles, LEAKS)

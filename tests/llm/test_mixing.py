@@ -61,6 +61,13 @@ def test_same_seed_same_choice_and_shards(spark, rows):
     assert 5000 < n < 7500
 
 
+def test_groups_of_shards_give_every_source_its_quota(spark):
+    how = dict(block_tokens=64, shard_tokens=500, total_tokens=6000)
+    one, few = (M.mix(docs(spark), targets(spark, LISTED), **how, **more)[1].collect() for more in ({}, {"max_groups": 4}))
+    assert [(r.source, r.n_docs > 0) for r in one] == [(r.source, r.n_docs > 0) for r in few]
+    assert all(abs(a.actual_share - b.actual_share) < 0.03 for a, b in zip(one, few))
+
+
 def test_counts_are_those_of_the_tokenizer(spark, rows):
     from tokenizers import Tokenizer
 

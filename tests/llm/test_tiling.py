@@ -28,7 +28,7 @@ def test_against_brute_force(spark, rows):
     for k in (5, 13):
         want = sorted(((d, i) for d, t, *_ in docs for i, x, *_ in items if brute(t, x, k)), key=repr)
         assert rows(T.leaks(df, it, min_words=k).select("doc_id", "item_id")) == want
-        assert rows(T.leaks(df, it, min_words=k, block_words=100).select("doc_id", "item_id")) == want  # items in several blocks
+        assert rows(T.leaks(df, it, min_words=k, max_item_bytes=0).select("doc_id", "item_id")) == want  # by a join on seeds
 
 
 def test_reordered_passages_are_covered(spark, rows):
@@ -36,6 +36,7 @@ def test_reordered_passages_are_covered(spark, rows):
     df, it = frames(spark, [(1, f"{b} other {a}", "c", 0), (2, a, "c", 0)], [(7, f"{a} {b}", "s", 0)])
     assert rows(T.leaks(df, it)) == [(1, 7, 15, 2, 28, 28), (2, 7, 13, 1, 13, 28)]
     assert rows(T.leaks(df, it, min_coverage=0.9).select("doc_id")) == [(1,)]
+    assert rows(T.leaks(df, it, max_item_bytes=0)) == rows(T.leaks(df, it))
 
 
 def test_tiles_do_not_overlap(spark):
@@ -47,7 +48,9 @@ def test_tiles_do_not_overlap(spark):
 def test_edges(spark, rows):
     w = " ".join(f"w{i}" for i in range(13))
     df, it = frames(spark, [(1, None, "c", 0), (2, "", "c", 0), (3, w, "c", 0), (3, w, "c", 0), (4, w.replace("w5", "w5x"), "c", 0), (5, "İ " + w.replace(" ", "__"), "c", 0)], [(1, w, "s", 0), (2, "short", "s", 0), (3, None, "s", 0), (4, "", "s", 0)])
-    assert rows(T.leaks(df, it).select("doc_id", "item_id")) == [(3, 1), (3, 1), (5, 1)]
+    for bound in (10**6, 0):
+        assert rows(T.leaks(df, it, max_item_bytes=bound).select("doc_id", "item_id")) == [(3, 1), (3, 1), (5, 1)]
+    assert T.leaks(df.limit(0), it, max_item_bytes=0).count() == 0 and T.leaks(df, it.limit(0), max_item_bytes=-1).count() == 0
     assert T.leaks(df.limit(0), it).count() == 0 and T.leaks(df, it.limit(0)).count() == 0
 
 
