@@ -8,7 +8,8 @@ another text has too, the match is extended: every start of a min_length window
 anchor is hashed in full and exchanged the same way; what another text has is shared.
 
 No pairs of texts are ever formed. Texts are spread over blocks by id; a block sends each hash once
-however many of its texts hold it, and gets back one bit per hash.
+however many of its texts hold it, and gets back one bit per hash. With many blocks, groups of them
+pool their hashes first, so that a hash that every block holds is sent on once a group.
 """
 
 from __future__ import annotations
@@ -27,9 +28,12 @@ BLOCK_CHARS = 1_000_000
 BUCKET_HASHES = 500_000
 BLOCKS_PER_TASK, BUCKETS_PER_TASK = 8, 2
 HEAVY_SHARE = 1000
+POOLED_BLOCKS = 4096  # with more blocks than this, groups of blocks pool their hashes first
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_BASE2 = 0xD1B54A32D192ED03
+_INVERSE2 = pow(_BASE2, -1, 1 << 64)
 # fixed values: primitive polynomials over GF(2) by degree
 PRIMITIVE = {3: 0b1011, 6: 0b1000011, 9: 0b1000010001, 12: 0b1000001010011, 15: 0b1000000000000011}
 
@@ -65,8 +69,8 @@ def cover_for(min_length: int) -> Cover:
     return best
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
+def _powers(n: int, base: int, inverse: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, base, np.uint64), np.full(n, inverse, np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up), np.cumprod(down)
 
@@ -92,15 +96,25 @@ class Block:
         self.doc = np.array([names.setdefault(i, len(names)) for i in self.rows], np.int64)
         if total:
             x = np.concatenate([c for _, c in kept]).astype(np.uint64)
-            x = (x + np.uint64(1)) * np.uint64(_BASE)
+            self.letters = x = (x + np.uint64(1)) * np.uint64(_BASE)
             x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             x ^= x >> np.uint64(32)
-            up, self.down = _powers(total)
+            up, self.down = _powers(total, _BASE, _INVERSE)
             self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * up)])
 
     def hashes(self, at: np.ndarray, width: int) -> np.ndarray:
         return _mixed((self.sums[at + width] - self.sums[at]) * self.down[at])
 
+    def checks(self, at: np.ndarray, width: int) -> np.ndarray:
+        """32 more bits of a hash of its own, with other values of the letters and another base."""
+        if not len(at):
+            return np.empty(0, np.uint32)
+        x = (self.letters ^ (self.letters >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(29)
+        up, down = _powers(len(x), _BASE2, _INVERSE2)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * up)])
+        return (_mixed((sums[at + width] - sums[at]) * down[at]) >> np.uint64(32)).astype(np.uint32)
+
     def anchors(self) -> tuple[np.ndarray, np.ndarray, int]:
         """(position in the block, row) of every anchor, and the anchors' width."""
         period, cover = self.cover
@@ -154,14 +168,16 @@ def unpacked(raw: bytes, n: int) -> np.ndarray:
 
 
 class Request:
-    """A block's distinct hashes in order, each with whether two of its texts hold it."""
+    """A block's distinct hashes in order, each with whether two of its texts hold it. ``checks``: further bits that must agree, too."""
 
-    def __init__(self, values: np.ndarray, docs: np.ndarray, bits: int):
-        order = np.argsort(values, kind="stable")
+    def __init__(self, values: np.ndarray, docs: np.ndarray, bits: int, checks: np.ndarray | None = None):
+        order = np.argsort(values, kind="stable") if checks is None else np.lexsort((checks, values))
         v, d = values[order] >> np.uint64(64 - bits), docs[order]
-        new = np.concatenate([[True], v[1:] != v[:-1]]) if len(v) else np.empty(0, bool)
+        c = np.empty(0, np.uint32) if checks is None else checks[order]
+        differs = v[1:] != v[:-1] if checks is None else (v[1:] != v[:-1]) | (c[1:] != c[:-1])
+        new = np.concatenate([[True], differs]) if len(v) else np.empty(0, bool)
         cut = np.flatnonzero(new)
-        self.bits, self.values = bits, v[cut]
+        self.bits, self.values, self.checks = bits, v[cut], c[cut] if len(c) else c
         self.several = np.minimum.reduceat(d, cut) != np.maximum.reduceat(d, cut) if len(cut) else np.empty(0, bool)
         self.place = np.empty(len(v), np.int64)
         self.place[order] = np.cumsum(new) - 1
@@ -174,9 +190,9 @@ class Request:
             for a, e in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(b)]])):
                 yield int(b[a]), int(a), int(e)
 
-    def sent(self, buckets: int) -> list[tuple[int, int, bytes, bytes]]:
-        """(bucket, number of hashes, hashes, flags) for each bucket that has any."""
-        return [(b, e - a, packed(self.values[a:e]), np.packbits(self.several[a:e]).tobytes()) for b, a, e in self.slices(buckets)]
+    def sent(self, buckets: int) -> list[tuple[int, int, bytes, bytes, bytes]]:
+        """(bucket, number of hashes, hashes, checks, flags) for each bucket that has any."""
+        return [(b, e - a, packed(self.values[a:e]), self.checks[a:e].astype("<u4").tobytes(), np.packbits(self.several[a:e]).tobytes()) for b, a, e in self.slices(buckets)]
 
     def answered(self, buckets: int, answers: dict[int, bytes]) -> np.ndarray:
         """For each of the values the request was made from: does another text hold it too?"""
@@ -187,23 +203,58 @@ class Request:
         return shared[self.place]
 
 
+class Pool:
+    """Hashes of several blocks in one bucket: the distinct ones, and which of them more than one text holds."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        values = [unpacked(raw, n) for n, raw in zip(pdf["n"], pdf["hashes"])]
+        several = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=n).astype(bool) for n, f in zip(pdf["n"], pdf["several"])])
+        v, c = np.concatenate(values), np.concatenate([np.frombuffer(x, "<u4") for x in pdf["checks"]])
+        self.ends = np.cumsum([len(x) for x in values])
+        self.order = np.lexsort((c, v)) if len(c) else np.argsort(v, kind="stable")
+        v = v[self.order]
+        new = np.concatenate([[True], v[1:] != v[:-1]])
+        if len(c):
+            c = c[self.order]
+            new[1:] |= c[1:] != c[:-1]
+        cut = np.flatnonzero(new)
+        self.place = np.cumsum(new) - 1
+        self.distinct, self.checks = v[cut], c[cut] if len(c) else c
+        self.shared = np.diff(np.concatenate([cut, [len(v)]])) > 1
+        self.shared |= np.logical_or.reduceat(several[self.order], cut)
+
+    def bits(self, shared: np.ndarray) -> list[bytes]:
+        """One bit per hash in the order sent, block by block."""
+        hit = np.empty(len(self.order), bool)
+        hit[self.order] = shared[self.place]
+        return [np.packbits(hit[a:e]).tobytes() for a, e in zip(np.concatenate([[0], self.ends]), self.ends)]
+
+
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     """One bucket: which of each block's hashes some other block has, as one bit per hash in the order sent."""
-    values, several = [], []
-    for n, raw, flags in zip(pdf["n"], pdf["hashes"], pdf["several"]):
-        values.append(unpacked(raw, n))
-        several.append(np.unpackbits(np.frombuffer(flags, np.uint8), count=n).astype(bool))
-    v = np.concatenate(values)
-    distinct, place, blocks = np.unique(v, return_inverse=True, return_counts=True)
-    shared = blocks > 1
-    shared[place[np.concatenate(several)]] = True
-    hit = shared[place]
-    ends = np.cumsum([len(x) for x in values])
-    out = [np.packbits(hit[e - len(x) : e]).tobytes() for x, e in zip(values, ends)]
-    return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "bits": out})
-
-
-def shared_spans(docs: DataFrame, *, min_length: int = 400, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    pool = Pool(pdf)
+    return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "bits": pool.bits(pool.shared)})
+
+
+def _pooled(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The hashes of a group of blocks as if it were one block."""
+    pool, first = Pool(pdf), pdf.iloc[0]
+    row = {"block": first["team"], "bucket": first["bucket"], "n": len(pool.distinct), "hashes": packed(pool.distinct), "checks": pool.checks.astype("<u4").tobytes(), "several": np.packbits(pool.shared).tobytes()}
+    return pd.DataFrame([row])
+
+
+def _handed_down(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+    """What a group of blocks was told, for each of its blocks."""
+    if not len(pdf):
+        return pd.DataFrame({"block": [], "bucket": [], "bits": []})
+    pool = Pool(pdf)
+    shared = pool.shared.copy()
+    for bits in told["bits"]:
+        shared |= np.unpackbits(np.frombuffer(bits, np.uint8), count=len(shared)).astype(bool)
+    return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "bits": pool.bits(shared)})
+
+
+def shared_spans(docs: DataFrame, *, min_length: int = 400, block_chars: int = BLOCK_CHARS, pooled_blocks: int = POOLED_BLOCKS) -> DataFrame:
     """(doc_id, span_start, span_end): longest runs of positions that lie in a passage of at least ``min_length`` code points which occurs unchanged in another document.
 
     Null, empty and shorter texts share nothing; a passage that only repeats inside one document is
@@ -211,7 +262,7 @@ def shared_spans(docs: DataFrame, *, min_length: int = 400, block_chars: int = B
     apart by length and 128 bits of hash: all but the one with the least id are left out of the
     exchange, and each is one span from 0 to its end. This holds for documents of one text only;
     those of several texts take part with all of them. Anchors are only a filter, so they are sent
-    with as few bits as their number needs; full windows are compared by 64 bits.
+    with as few bits as their number needs; full windows are compared by 96 bits of two hashes.
     """
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.length("text") >= min_length)
     ids = materialize(texts.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.length("text").alias("n")), "texts")
@@ -259,20 +310,20 @@ def shared_spans(docs: DataFrame, *, min_length: int = 400, block_chars: int = B
         request, at, row, width = anchor_request(block)
         hit = request.answered(anchor_buckets, answers)
         starts, rows = block.candidates(at[hit], row[hit], width)
-        return Request(block.hashes(starts, min_length), block.doc[rows], 64), starts
+        return Request(block.hashes(starts, min_length), block.doc[rows], 64, block.checks(starts, min_length)), starts
 
     def ask(pdf: pd.DataFrame, request: Request, buckets: int) -> pd.DataFrame:
         sent = request.sent(buckets)
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]] * len(sent), "bucket": [b for b, *_ in sent], "n": [n for _, n, *_ in sent], "hashes": [h for *_, h, _ in sent], "several": [f for *_, f in sent]})
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]] * len(sent), "bucket": [b for b, *_ in sent], "n": [n for _, n, *_ in sent], "hashes": [h for *_, h, _, _ in sent], "checks": [c for *_, c, _ in sent], "several": [f for *_, f in sent]})
 
     def ask_anchors(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
-            return pd.DataFrame({"block": [], "bucket": [], "n": [], "hashes": [], "several": []})
+            return pd.DataFrame({"block": [], "bucket": [], "n": [], "hashes": [], "checks": [], "several": []})
         return ask(pdf, anchor_request(opened(pdf, told)[0])[0], anchor_buckets)
 
     def ask_windows(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
-            return pd.DataFrame({"block": [], "bucket": [], "n": [], "hashes": [], "several": []})
+            return pd.DataFrame({"block": [], "bucket": [], "n": [], "hashes": [], "checks": [], "several": []})
         block, _, answers = opened(pdf, told)
         return ask(pdf, window_request(block, answers[1])[0], window_buckets)
 
@@ -284,11 +335,18 @@ def shared_spans(docs: DataFrame, *, min_length: int = 400, block_chars: int = B
         found = [s for s in block.spans(starts[request.answered(window_buckets, answers[2])]) if s[0] not in done]
         return pd.DataFrame(found, columns=["doc_id", "span_start", "span_end"])
 
-    asked = "block int, bucket int, n int, hashes binary, several binary"
+    asked = "block int, bucket int, n int, hashes binary, checks binary, several binary"
+    teams = max(1, round(blocks**0.5))
 
     def answers(requests: DataFrame, step: int) -> DataFrame:
         buckets = by_size(anchor_buckets if step == 1 else window_buckets, BUCKETS_PER_TASK)
-        said = requests.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_answer, "block int, bucket int, bits binary")
+        by_bucket = lambda df, *more: df.repartition(buckets, "bucket", *more).groupBy("bucket", *more)
+        if blocks <= pooled_blocks:
+            said = by_bucket(requests).applyInPandas(_answer, "block int, bucket int, bits binary")
+        else:
+            teamed = by_bucket(requests.withColumn("team", F.pmod("block", F.lit(teams))), "team")
+            said = by_bucket(teamed.applyInPandas(_pooled, asked)).applyInPandas(_answer, "block int, bucket int, bits binary")
+            said = teamed.cogroup(by_bucket(said.withColumnRenamed("block", "team"), "team")).applyInPandas(_handed_down, "block int, bucket int, bits binary")
         return said.select("block", F.lit(step).alias("step"), "bucket", F.lit(None).cast("bigint").alias("doc_id"), F.lit(False).alias("out"), "bits")
 
     # one job: the shuffles of the texts and of the hashes are made once and read again by every later step

@@ -70,6 +70,20 @@ def test_hot_passage_in_a_third_of_all_texts(spark, rows):
     hot = "".join(rnd.choice("abcdef") for _ in range(60))
     docs = [(i, (hot if i % 3 == 0 else "") + "".join(rnd.choice("ghijkl") for _ in range(50))) for i in range(300)]
     assert rows(S.shared_spans(frame(spark, docs), min_length=40, block_chars=2000)) == brute(docs, 40)
+    assert rows(S.shared_spans(frame(spark, docs), min_length=40, block_chars=2000, pooled_blocks=1)) == brute(docs, 40)  # groups of blocks pool their hashes
+
+
+def test_windows_with_one_hash_in_common_are_told_apart(spark, rows, monkeypatch):
+    rnd = random.Random(9)
+    make = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    share, head = make(30), make(12)
+    docs = [(1, head + make(40) + share), (2, share + make(9)), (3, head + make(30)), (4, make(40) + head)]
+    want = brute(docs, 25)
+    assert rows(S.shared_spans(frame(spark, docs), min_length=25)) == want
+    whole = S.Block.hashes
+    # all full windows collide in the first hash; the second one still tells them apart
+    monkeypatch.setattr(S.Block, "hashes", lambda self, at, width: whole(self, at, width) if width < 25 else whole(self, at, width) * S.np.uint64(0) + S.np.uint64(5))
+    assert rows(S.shared_spans(frame(spark, docs), min_length=25)) == want
 
 
 def test_share(spark, rows):
