@@ -45,7 +45,8 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    return _leaks(spark, sf, min_coverage=0.5)
+    """Pairs whose tiles cover half of the item or more."""
+    return _leaks(spark, sf, min_coverage=0.5).select("doc_id", "item_id", "covered", "item_words").distinct()
 
 
 def p8_items(spark: SparkSession, sf: str) -> DataFrame:

@@ -20,6 +20,15 @@ found AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g))
 """
 P8_FOUND = _P8 + "SELECT * FROM found"
 
+# words of an item under shared runs; tiles cover the same words wherever an item does not repeat itself
+_P8_COVERED = _P8.replace("found AS (", """ip AS (SELECT item_id, i, list_slice(w, i + 1, i + 13) AS g FROM (SELECT item_id, w, unnest(range(0, len(w) - 12)) AS i FROM iw WHERE len(w) >= 13)),
+places AS (SELECT DISTINCT doc_id, item_id, i FROM dg JOIN ip USING (g)),
+covers AS (SELECT doc_id, item_id, count(DISTINCT p) AS covered FROM (SELECT doc_id, item_id, unnest(range(i, i + 13)) AS p FROM places) GROUP BY ALL),
+sized AS (SELECT doc_id, item_id, covered, CAST(len(w) AS BIGINT) AS item_words FROM covers JOIN iw USING (item_id)),
+found AS (""")
+P8_COVERAGE = _P8_COVERED + "SELECT * FROM sized WHERE 2 * covered >= item_words"
+P8_ITEMS = _P8_COVERED + "SELECT item_id, count(DISTINCT doc_id) AS n_docs, max(covered) AS most_covered, max(item_words) AS item_words FROM sized GROUP BY item_id"
+
 _P10 = r"""
 WITH w AS (
   SELECT doc_id, s, md5(substr(text, s + 1, 400)) AS h
@@ -43,4 +52,4 @@ P9_BOUNDS = r"""
 WITH have AS (SELECT replace(lower(trim(source, chr(9) || ' ')), '-', '_') AS s, count(*) AS n FROM documents WHERE length(text) > 0 GROUP BY 1)
 SELECT replace(lower(trim(source)), '-', '_') AS source, coalesce(n, 0) > 0 AND target_share > 0 AND max_repeats > 0 AS selected, true AS share_kept, true AS records_kept FROM source_targets LEFT JOIN have ON s = replace(lower(trim(source)), '-', '_')"""
 
-SQL = {"p9_bounds": P9_BOUNDS, "p6_planted": P6_PLANTED, "p7_found": P7_FOUND, "p7_kept": P7_KEPT, "p8_found": P8_FOUND, "p10_found": P10_FOUND, "p10_share": P10_SHARE}
+SQL = {"p9_bounds": P9_BOUNDS, "p6_planted": P6_PLANTED, "p7_found": P7_FOUND, "p7_kept": P7_KEPT, "p8_found": P8_FOUND, "p8_coverage": P8_COVERAGE, "p8_items": P8_ITEMS, "p10_found": P10_FOUND, "p10_share": P10_SHARE}
