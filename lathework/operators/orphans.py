@@ -72,9 +72,9 @@ def _verdicts(met: DataFrame) -> DataFrame:
     return g.withColumn("verdict", verdict).select(*_GROUP, "n", "verdict", "first_at", "periods")
 
 
-def _missing(groups: DataFrame, targets: DataFrame, on: list[str]) -> DataFrame:
+def _missing(groups: DataFrame) -> DataFrame:
     none = F.lit(None)
-    return groups.join(targets.select(*on), on, "left_anti").select(
+    return groups.select(
         *_GROUP, "n", F.lit("MISSING").alias("verdict"), none.cast("timestamp_ntz").alias("first_at"), none.cast("array<struct<start:timestamp_ntz,stop:timestamp_ntz>>").alias("periods")
     )
 
@@ -86,14 +86,18 @@ def judged_groups(refs: DataFrame, periods: DataFrame, total: int, *, max_broadc
     periods that touch the group's time range. The groups of heavy keys are broadcast to the periods if
     there are at most ``max_broadcast_rows`` of them, else they meet by a shuffle, too.
     """
+    periods = materialize(periods, "periods")
     groups = materialize(refs.groupBy(*_GROUP).agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi")), "reference-groups")
-    heavy_keys = materialize(groups.groupBy(*_KEY).agg(F.sum("n").alias("n")).where(F.col("n") > max(1, total // HEAVY_SHARE)).select(*_KEY), "heavy-keys")
+    keys = materialize(groups.groupBy(*_KEY).agg(F.sum("n").alias("n")), "reference-keys")
+    most = max(1, total // HEAVY_SHARE)
+    heavy_keys = keys.where(F.col("n") > most).select(*_KEY)
     heavy = groups.join(F.broadcast(heavy_keys), _KEY, "left_semi")
     light = groups.join(F.broadcast(heavy_keys), _KEY, "left_anti")
     few = heavy.count() <= max_broadcast_rows
     checked = materialize(_verdicts(periods.join(F.broadcast(heavy) if few else heavy, _KEY)), "heavy-groups")
-    of_heavy = checked.unionByName(_missing(heavy, checked, _GROUP)).withColumn("heavy", F.lit(True))
-    of_light = _missing(light, periods, _KEY).unionByName(_verdicts(light.join(periods, _KEY))).withColumn("heavy", F.lit(False))
+    of_heavy = checked.unionByName(_missing(heavy.join(checked.select(*_GROUP), _GROUP, "left_anti"))).withColumn("heavy", F.lit(True))
+    missing_keys = materialize(keys.where(F.col("n") <= most).join(periods.select(*_KEY), _KEY, "left_anti").select(*_KEY), "missing-keys")
+    of_light = _missing(light.join(missing_keys, _KEY, "left_semi")).unionByName(_verdicts(light.join(periods, _KEY))).withColumn("heavy", F.lit(False))
     return materialize(of_heavy.unionByName(of_light).where("verdict <> 'OK'"), "orphan-groups"), heavy_keys
 
 
