@@ -9,7 +9,7 @@ rows of groups that are not clean meet a join again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import id_key, month_of
@@ -61,22 +61,22 @@ _KEY = ["ref_field", "key"]
 _GROUP = ["ref_table", *_KEY, "ref_month"]
 
 
+def _near() -> Column:
+    """The period touches the group's time range."""
+    return (F.col("start") <= F.col("hi")) & (F.col("stop").isNull() | (F.col("stop") > F.col("lo")))
+
+
 def _verdicts(met: DataFrame) -> DataFrame:
     """Verdicts of groups from the rows (group, lo, hi, start, stop) of their join with periods: OK, LATE or DELETED where it holds for all references of the group, else MIXED."""
-    ends_after = lambda t: F.col("stop").isNull() | (F.col("stop") > F.col(t))
-    near = (F.col("start") <= F.col("hi")) & ends_after("lo")
     g = met.groupBy(*_GROUP, "n", "lo", "hi").agg(
-        F.min("start").alias("first_at"), F.bool_or((F.col("start") <= F.col("lo")) & ends_after("hi")).alias("covers"), F.collect_list(F.when(near, F.struct("start", "stop"))).alias("periods")
+        F.min("start").alias("first_at"), F.bool_or((F.col("start") <= F.col("lo")) & (F.col("stop").isNull() | (F.col("stop") > F.col("hi")))).alias("covers"), F.bool_or(_near()).alias("near")
     )
-    verdict = F.when(F.col("hi") < F.col("first_at"), "LATE").when(F.col("lo") < F.col("first_at"), "MIXED").when(F.col("covers"), "OK").when(F.size("periods") == 0, "DELETED").otherwise("MIXED")
-    return g.withColumn("verdict", verdict).select(*_GROUP, "n", "verdict", "first_at", "periods")
+    verdict = F.when(F.col("hi") < F.col("first_at"), "LATE").when(F.col("lo") < F.col("first_at"), "MIXED").when(F.col("covers"), "OK").when(~F.col("near"), "DELETED").otherwise("MIXED")
+    return g.withColumn("verdict", verdict).select(*_GROUP, "n", "lo", "hi", "verdict", "first_at")
 
 
 def _missing(groups: DataFrame) -> DataFrame:
-    none = F.lit(None)
-    return groups.select(
-        *_GROUP, "n", F.lit("MISSING").alias("verdict"), none.cast("timestamp_ntz").alias("first_at"), none.cast("array<struct<start:timestamp_ntz,stop:timestamp_ntz>>").alias("periods")
-    )
+    return groups.select(*_GROUP, "n", "lo", "hi", F.lit("MISSING").alias("verdict"), F.lit(None).cast("timestamp_ntz").alias("first_at"))
 
 
 def judged_groups(refs: DataFrame, periods: DataFrame, total: int, *, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -98,7 +98,11 @@ def judged_groups(refs: DataFrame, periods: DataFrame, total: int, *, max_broadc
     of_heavy = checked.unionByName(_missing(heavy.join(checked.select(*_GROUP), _GROUP, "left_anti"))).withColumn("heavy", F.lit(True))
     missing_keys = materialize(keys.where(F.col("n") <= most).join(periods.select(*_KEY), _KEY, "left_anti").select(*_KEY), "missing-keys")
     of_light = _missing(light.join(missing_keys, _KEY, "left_semi")).unionByName(_verdicts(light.join(periods, _KEY))).withColumn("heavy", F.lit(False))
-    return materialize(of_heavy.unionByName(of_light).where("verdict <> 'OK'"), "orphan-groups"), heavy_keys
+    bad = materialize(of_heavy.unionByName(of_light).where("verdict <> 'OK'"), "orphan-groups")
+    # only mixed groups are judged row by row, so only these need their periods
+    mixed = bad.where("verdict = 'MIXED'").select(*_GROUP, "lo", "hi").join(periods, _KEY).where(_near()).groupBy(*_GROUP).agg(F.collect_list(F.struct("start", "stop")).alias("periods"))
+    whole = bad.join(mixed, _GROUP, "left").withColumn("periods", F.coalesce("periods", F.array().cast("array<struct<start:timestamp_ntz,stop:timestamp_ntz>>")))
+    return materialize(whole.drop("lo", "hi"), "judged-groups"), heavy_keys
 
 
 def _rows_of(refs: DataFrame, bad: DataFrame, heavy_keys: DataFrame, max_broadcast_rows: int) -> DataFrame:
