@@ -69,10 +69,18 @@ def cover_for(min_length: int) -> Cover:
     return best
 
 
+_kept_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(n: int, base: int, inverse: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, base, np.uint64), np.full(n, inverse, np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+    """The first n powers of a base and of its inverse, kept for the next block of the task."""
+    if base not in _kept_powers or len(_kept_powers[base][0]) < n:
+        size = 1 << max(1, n - 1).bit_length()
+        up, down = np.full(size, base, np.uint64), np.full(size, inverse, np.uint64)
+        up[0] = down[0] = 1
+        _kept_powers[base] = np.cumprod(up), np.cumprod(down)
+    up, down = _kept_powers[base]
+    return up[:n], down[:n]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -106,14 +114,14 @@ class Block:
         return _mixed((self.sums[at + width] - self.sums[at]) * self.down[at])
 
     def checks(self, at: np.ndarray, width: int) -> np.ndarray:
-        """32 more bits of a hash of its own, with other values of the letters and another base."""
+        """16 more bits of a hash of its own, with other values of the letters and another base."""
         if not len(at):
-            return np.empty(0, np.uint32)
+            return np.empty(0, np.uint16)
         x = (self.letters ^ (self.letters >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(29)
         up, down = _powers(len(x), _BASE2, _INVERSE2)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * up)])
-        return (_mixed((sums[at + width] - sums[at]) * down[at]) >> np.uint64(32)).astype(np.uint32)
+        return (_mixed((sums[at + width] - sums[at]) * down[at]) >> np.uint64(48)).astype(np.uint16)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, int]:
         """(position in the block, row) of every anchor, and the anchors' width."""
@@ -173,7 +181,7 @@ class Request:
     def __init__(self, values: np.ndarray, docs: np.ndarray, bits: int, checks: np.ndarray | None = None):
         order = np.argsort(values, kind="stable") if checks is None else np.lexsort((checks, values))
         v, d = values[order] >> np.uint64(64 - bits), docs[order]
-        c = np.empty(0, np.uint32) if checks is None else checks[order]
+        c = np.empty(0, np.uint16) if checks is None else checks[order]
         differs = v[1:] != v[:-1] if checks is None else (v[1:] != v[:-1]) | (c[1:] != c[:-1])
         new = np.concatenate([[True], differs]) if len(v) else np.empty(0, bool)
         cut = np.flatnonzero(new)
@@ -192,7 +200,7 @@ class Request:
 
     def sent(self, buckets: int) -> list[tuple[int, int, bytes, bytes, bytes]]:
         """(bucket, number of hashes, hashes, checks, flags) for each bucket that has any."""
-        return [(b, e - a, packed(self.values[a:e]), self.checks[a:e].astype("<u4").tobytes(), np.packbits(self.several[a:e]).tobytes()) for b, a, e in self.slices(buckets)]
+        return [(b, e - a, packed(self.values[a:e]), self.checks[a:e].astype("<u2").tobytes(), np.packbits(self.several[a:e]).tobytes()) for b, a, e in self.slices(buckets)]
 
     def answered(self, buckets: int, answers: dict[int, bytes]) -> np.ndarray:
         """For each of the values the request was made from: does another text hold it too?"""
@@ -209,7 +217,7 @@ class Pool:
     def __init__(self, pdf: pd.DataFrame):
         values = [unpacked(raw, n) for n, raw in zip(pdf["n"], pdf["hashes"])]
         several = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=n).astype(bool) for n, f in zip(pdf["n"], pdf["several"])])
-        v, c = np.concatenate(values), np.concatenate([np.frombuffer(x, "<u4") for x in pdf["checks"]])
+        v, c = np.concatenate(values), np.concatenate([np.frombuffer(x, "<u2") for x in pdf["checks"]])
         self.ends = np.cumsum([len(x) for x in values])
         self.order = np.lexsort((c, v)) if len(c) else np.argsort(v, kind="stable")
         v = v[self.order]
@@ -239,7 +247,7 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
 def _pooled(pdf: pd.DataFrame) -> pd.DataFrame:
     """The hashes of a group of blocks as if it were one block."""
     pool, first = Pool(pdf), pdf.iloc[0]
-    row = {"block": first["team"], "bucket": first["bucket"], "n": len(pool.distinct), "hashes": packed(pool.distinct), "checks": pool.checks.astype("<u4").tobytes(), "several": np.packbits(pool.shared).tobytes()}
+    row = {"block": first["team"], "bucket": first["bucket"], "n": len(pool.distinct), "hashes": packed(pool.distinct), "checks": pool.checks.astype("<u2").tobytes(), "several": np.packbits(pool.shared).tobytes()}
     return pd.DataFrame([row])
 
 
@@ -262,7 +270,7 @@ def shared_spans(docs: DataFrame, *, min_length: int = 400, block_chars: int = B
     apart by length and 128 bits of hash: all but the one with the least id are left out of the
     exchange, and each is one span from 0 to its end. This holds for documents of one text only;
     those of several texts take part with all of them. Anchors are only a filter, so they are sent
-    with as few bits as their number needs; full windows are compared by 96 bits of two hashes.
+    with as few bits as their number needs; full windows are compared by 80 bits of two hashes.
     """
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.length("text") >= min_length)
     ids = materialize(texts.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.length("text").alias("n")), "texts")
