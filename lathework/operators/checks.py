@@ -35,6 +35,30 @@ def empty_is_passed(code: str, offenders: DataFrame, example: Column) -> DataFra
     return offenders.agg(F.count("*").alias("n"), F.min(example.cast("string")).alias("d")).select(F.lit(code).alias("code"), (F.col("n") == 0).alias("passed"), F.col("n").alias("n_failed"), F.coalesce("d", F.lit("")).alias("detail"))
 
 
+def offenders(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
+    """(code, example) of every row that breaks a check, all read off in a single pass."""
+    bad = [F.when(~F.coalesce(c.holds, F.lit(False)), F.struct(F.lit(c.code).alias("code"), (c.example if c.example is not None else F.lit("")).cast("string").alias("example"))) for c in checks]
+    return df.select(F.explode(F.array_compact(F.array(*bad))).alias("o")).select("o.*")
+
+
+def suite(codes: Sequence[str], *relations: DataFrame) -> DataFrame:
+    """(code, passed, n_failed, detail) for each code, from relations of offenders (code, example): passed where there is none; detail is the least example."""
+    union = relations[0]
+    for r in relations[1:]:
+        union = union.unionByName(r)
+    found = union.groupBy("code").agg(F.count("*").alias("n"), F.min(F.coalesce("example", F.lit(""))).alias("d"))
+    named = union.sparkSession.createDataFrame([(c,) for c in codes], "code string")
+    return named.join(found, "code", "left").select("code", F.col("n").isNull().alias("passed"), F.coalesce("n", F.lit(0)).alias("n_failed"), F.coalesce("d", F.lit("")).alias("detail"))
+
+
+def united(*suites: DataFrame) -> DataFrame:
+    """The rows of several suites as those of one gate."""
+    out = suites[0]
+    for s in suites[1:]:
+        out = out.unionByName(s)
+    return out
+
+
 def report(checks: DataFrame, *, validator: str) -> DataFrame:
     """One row (validator, passed, n_checks, n_failed, first_failure, checks): passed if every check is. No checks: passed."""
     c = checks.agg(
