@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import bisect
+import re
+import statistics
+from collections import Counter
+from collections.abc import Callable, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,50 +57,145 @@ def owner_counts(held: DataFrame, points: DataFrame, *, page: Sequence[str], poi
 
 
 GLYPHS = "text string, x0 double, x1 double, top double, bottom double, size double, font string"
-LINES = "line int, text string, x0 double, x1 double, top double, bottom double, size double, font string"
-
-
-def _lines(pdf: pd.DataFrame, tolerance: float, gap: float) -> list[tuple]:
-    """Glyphs in bands by distance to the band's running median of middles; a band is cut where the horizontal gap is too wide."""
-    g = pdf.assign(mid=(pdf["top"] + pdf["bottom"]) / 2).sort_values(["mid", "x0"], kind="stable").reset_index(drop=True)
-    bands: list[list[int]] = []
-    for i, m in enumerate(g["mid"]):
-        if bands and abs(m - float(np.median(g["mid"].iloc[bands[-1]]))) <= tolerance:
-            bands[-1].append(i)
+LINES = "line int, text string, x0 double, x1 double, top double, bottom double, size double, font string, peers int"
+# fixed values: ligatures that typesetting sets apart from their line, and what they stand for
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
+# fixed values: reach of a ligature, gap between lines of a band, both in points or shares of size and page width
+LIGATURE_RISE, LIGATURE_REACH = 0.45, (12.0, 2.0)
+LINE_GAP, ROW_SEGMENT = (12.0, 0.02), (10.0, 0.02)
+
+
+class _Band:
+    """Places of a band in order, with their middle: the median of an even number lies between its two middle ones."""
+
+    def __init__(self) -> None:
+        self.tops: list[float] = []
+        self.members: list[int] = []
+
+    def add(self, i: int, top: float) -> None:
+        bisect.insort(self.tops, top)
+        self.members.append(i)
+
+    def middle(self) -> float:
+        n = len(self.tops)
+        return (self.tops[(n - 1) // 2] + self.tops[n // 2]) / 2
+
+
+def _bands(tops: Sequence[float], reach: Callable[[int, _Band], float]) -> list[_Band]:
+    """Things in the order of their tops, each in the band before it if it lies within ``reach`` of the band's median."""
+    bands: list[_Band] = []
+    for i, top in enumerate(tops):
+        if not bands or abs(top - bands[-1].middle()) > reach(i, bands[-1]):
+            bands.append(_Band())
+        bands[-1].add(i, top)
+    return bands
+
+
+def _lines(pdf: pd.DataFrame, tolerance: float, page_width: float) -> list[tuple]:
+    """Rows of LINES of one page: glyphs in bands, bands cut at wide gaps, lone ligatures put back into the nearest line."""
+    g = pdf[pdf["text"].fillna("") != ""].sort_values(["top", "x0"], kind="stable").reset_index(drop=True)
+    text, x0, x1, top, bottom = (g[c].tolist() for c in ("text", "x0", "x1", "top", "bottom"))
+    size, font = g["size"].fillna(0.0).tolist(), g["font"].fillna("UNKNOWN").tolist()
+    ligature = [t in LIGATURES for t in text]
+
+    def reach(i: int, band: _Band) -> float:
+        if ligature[i] or any(ligature[m] for m in band.members):
+            return max(tolerance, statistics.median([size[i], *[size[m] for m in band.members]]) * LIGATURE_RISE)
+        return tolerance
+
+    lines: list[list[int]] = []
+    for band in _bands(top, reach):
+        right = None
+        for i in sorted(band.members, key=lambda i: x0[i]):
+            if right is None or x0[i] - right > max(LINE_GAP[0], page_width * LINE_GAP[1]):
+                lines.append([])
+            lines[-1].append(i)
+            right = x1[i] if right is None else max(right, x1[i])
+    whole = [line for line in lines if not all(ligature[i] for i in line)]
+    for alone in (line for line in lines if all(ligature[i] for i in line)):
+        middle, left, end, near = statistics.median(top[i] for i in alone), min(x0[i] for i in alone), max(x1[i] for i in alone), []
+        for k, line in enumerate(whole):
+            typical = statistics.median(size[i] for i in [*alone, *line])
+            rise, aside = abs(middle - statistics.median(top[i] for i in line)), max(min(x0[i] for i in line) - end, left - max(x1[i] for i in line), 0.0)
+            if rise <= max(tolerance, typical * LIGATURE_RISE) and aside <= max(LIGATURE_REACH[0], typical * LIGATURE_REACH[1]):
+                near.append((rise, aside, k))
+        if near:
+            whole[min(near)[2]].extend(alone)
         else:
-            bands.append([i])
-    out = []
-    for band in bands:
-        b = g.iloc[band].sort_values("x0", kind="stable")
-        start = 0
-        wide = gap * b["size"].fillna(1.0).clip(lower=1.0).to_numpy()
-        step = b["x0"].to_numpy()[1:] - np.maximum.accumulate(b["x1"].to_numpy())[:-1]
-        for stop in [*(np.flatnonzero(step > wide[1:]) + 1), len(b)]:
-            part = b.iloc[start:stop]
-            start = stop
-            word = np.concatenate([[False], (part["x0"].to_numpy()[1:] - part["x1"].to_numpy()[:-1]) > 0.25 * part["size"].fillna(1.0).to_numpy()[1:]])
-            text = "".join((" " if w else "") + (t or "") for w, t in zip(word, part["text"]))
-            fonts = part["font"].fillna("").value_counts()
-            font = sorted(fonts[fonts == fonts.max()].index)[0] if len(fonts) else ""
-            out.append((len(out) + 1, text, float(part["x0"].min()), float(part["x1"].max()), float(part["top"].min()), float(part["bottom"].max()), float(part["size"].median()), font))
-    return out
-
-
-def glyph_lines(glyphs: DataFrame, *, page: Sequence[str], tolerance: float = 3.0, gap: float = 3.0) -> DataFrame:
-    """Lines of each page's glyphs (GLYPHS): (page, LINES). One group is one page. Pages without glyphs give no lines."""
+            whole.append(alone)
+
+    records = []
+    for line in whole:
+        line = sorted(line, key=lambda i: x0[i])
+        shown = [i for i in line if text[i].strip()]
+        if not shown:
+            continue
+        words = [text[line[0]]] + [(" " if x0[b] - x1[a] > 1.0 else "") + text[b] for a, b in zip(line, line[1:])]
+        fonts = Counter(font[i] for i in shown)
+        modal = min(fonts, key=lambda f: (-fonts[f], [font[i] for i in shown].index(f)))
+        plain = "".join(words).strip().translate(str.maketrans(LIGATURES))
+        records.append((plain, min(x0[i] for i in line), max(x1[i] for i in line), min(top[i] for i in line), max(bottom[i] for i in line), statistics.median(size[i] for i in shown), modal))
+    records.sort(key=lambda r: (r[3], r[1]))
+    peers = [0] * len(records)
+    for band in _bands([r[3] for r in records], lambda i, b: tolerance):
+        span = max(records[i][2] for i in band.members) - min(records[i][1] for i in band.members)
+        wide = sum(records[i][2] - records[i][1] >= max(ROW_SEGMENT[0], span * ROW_SEGMENT[1]) for i in band.members)
+        for i in band.members:
+            peers[i] = wide
+    return [(n, *r, p) for n, (r, p) in enumerate(zip(records, peers), 1)]
+
+
+def glyph_lines(glyphs: DataFrame, *, page: Sequence[str], page_width: float = 595.0, tolerance: float = 2.0) -> DataFrame:
+    """Lines of each page's glyphs (GLYPHS): (page, LINES). One group is one page. Pages without glyphs give no lines.
+
+    Glyphs are put in bands by the distance of their tops to the band's running median, more loosely where a ligature is among
+    them; a band is cut where the gap is wider than 12 points and 2 % of the page. ``peers`` counts the wide segments of the
+    line's row: three and more are a table's.
+    """
     types = dict(glyphs.dtypes)
     schema = ", ".join([f"{p} {types[p]}" for p in page] + [LINES])
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna(subset=["x0", "x1", "top", "bottom"])
-        rows = [(*(pdf[p].iloc[0] for p in page), *r) for r in _lines(pdf, tolerance, gap)] if len(pdf) else []
+        rows = [(*(pdf[p].iloc[0] for p in page), *r) for r in _lines(pdf, tolerance, page_width)] if len(pdf) else []
         return pd.DataFrame(rows, columns=[*page, *[c.split()[0] for c in LINES.split(", ")]])
 
     return glyphs.groupBy(*page).applyInPandas(build, schema)
 
 
-def line_blocks(lines: DataFrame, *, page: Sequence[str], factor: float = 1.6) -> DataFrame:
-    """Lines with ``block``: each joins the nearest block above with an overlapping column and like size, within ``factor`` line heights."""
+# fixed values: what keeps two lines out of one block, in points or shares of size and page width
+BLOCK_GAP, OVERLAP, INDENT, SIZE_STEP, ROW_PEERS = 0.85, -2.0, (12.0, 0.025), (1.0, 0.12), 3
+_BOLD, _ITALIC = r"bold|semibold|demi|\.b(?:$|\+)", r"italic|oblique|\.i(?:$|\+)"
+
+
+def _emphasis(font: str | None) -> tuple[bool, bool]:
+    name = (font or "").lower()
+    return bool(re.search(_BOLD, name)), bool(re.search(_ITALIC, name))
+
+
+def _fits(line: dict, last: dict, width: float) -> bool:
+    """May the line follow the last one of a block?"""
+    cell, other = line.get("cell"), last.get("cell")
+    cell, other = (None if c is None or c != c else c for c in (cell, other))
+    if cell is not None or other is not None:
+        if cell != other:
+            return False
+    elif max(line.get("peers") or 0, last.get("peers") or 0) >= ROW_PEERS:
+        return False
+    largest = max(line["size"], last["size"])
+    gap, shared = line["top"] - last["bottom"], min(line["x1"], last["x1"]) - max(line["x0"], last["x0"])
+    column = shared >= min(line["x1"] - line["x0"], last["x1"] - last["x0"]) * 0.5 or abs(line["x0"] + line["x1"] - last["x0"] - last["x1"]) / 2 <= width * 0.08
+    indented = abs(line["x0"] - last["x0"]) > max(INDENT[0], width * INDENT[1])
+    restyled = abs(line["size"] - last["size"]) > max(SIZE_STEP[0], max(largest, 1.0) * SIZE_STEP[1]) or _emphasis(line["font"]) != _emphasis(last["font"])
+    return OVERLAP <= gap <= largest * BLOCK_GAP and column and not indented and not restyled
+
+
+def line_blocks(lines: DataFrame, *, page: Sequence[str], page_width: float = 595.0) -> DataFrame:
+    """Lines with ``block``: each goes on the block whose last line is nearest above it in the same column, with like size, emphasis and indent; else it begins one.
+
+    A column ``cell`` (the table cell that holds the line, see table_cells) keeps cells apart; outside of cells a line in a row of
+    three and more segments stands alone. Of equally near blocks the later one. Blocks are numbered from 1 as they begin.
+    """
     types = dict(lines.dtypes)
     schema = ", ".join([f"{c} {t}" for c, t in types.items()] + ["block int"])
 
@@ -106,21 +204,41 @@ def line_blocks(lines: DataFrame, *, page: Sequence[str], factor: float = 1.6) -
         last: list[dict] = []
         blocks = []
         for r in pdf.to_dict("records"):
-            fit = [
-                (r["top"] - b["bottom"], i) for i, b in enumerate(last)
-                if -0.5 * r["size"] <= r["top"] - b["bottom"] <= factor * r["size"] and min(r["x1"], b["x1"]) - max(r["x0"], b["x0"]) >= 0.5 * min(r["x1"] - r["x0"], b["x1"] - b["x0"]) and abs(r["size"] - b["size"]) <= 0.15 * max(r["size"], b["size"])
-            ]
-            i = min(fit)[1] if fit else len(last)
-            if fit:
-                last[i] = r
-            else:
-                last.append(r)
+            near = [(r["top"] - b["bottom"], -i) for i, b in enumerate(last) if _fits(r, b, page_width)]
+            i = -min(near)[1] if near else len(last)
+            last[i:i + 1] = [r]
             blocks.append(i + 1)
         return pdf.assign(block=pd.Series(blocks, dtype="int32"))[[*types, "block"]]
 
     return lines.groupBy(*page).applyInPandas(build, schema)
 
 
+def table_cells(lines: DataFrame, cells: DataFrame, *, page: Sequence[str], tolerance: float = 0.5) -> DataFrame:
+    """``lines`` with ``cell``: the smallest of the page's table cells (cell, bounds) whose bounds hold the line's middle; null for none. Ties go to the first cell."""
+    middle = lines.select(*page, "line", ((F.col("x0") + F.col("x1")) / 2).alias("_x"), ((F.col("top") + F.col("bottom")) / 2).alias("_y"))
+    held = containing(middle, cells, page=page, point="line", x="_x", y="_y", box="cell", bounds="bounds", tolerance=tolerance)
+    best = held.groupBy(*page, F.col("point").alias("line")).agg(F.min_by("box", F.struct("area", "box")).alias("cell"))
+    return lines.join(best, [*page, "line"], "left")
+
+
+def table_candidates(tables: DataFrame, *, page_width: Column) -> DataFrame:
+    """Tables (page, table_id, by_text, n_rows, n_columns, x0, x1) that count: of two rows and columns or more; on pages without any such, those found by text alignment with three columns and 35 % of the page's width."""
+    ruled = ~F.col("by_text") & (F.col("n_rows") >= 2) & (F.col("n_columns") >= 2)
+    aligned = F.col("by_text") & (F.col("n_columns") >= 3) & (F.col("x1") - F.col("x0") >= page_width * 0.35)
+    has = F.max(ruled.cast("int")).over(Window.partitionBy("page"))
+    return tables.withColumn("_ruled", has).where(ruled | (aligned & (F.col("_ruled") == 0))).drop("_ruled")
+
+
+def margin_frames(glyphs: DataFrame, *, page: Sequence[str], width: str, share: float = 0.05) -> DataFrame:
+    """(page, side, rotation, text, x0, top, x1, bottom): rotated glyphs (``upright`` false, ``turn`` the sine of their matrix) in the outer margins as one identifier per side and rotation."""
+    g = glyphs.where(~F.col("upright") & (F.coalesce("text", F.lit("")) != "") & ((F.col("x0") < F.col(width) * share) | (F.col("x1") > F.col(width) * (1 - share))))
+    side, rotation = F.when(F.col("x0") < F.col(width) * 0.5, "left").otherwise("right"), F.when(F.col("turn") < 0, 270).otherwise(90)
+    d = g.groupBy(*page, side.alias("side"), rotation.alias("rotation")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "x0", "text"))), lambda t: t["text"]), "").alias("text"), F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom")
+    )
+    return d.withColumn("text", F.btrim("text")).where("text <> ''")
+
+
 def block_kind(*, top: Column, bottom: Column, page_height: Column, size: Column, body_size: Column, lines: Column, text: Column, bold: Column, in_table: Column) -> Column:
     """Kind of a block by its place and size (one that text_role understands); the first rule that holds. Bold text is a heading if it has two lines at most."""
     short = lines <= 2

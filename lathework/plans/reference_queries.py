@@ -473,7 +473,7 @@ def page_lines(spark, text_frame_inventory):
     g = text_frame_inventory.where(N.is_box(F.col("bbox_pt"))).where("source_id IS NOT NULL AND source_page IS NOT NULL")
     side = lambda i: F.get("bbox_pt", F.lit(i))
     glyphs = g.select("source_id", "source_page", F.coalesce("source_text", F.lit("")).alias("text"), side(0).alias("x0"), side(2).alias("x1"), side(1).alias("top"), side(3).alias("bottom"), F.col("source_font_size_pt").alias("size"), F.col("source_font").alias("font"))
-    lines = spatial.glyph_lines(glyphs, page=["source_id", "source_page"], tolerance=3.0, gap=3.0)
+    lines = spatial.glyph_lines(glyphs, page=["source_id", "source_page"])
     return spatial.line_blocks(lines, page=["source_id", "source_page"])
 
 

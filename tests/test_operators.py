@@ -188,11 +188,55 @@ def test_owners(spark, rows):
     assert rows(spatial.owner_counts(held, points, page=["page"], point="p"), "point", "owners") == [("both", 3), ("in2", 2), ("none", 0), ("null", 0), ("other", 0), ("tie", 2)]
 
 
+def glyphs(*words, size=10.0, font="F"):
+    """(word, left, top) as glyphs of 5 points, one page."""
+    return [(1, c, x + 5.0 * k, x + 5.0 * k + 5.0, top, top + 10.0, size, font) for word, x, top in words for k, c in enumerate(word)]
+
+
+def lines_of(spark, rows, g):
+    return rows(spatial.glyph_lines(spark.createDataFrame(g, "page int, " + spatial.GLYPHS), page=["page"]), "text", "x0", "top", "peers")
+
+
 def test_lines_and_blocks(spark, rows):
-    g = [(1, c, x, x + 5.0, top, top + 10.0, 10.0, "F") for top, word, at in ((100.0, "ab", 0.0), (100.5, "cd", 14.0), (112.0, "ef", 0.0), (300.0, "zz", 0.0)) for x, c in zip((at, at + 5.0), word)]
-    lines = spatial.glyph_lines(spark.createDataFrame(g, "page int, " + spatial.GLYPHS), page=["page"], tolerance=3.0, gap=3.0)
+    g = glyphs(("ab", 0.0, 100.0), ("cd", 14.0, 100.5), ("ef", 0.0, 112.0), ("zz", 0.0, 300.0))
+    lines = spatial.glyph_lines(spark.createDataFrame(g, "page int, " + spatial.GLYPHS), page=["page"])
     assert rows(spatial.line_blocks(lines, page=["page"]), "text", "block") == [("ab cd", 1), ("ef", 1), ("zz", 2)]
     assert spatial.glyph_lines(spark.createDataFrame([], "page int, " + spatial.GLYPHS), page=["page"]).count() == 0
+    # two columns of a page are two lines of one row
+    assert lines_of(spark, rows, glyphs(("left", 0.0, 50.0), ("right", 300.0, 51.0))) == [("left", 0.0, 50.0, 2), ("right", 300.0, 51.0, 2)]
+
+
+def test_ligatures_find_their_line(spark, rows):
+    shifted = glyphs(("af", 0.0, 100.0)) + [(1, "ﬁ", 10.0, 15.0, 104.0, 114.0, 10.0, "F")] + glyphs(("ne", 15.0, 100.0))
+    assert lines_of(spark, rows, shifted) == [("affine", 0.0, 100.0, 1)]
+    # a ligature that stands alone goes to the nearest line in reach, not to the other column
+    apart = glyphs(("one", 0.0, 100.0), ("two", 300.0, 103.0)) + [(1, "ﬀ", 315.5, 323.0, 106.5, 116.5, 10.0, "F")]
+    assert [r[0] for r in lines_of(spark, rows, apart)] == ["one", "twoff"]
+
+
+BLOCK_LINES = "page int, line int, text string, x0 double, x1 double, top double, bottom double, size double, font string, peers int, cell int"
+
+
+@pytest.mark.parametrize(("second", "same"), [
+    ({}, True), ({"top": 119.0}, False), ({"top": 118.0}, True), ({"top": 107.0}, False), ({"x0": 20.0}, False), ({"size": 11.5}, False), ({"size": 11.0}, True), ({"font": "F-Bold"}, False), ({"x0": 0.0, "x1": 30.0}, True),
+    ({"x0": 80.0, "x1": 200.0}, False), ({"peers": 3}, False), ({"cell": 1}, False), ({"cell": 1, "first": 1, "peers": 4}, True),
+])
+def test_what_keeps_lines_apart(spark, rows, second, same):
+    one = dict(page=1, line=1, text="a", x0=0.0, x1=100.0, top=100.0, bottom=110.0, size=10.0, font="F", peers=1, cell=second.get("first"))
+    two = {**one, "line": 2, "top": 112.0, "bottom": 122.0, "cell": None, **{k: v for k, v in second.items() if k != "first"}}
+    got = spatial.line_blocks(spark.createDataFrame([tuple(one.values()), tuple(two.values())], BLOCK_LINES), page=["page"])
+    assert (len({r.block for r in got.collect()}) == 1) is same
+
+
+def test_tables_cells_and_margins(spark, rows):
+    lines = spark.createDataFrame([(1, 1, 10.0, 20.0, 10.0, 20.0), (1, 2, 200.0, 210.0, 10.0, 20.0)], "page int, line int, x0 double, x1 double, top double, bottom double")
+    cells = spark.createDataFrame([(1, 7, [0.0, 0.0, 100.0, 100.0]), (1, 8, [5.0, 5.0, 30.0, 30.0]), (2, 9, [0.0, 0.0, 500.0, 500.0])], "page int, cell int, bounds array<double>")
+    assert rows(spatial.table_cells(lines, cells, page=["page"]), "line", "cell") == [(1, 8), (2, None)]
+    t = spark.createDataFrame([(1, "a", False, 2, 2, 0.0, 10.0), (1, "b", True, 5, 5, 0.0, 500.0), (1, "c", False, 1, 9, 0.0, 9.0), (2, "d", False, 1, 2, 0.0, 9.0), (2, "e", True, 1, 3, 0.0, 220.0), (2, "f", True, 9, 3, 0.0, 100.0)], "page int, table_id string, by_text boolean, n_rows int, n_columns int, x0 double, x1 double")
+    assert rows(spatial.table_candidates(t, page_width=F.lit(600.0)), "table_id") == [("a",), ("e",)]
+    g = [(1, c, 580.0, 590.0, 100.0 + k, 101.0 + k, False, -1.0, 600.0) for k, c in enumerate("doi ")] + [(1, "x", 300.0, 310.0, 1.0, 2.0, False, 1.0, 600.0), (1, "y", 1.0, 5.0, 1.0, 2.0, True, 0.0, 600.0), (1, "L", 2.0, 6.0, 9.0, 10.0, False, 1.0, 600.0)]
+    m = spatial.margin_frames(spark.createDataFrame(g, "page int, text string, x0 double, x1 double, top double, bottom double, upright boolean, turn double, width double"), page=["page"], width="width")
+    assert rows(m, "side", "rotation", "text", "top", "bottom") == [("left", 90, "L", 9.0, 10.0), ("right", 270, "doi", 100.0, 104.0)]
 
 
 def test_fragments(spark, rows):
