@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.normalize import component, ordered_union
+from ..functions.normalize import component, is_id, is_iso_date, ordered_union
+from ..functions.records import inferred_role
 from ..functions.text import strip, text_or_blank
 from ..session import materialize
 from .token_compare import terms_in_texts
@@ -240,3 +241,27 @@ def renamed_schema(df: DataFrame, renames: Mapping[str, str], defaults: Mapping[
     """Schema migration: columns renamed where present, missing ones filled; nothing else is touched."""
     out = df.withColumnsRenamed({a: b for a, b in renames.items() if a in df.columns and b not in df.columns})
     return out.withColumns({c: v for c, v in defaults.items() if c not in out.columns})
+
+
+def add_evidence(log: DataFrame, new: DataFrame, *, key: str = "evidence_id") -> tuple[DataFrame, DataFrame]:
+    """(accepted, refused) additions to an evidence log: the id in its format and in no addition so far, the date real, one supported term or more, a role.
+
+    ``refused`` has the first ``problem``. Of additions with one id the first by all columns is accepted.
+    """
+    filled_list = lambda c: F.size(F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: strip(x) != "")) > 0
+    known = log.where(F.col("event_type").isNull() | ~F.col("event_type").isin(*CHANGES)).select(F.col(key)).where(F.col(key).isNotNull()).distinct().withColumn("_known", F.lit(True))
+    problem = (
+        F.when(~is_id(F.col(key), "evidence"), "ID").when(F.col("_known").isNotNull(), "KNOWN").when(~is_iso_date(F.col("verified_date")), "DATE").when(~filled_list("supports"), "SUPPORTS").when(~filled_list("roles"), "ROLES")
+    )
+    judged = new.join(known, key, "left").withColumn("problem", problem).drop("_known")
+    columns = new.columns
+    first = judged.where("problem IS NULL").groupBy(F.col(key).alias("_k")).agg(F.min_by(F.struct(*columns), F.to_json(F.struct(*columns))).alias("_r"))
+    return first.select("_r.*").select(*columns), judged.where("problem IS NOT NULL")
+
+
+def exact_migration(frames: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Frames and ledger of the former layout in the present one: roles inferred, flags by role and action, and only units of frames to translate."""
+    role = inferred_role(F.col("kind"), F.col("translation_action"), F.col("retain_reason"), F.col("source_text"))
+    made = F.col("translation_action") == "TRANSLATE"
+    f = frames.withColumn("role", role).withColumn("translatable", made).withColumn("preserve_english", ~made).withColumn("replacement_status", F.when(made, "TRANSLATED").otherwise("INTENTIONAL_PRESERVE"))
+    return f, ledger.join(f.where("translatable").select("frame_id").distinct(), "frame_id", "left_semi")

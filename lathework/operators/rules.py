@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,3 +46,32 @@ def preferred_version(df: DataFrame, *, key: str, kind: str, order: Sequence[str
     rank = F.when(place == 0, len(order) + 1).otherwise(place)
     best = F.max_by(F.struct(*[c for c in df.columns if c != key]), F.struct(-rank, F.col("version")))
     return df.groupBy(key).agg(best.alias("_best")).select(key, "_best.*")
+
+
+def recency(year: Column, now: Column) -> Column:
+    """Role of a work by its age in years: CURRENT to 2, RECENT_SUPPORT to 5, else FOUNDATIONAL; null for an unknown year."""
+    age = now - year
+    return F.when(age <= 2, "CURRENT").when(age <= 5, "RECENT_SUPPORT").when(age.isNotNull(), "FOUNDATIONAL")
+
+
+def closure(outcomes: DataFrame, *, key: str, outcome: str, planned: str) -> DataFrame:
+    """(key, n, closure) of hypotheses from the outcomes (SUPPORTED, NOT_SUPPORTED, other) of their tests: all of one kind decide, mixed ones are partial, none decided is not determined, and what was not planned is a finding."""
+    yes, no = F.count_if(F.col(outcome) == "SUPPORTED"), F.count_if(F.col(outcome) == "NOT_SUPPORTED")
+    per = outcomes.groupBy(key).agg(F.count("*").alias("n"), yes.alias("_yes"), no.alias("_no"), F.bool_or(F.coalesce(F.col(planned), F.lit(False))).alias("_planned"))
+    said = F.when(~F.col("_planned"), "Unplanned Finding").when(F.col("_yes") + F.col("_no") == 0, "Cannot Determine").when(F.col("_yes") == F.col("n"), "Fully Supported").when(F.col("_yes") == 0, "Not Supported").otherwise("Partially Supported")
+    return per.select(key, "n", said.alias("closure"))
+
+
+def propagated(changed: DataFrame, edges: DataFrame, *, key: str, stage: str, depth: int = 3) -> DataFrame:
+    """(key, stage, steps): stages to update again: the changed ones (0 steps) and, along ``edges`` (from_stage, to_stage), what depends on them within ``depth`` steps; the least number counts."""
+    reached = changed.select(key, stage).distinct().withColumn("steps", F.lit(0))
+    out = reached
+    for i in range(1, depth + 1):
+        reached = reached.join(edges.select(F.col("from_stage").alias(stage), "to_stage").distinct(), stage).select(key, F.col("to_stage").alias(stage)).distinct().withColumn("steps", F.lit(i))
+        out = out.unionByName(reached)
+    return out.groupBy(key, stage).agg(F.min("steps").alias("steps"))
+
+
+def first_open(stages: DataFrame, *, key: str, stage: str, ordinal: str, done: Column) -> DataFrame:
+    """(key, stage): where work goes on, the first stage that is not done; null where all are."""
+    return stages.groupBy(key).agg(F.min_by(stage, F.when(~F.coalesce(done, F.lit(False)), F.col(ordinal))).alias(stage))

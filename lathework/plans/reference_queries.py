@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
-from ..functions import statistics, udfs
+from ..functions import records, statistics, udfs
 from ..functions.text import strip
 from ..operators import checks, coverage, identity, ordered, registry, rules, spatial, status, token_compare
 from ..session import spread, table
@@ -73,7 +73,7 @@ def carry_forward(spark, events):
 
 @query
 def presence_status(spark, customer, orders):
-    c = customer.select(F.col("c_custkey").alias("key")).join(orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("candidate"), "o_orderstatus", "o_totalprice"), "key", "left")
+    c = customer.select(F.col("c_custkey").alias("key")).join(orders.select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("candidate"), "o_orderstatus", "o_totalprice"), "key", "left")
     return status.classify_presence(c, key="key", right_place=F.col("o_orderstatus") != "P", complete=F.col("o_totalprice") > 100000)
 
 
@@ -87,10 +87,10 @@ def overview_lines(spark, events):
 
 
 @query
-def doi_normalize(spark, paper_terminology):
-    n = F.pmod("row_id", F.lit(4))
-    raw = F.when(n == 0, F.concat(F.lit("https://doi.org/"), F.upper("paper_id"))).when(n == 1, F.concat(F.lit(" doi: "), "paper_id")).when(n == 2, F.concat(F.lit("http://dx.doi.org/"), "paper_id", F.lit(" "))).otherwise(F.col("paper_id"))
-    return paper_terminology.select(N.normalize_doi(raw).alias("doi")).groupBy("doi").agg(F.count("*").alias("n")).where("doi IS NOT NULL")
+def doi_normalize(spark, paper_terminology, terminology_evidence):
+    """Papers by the DOI they are cited with: uses spell it bare, evidence as an address with its own case and blanks."""
+    cited = terminology_evidence.select(F.concat(F.when(F.length("source") % 2 == 0, "HTTPS://doi.org/").otherwise("doi: "), "paper_id", F.lit(" ")).alias("raw"))
+    return paper_terminology.select(F.col("paper_id").alias("raw")).unionByName(cited).groupBy(N.normalize_doi(F.col("raw")).alias("doi")).agg(F.count("*").alias("n")).where("doi IS NOT NULL")
 
 
 @query
@@ -486,9 +486,10 @@ def style_envelopes(spark, text_frame_inventory):
 
 @query
 def vector_tolerance(spark, embeddings):
-    a, b = embeddings.select("vec_id", "label", "embedding"), embeddings.select(F.col("vec_id").alias("other"), F.col("label").alias("l2"), F.col("embedding").alias("e2"))
-    near = a.join(b, (F.col("other") == F.col("vec_id") + 1)).withColumn("near", N.boxes_match(F.col("embedding"), F.col("e2"), 0.5))
-    return near.select("vec_id", "near")
+    """Each vector against the middle of its label: within the tolerance in every dimension?"""
+    dims = embeddings.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.round(F.avg("x"), 6).alias("m"))
+    middle = dims.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("middle"))
+    return embeddings.join(middle, "label").select("vec_id", N.boxes_match(F.col("embedding").cast("array<double>"), F.col("middle"), 0.25).alias("near"))
 
 
 @query
@@ -593,8 +594,9 @@ def numeric_tokens(spark, documents):
 
 @query
 def numeric_residuals(spark, text_frame_inventory):
-    target = F.when(F.pmod("row_id", F.lit(9)) == 0, F.regexp_replace("source_text", r"\d", "7")).otherwise(F.col("source_text"))
-    d = text_frame_inventory.where("source_id IS NOT NULL AND source_page IS NOT NULL").withColumn("target", target)
+    """Numbers of each frame against those of the frame after it on the page."""
+    d = text_frame_inventory.where("source_id IS NOT NULL AND source_page IS NOT NULL AND source_text IS NOT NULL")
+    d = d.withColumn("target", F.lead("source_text").over(Window.partitionBy("source_id", "source_page").orderBy("row_id")))
     left = token_compare.numeric_residuals(d, page=["source_id", "source_page"], unit="row_id", source="source_text", target="target")
     return left.groupBy("source_id").agg(F.sum("missing").alias("missing"), F.sum("added").alias("added"))
 
@@ -618,9 +620,8 @@ def chinese_typography(spark, documents):
 
 
 @query
-def citation_groups(spark, text_frame_inventory):
-    c = N.citation_groups(F.concat(F.coalesce("source_text", F.lit("")), F.lit("2,3–5. seen")))
-    return text_frame_inventory.select("row_id", F.array_join(c, "|").alias("groups"))
+def citation_groups(spark, documents):
+    return documents.select("doc_id", F.explode(N.citation_groups(F.coalesce("text", F.lit("")))).alias("citation")).groupBy("citation").agg(F.count("*").alias("n_docs"))
 
 
 @query
@@ -634,32 +635,42 @@ def visible_length(spark, documents):
     return documents.select("doc_id", big(N.visible_length(F.coalesce("text", F.lit("")))).alias("visible"))
 
 
+def _markdown(documents: DataFrame) -> DataFrame:
+    """Markdown by language, where that is not known by the file's name."""
+    return documents.where(F.coalesce(F.col("lang") == "markdown", F.col("path").endswith(".md")))
+
+
 @query
 def markdown_visible(spark, documents):
-    return documents.where("lang = 'markdown'").select("doc_id", big(N.visible_length(N.visible_text(F.col("text")))).alias("visible"))
+    return _markdown(documents).select("doc_id", big(N.visible_length(N.visible_text(F.col("text")))).alias("visible"))
 
 
 @query
 def md_sections(spark, documents):
-    s = readers.markdown_sections(documents.where("lang = 'markdown'"), key="doc_id", value="text")
+    s = readers.markdown_sections(_markdown(documents), key="doc_id", value="text")
     return s.select("doc_id", "section", big(F.length("body")).alias("n_chars"))
 
 
 @query
 def pipe_rows(spark, documents):
-    return readers.pipe_tables(documents.where("lang = 'markdown'"), cells=3, key="doc_id", value="text").select("doc_id", "seq", F.array_join("cells", "¦").alias("cells"))
+    return readers.pipe_tables(_markdown(documents), cells=3, key="doc_id", value="text").select("doc_id", "seq", F.array_join("cells", "¦").alias("cells"))
 
 
 @query
 def html_links(spark, terminology_evidence):
-    page = terminology_evidence.where("url IS NOT NULL").select("seq", F.concat(F.lit('<p>see <a href="'), "url", F.lit("\">source</a> and <A HREF='/x?a=1&amp;b=2'>b</A></p>")).alias("html"))
-    return readers.html_links(page.withColumnRenamed("seq", "page_id"), key="page_id", value="html").select("page_id", "seq", "href")
+    """One page per paper, with a link for each of its evidence: quoted in turn by the length of the source, some tags in capitals."""
+    style = F.pmod(F.length("source"), F.lit(3))
+    link = F.when(style == 0, F.concat(F.lit('<a class="x" href="'), "url", F.lit('">'), "source", F.lit("</a>"))).when(style == 1, F.concat(F.lit("<A HREF='"), "url", F.lit("'>"), "source", F.lit("</A>"))).otherwise(F.concat(F.lit("<a name='n'>"), "source", F.lit("</a>")))
+    page = terminology_evidence.where("url IS NOT NULL AND source IS NOT NULL AND paper_id IS NOT NULL").select("paper_id", F.struct("seq", link.alias("link")).alias("l"))
+    html = page.groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda l: l["link"]), "<br>").alias("html"))
+    return readers.html_links(html.withColumnRenamed("paper_id", "page_id"), key="page_id", value="html").select("page_id", "seq", "href")
 
 
 @query
-def html_plain(spark, terminology_evidence):
-    page = terminology_evidence.select("seq", F.concat(F.lit("<h1>"), F.coalesce("source", F.lit("")), F.lit("</h1><p>a &amp; b</p>")).alias("html"))
-    return page.select("seq", udfs.html_plain("html").alias("text"))
+def html_plain(spark, terminology_registry):
+    cell = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    html = F.concat(F.lit("<table><tr><td>"), cell("definition"), F.lit("</td><TD>"), cell("context"), F.lit("</td></tr></table><p title='a>b'>"), cell("source_citation"), F.lit("<br/></p>"))
+    return terminology_registry.select("row_id", udfs.html_plain(html).alias("text"))
 
 
 @query
@@ -667,17 +678,22 @@ def exact_copies(spark, documents):
     return documents.groupBy(F.sha2(F.col("text"), 256).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1 AND digest IS NOT NULL")
 
 
+def _followed(frames: DataFrame) -> DataFrame:
+    """Each text with the one that follows on its page as its output."""
+    d = frames.where("source_id IS NOT NULL AND source_page IS NOT NULL AND source_text IS NOT NULL")
+    return d.withColumn("output", F.lead("source_text").over(Window.partitionBy("source_id", "source_page").orderBy("row_id"))).where("output IS NOT NULL")
+
+
 @query
 def residual_runs(spark, text_frame_inventory):
-    d = text_frame_inventory.where("source_text IS NOT NULL").withColumn("output", F.concat(F.lit("译文 "), F.regexp_replace("source_text", "^[a-z]+ ", ""), F.lit(" 完")))
-    return token_compare.longest_shared_run(d, key="row_id", output="output", source="source_text", least=1)
+    return token_compare.longest_shared_run(_followed(text_frame_inventory), key="row_id", output="output", source="source_text", least=1)
 
 
 @query
 def residual_words(spark, text_frame_inventory):
-    target = F.regexp_replace("source_text", "^[a-z]+", "译")
-    w = token_compare.residual_words(F.col("source_text"), target, F.col("source_text"), F.array(F.lit("n")))
-    return text_frame_inventory.where("source_text IS NOT NULL").select("row_id", F.array_join(w, " ").alias("words"))
+    """Words of a text that the next one shows although the frame's font and role do not allow them."""
+    w = token_compare.residual_words(F.col("source_text"), F.col("frame_role"), F.col("output"), F.array(F.lit("n")))
+    return _followed(text_frame_inventory).select("row_id", F.array_join(w, " ").alias("words")).where("words <> ''")
 
 
 @query
@@ -699,8 +715,67 @@ def first_cjk_run(spark, terminology_registry):
 
 
 @query
-def supplement_citations(spark, c_source_map):
-    return c_source_map.select(F.explode(N.supplement_references(F.concat("body", F.lit(" see Supplementary Table S2 and Figure S1")))).alias("citation")).groupBy("citation").agg(F.count("*").alias("n"))
+def supplement_citations(spark, text_frame_inventory):
+    """Sentences on supplements as the frames' kinds and places make them."""
+    no = lambda c: F.col(c).cast("string")
+    text = (
+        F.when(F.col("frame_kind") == "table_cell", F.concat(F.lit("see supplementary Tables S"), no("source_page"), F.lit(", S"), no("reading_order"), F.lit(" and Supplementary   Methods.")))
+        .when(F.col("frame_kind") == "caption", F.concat(F.lit("Supplementary Fig. "), no("reading_order"), F.lit("–"), no("rotation"), F.lit(" shows"))).when(F.col("frame_kind") == "heading", F.concat(F.lit("Supplementary "), F.col("source_text"))).otherwise(F.col("source_text"))
+    )
+    return text_frame_inventory.select(F.explode(N.supplement_references(text)).alias("citation")).groupBy("citation").agg(F.count("*").alias("n"))
+
+
+@query
+def recency_roles(spark, documents):
+    year = lambda c: F.year(F.col(c))
+    return documents.groupBy(rules.recency(year("committed_at"), year("crawled_at")).alias("role")).agg(F.count("*").alias("n"))
+
+
+@query
+def hypothesis_closure(spark, orders, lineitem):
+    said = F.when(F.col("l_returnflag") == "N", "SUPPORTED").when(F.col("l_returnflag") == "R", "NOT_SUPPORTED").otherwise("OPEN")
+    d = lineitem.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderpriority") != "5-LOW").alias("planned")), "l_orderkey").withColumn("said", said)
+    return rules.closure(d, key="l_orderkey", outcome="said", planned="planned")
+
+
+STAGE_EDGES = (("signup", "view"), ("view", "click"), ("click", "purchase"), ("purchase", "error"))
+
+
+@query
+def update_propagation(spark, events):
+    edges = spark.createDataFrame(STAGE_EDGES, "from_stage string, to_stage string")
+    return rules.propagated(events.where("value > 60"), edges, key="user_id", stage="event_type", depth=2)
+
+
+@query
+def resume_routing(spark, events):
+    """The first place of each user, in the order of places, whose latest known status is not verified."""
+    d = _latest(events).withColumn("place", F.array_position(F.array(*[F.lit(p) for p in PLACES]), F.col("event_type")))
+    return rules.first_open(d, key="user_id", stage="event_type", ordinal="place", done=F.col("shown") == "VERIFIED").select("user_id", F.coalesce("event_type", F.lit("")).alias("stage"))
+
+
+@query
+def item_records(spark, terminology_registry):
+    """Registry rows as loose metadata of items."""
+    meta = F.map_from_arrays(F.array(*[F.lit(k) for k in ("title", "journal", "year", "pages", "abstract", "DOI", "url")]), F.array("english_term", "domain", "first_seen", "source_citation", "definition", "paper_id", "notes"))
+    return terminology_registry.select("row_id", records.item_record(meta).alias("i")).where("i IS NOT NULL").select("row_id", "i.*")
+
+
+@query
+def frame_defaults(spark, text_frame_inventory):
+    """Roles of frames by kind alone, and as a migration infers them."""
+    kind = F.when(F.col("frame_kind") == "paragraph", "body").otherwise(F.col("frame_kind"))
+    reason = F.when(F.col("frame_kind") == "reference", "REFERENCE_ENTRY").otherwise(F.upper("frame_kind"))
+    d = text_frame_inventory.select(records.frame_role(F.lit(None).cast("string"), kind).alias("by_kind"), records.inferred_role(kind, F.col("translation_action"), reason, F.col("source_text")).alias("inferred"))
+    return d.groupBy("by_kind", "inferred").agg(F.count("*").alias("n"))
+
+
+@query
+def added_evidence(spark, terminology_evidence):
+    """The log's own additions, offered to the part of it that came before 2024: what is refused, and why."""
+    new = terminology_evidence.where("coalesce(event_type, 'ADD') = 'ADD' AND recorded_at >= TIMESTAMP_NTZ '2024-01-01'")
+    accepted, refused = registry.add_evidence(terminology_evidence.where("recorded_at < TIMESTAMP_NTZ '2024-01-01'"), new)
+    return refused.groupBy("problem").agg(F.count("*").alias("n")).unionByName(accepted.agg(F.lit("").alias("problem"), F.count("*").alias("n")))
 
 
 @query

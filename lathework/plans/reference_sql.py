@@ -21,11 +21,11 @@ SQL["pending_unpivot"] = f"WITH {_OBSERVED}, {_WIDE} " + " UNION ALL ".join(f"SE
 SQL["carry_forward"] = f"WITH {_OBSERVED} SELECT event_id, status, coalesce(last_known, '') AS last_known FROM known"
 SQL["overview_lines"] = f"WITH {_OBSERVED}, {_WIDE} SELECT '| ' || user_id || ' | ' || " + " || ' | ' || ".join(_PLACES) + " || ' |' AS line FROM wide"
 SQL["presence_status"] = """
-WITH u AS (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT'),
+WITH u AS (SELECT * FROM orders),
 p AS (SELECT c_custkey AS key, count(o_orderkey) AS n, bool_and(o_orderstatus <> 'P') AS place, bool_and(o_totalprice > 100000) AS whole FROM customer LEFT JOIN u ON o_custkey = c_custkey GROUP BY c_custkey)
 SELECT key, n, CASE WHEN n = 0 THEN 'MISSING' WHEN n > 1 THEN 'CONFLICT' WHEN NOT place THEN 'CONFLICT' WHEN NOT whole THEN 'MISSING' ELSE 'PRESENT_UNVERIFIED' END AS status FROM p"""
 
-SQL["doi_normalize"] = """SELECT nullif(trim(lower(paper_id)), '') AS doi, count(*) AS n FROM paper_terminology WHERE nullif(trim(paper_id), '') IS NOT NULL GROUP BY 1"""
+SQL["doi_normalize"] = """SELECT lower(trim(p)) AS doi, count(*) AS n FROM (SELECT paper_id AS p FROM paper_terminology UNION ALL SELECT paper_id FROM terminology_evidence) WHERE trim(p) <> '' GROUP BY 1"""
 SQL["week_label"] = "SELECT strftime(o_orderdate, '%G-W%V') AS week, count(*) AS n FROM orders GROUP BY 1"
 SQL["canonical_dates"] = r"SELECT coalesce(regexp_matches(regexp_replace(first_verified, '^\s+|\s+$', '', 'g'), '^\d{4}-\d{2}-\d{2}$') AND try_cast(regexp_replace(first_verified, '^\s+|\s+$', '', 'g') AS DATE) IS NOT NULL, false) AS canonical, count(*) AS n FROM registry_snapshots GROUP BY 1"
 SQL["id_patterns"] = r"SELECT count(*) FILTER (WHERE regexp_matches(trim(term_id), '^TERM-\d{4,}$')) AS term_id_ok, count(*) FILTER (WHERE regexp_matches(trim(evidence_id), '^TERMEV-\d{4,}$')) AS evidence_id_ok, count(*) FILTER (WHERE regexp_matches(trim(evidence_level), '^TE[1-7]$')) AS evidence_level_ok, count(*) AS n FROM terminology_registry"
@@ -176,7 +176,9 @@ SQL["range_owner"] = """
 WITH b AS (SELECT p_size AS box, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part GROUP BY 1), p AS (SELECT row_number() OVER () AS point, l_extendedprice / l_quantity AS x FROM lineitem),
 h AS (SELECT point, box, hi - lo AS area, min(hi - lo) OVER (PARTITION BY point) AS a FROM p JOIN b ON x BETWEEN lo AND hi), t AS (SELECT *, count(*) FILTER (WHERE area <= a + 0.01) OVER (PARTITION BY point) AS n FROM h)
 SELECT box, count(*) AS n FROM t WHERE area = a AND n = 1 GROUP BY box"""
-SQL["vector_tolerance"] = "SELECT a.vec_id, len(list_filter(range(1, len(a.embedding) + 1), lambda i: abs(a.embedding[i] - b.embedding[i]) > 0.5)) = 0 AS near FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"
+SQL["vector_tolerance"] = """
+WITH x AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, round(avg(CAST(x AS DOUBLE)), 6) AS m FROM x GROUP BY ALL)
+SELECT vec_id, bool_and(abs(CAST(x AS DOUBLE) - m) <= 0.25) AS near FROM x JOIN m USING (label, i) GROUP BY vec_id"""
 
 SQL["router"] = """
 WITH r(ordinal, value, outcome) AS (VALUES (1, 'purchase', 'BUYER'), (2, 'click', 'BROWSER'), (2, 'view', 'BROWSER'), (3, 'error', 'SUPPORT'), (4, 'signup', 'MEMBER'), (4, 'purchase', 'MEMBER'), (5, 'error', 'BROWSER')),
@@ -225,10 +227,11 @@ SQL["funnel_breaks"] = """
 WITH d AS (SELECT user_id, list_position(['view', 'click', 'signup', 'purchase'], event_type) AS stage, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY ALL), l AS (SELECT *, lag(n) OVER (PARTITION BY user_id ORDER BY stage) AS before FROM d)
 SELECT user_id, CAST(stage AS BIGINT) AS stage, n, before FROM l WHERE n > before"""
 SQL["md_sections"] = r"""
-WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\r?\n')) AS line, generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS p FROM documents WHERE lang = 'markdown'),
+WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\r?\n')) AS line, generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS p FROM documents WHERE coalesce(lang = 'markdown', path LIKE '%.md')),
 h AS (SELECT *, nullif(regexp_extract(line, '^##\s+(.+?)\s*$', 1), '') AS h FROM l), s AS (SELECT *, last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM h)
 SELECT doc_id, section, CAST(length(trim(string_agg(line, chr(10) ORDER BY p), ' ')) AS BIGINT) AS n_chars FROM s WHERE section IS NOT NULL AND h IS NULL GROUP BY doc_id, section"""
-SQL["html_links"] = """SELECT seq AS page_id, CAST(n AS BIGINT) AS seq, CASE n WHEN 1 THEN url ELSE '/x?a=1&amp;b=2' END AS href FROM terminology_evidence, (VALUES (1), (2)) v(n) WHERE url IS NOT NULL"""
+SQL["html_links"] = """WITH l AS (SELECT paper_id, seq, url FROM terminology_evidence WHERE url IS NOT NULL AND source IS NOT NULL AND paper_id IS NOT NULL AND length(source) % 3 < 2)
+SELECT paper_id AS page_id, row_number() OVER (PARTITION BY paper_id ORDER BY seq) AS seq, url AS href FROM l"""
 SQL["exact_copies"] = "SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1"
 SQL["json_props"] = "SELECT event_type, count(json_extract_string(props, '$.k')) AS n, CAST(sum(try_cast(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, count(DISTINCT json_extract_string(props, '$.k')) AS n_distinct FROM events GROUP BY event_type"
 SQL["first_cjk_run"] = "WITH r AS (SELECT row_id, regexp_extract_all(coalesce(preferred_chinese, ''), '[㐀-鿿]+') AS runs FROM terminology_registry) SELECT row_id, left(coalesce(list_filter(runs, lambda x: length(x) >= 2)[1], runs[1], ''), 4) AS keyword FROM r"
@@ -238,20 +241,83 @@ SELECT concat_ws(',', CASE WHEN e = '' THEN 'english' END, CASE WHEN c = '' THEN
 SQL["ledger_text"] = r"""
 WITH d AS (SELECT source_id, row_id, nullif(regexp_replace(source_text, '^\s+|\s+$', '', 'g'), '') AS t FROM text_frame_inventory WHERE source_id IS NOT NULL)
 SELECT source_id, sha256(string_agg(t, chr(10) ORDER BY row_id)) AS digest FROM d WHERE t IS NOT NULL GROUP BY source_id"""
-SQL["residual_runs"] = r"""
-WITH w AS (SELECT row_id, regexp_extract_all(regexp_replace(lower(source_text), '^[a-z]+ ', ''), '[A-Za-z][A-Za-z''’-]*') AS o FROM text_frame_inventory WHERE source_text IS NOT NULL)
-SELECT row_id, least(len(o), 12) AS n_words, array_to_string(o[1:12], ' ') AS run FROM w WHERE len(o) > 0"""
+_FOLLOWED = "d AS (SELECT * FROM (SELECT row_id, frame_role, source_text AS s, lead(source_text) OVER (PARTITION BY source_id, source_page ORDER BY row_id) AS o FROM text_frame_inventory WHERE source_id IS NOT NULL AND source_page IS NOT NULL AND source_text IS NOT NULL) WHERE o IS NOT NULL)"
+SQL["residual_runs"] = rf"""
+WITH {_FOLLOWED}, w AS (SELECT row_id, regexp_extract_all(lower(s), '[A-Za-z][A-Za-z''’-]*') AS s, regexp_extract_all(lower(o), '[A-Za-z][A-Za-z''’-]*') AS o FROM d),
+r AS (SELECT row_id, n, i, o[i : i + n - 1] AS run, s FROM (SELECT *, unnest(range(1, len(o) - n + 2)) AS i FROM (SELECT *, unnest(range(1, least(12, len(o)) + 1)) AS n FROM w)))
+SELECT row_id, arg_max(n, (n, -i)) AS n_words, arg_max(array_to_string(run, ' '), (n, -i)) AS run FROM r WHERE len(list_filter(range(1, len(s) - n + 2), lambda j: s[j : j + n - 1] = run)) > 0 GROUP BY row_id"""
+SQL["residual_words"] = rf"""
+WITH {_FOLLOWED}, w AS (SELECT row_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(s), '[a-z]+'), lambda x: list_contains(regexp_extract_all(lower(o), '[a-z]+'), x) AND NOT list_contains(regexp_extract_all(lower(coalesce(frame_role, '')), '[a-z]+'), x) AND x <> 'n'))) AS w FROM d)
+SELECT row_id, array_to_string(w, ' ') AS words FROM w WHERE len(w) > 0"""
 SQL["anchor_locate"] = """
 WITH b AS (SELECT source_id, source_page, reading_order, arg_max(source_text, row_id) AS text FROM text_frame_inventory WHERE source_id IS NOT NULL AND source_text IS NOT NULL GROUP BY ALL)
 SELECT coalesce(trim(split_part(source_text, ',', 1)) <> '' AND contains(replace(text, ' ', ''), replace(split_part(source_text, ',', 1), ' ', '')), false) AS located, count(*) AS n
 FROM text_frame_inventory LEFT JOIN b USING (source_id, source_page, reading_order) WHERE source_id IS NOT NULL GROUP BY 1"""
 
-SQL["html_plain"] = r"SELECT seq, trim(regexp_replace(coalesce(source, '') || ' a & b', '\s+', ' ', 'g')) AS text FROM terminology_evidence"
+SQL["html_plain"] = r"SELECT row_id, regexp_replace(regexp_replace(concat_ws(' ', definition, context, source_citation), '\s+', ' ', 'g'), '^ | $', '', 'g') AS text FROM terminology_registry"
 SQL["pipe_rows"] = r"""
-WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\r?\n')) AS line, generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS seq FROM documents WHERE lang = 'markdown'),
+WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\r?\n')) AS line, generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS seq FROM documents WHERE coalesce(lang = 'markdown', path LIKE '%.md')),
 c AS (SELECT doc_id, seq, list_transform(string_split(regexp_replace(trim(line, ' '), '^\||\|$', '', 'g'), '|'), lambda x: trim(x, ' ')) AS cells FROM l WHERE starts_with(trim(line, ' '), '|'))
 SELECT doc_id, CAST(seq AS BIGINT) AS seq, array_to_string(cells, '¦') AS cells FROM c WHERE len(cells) = 3 AND len(list_filter(cells, lambda x: NOT regexp_matches(x, '^:?-+:?$'))) > 0"""
 SQL["supplement_citations"] = r"""
-WITH f AS (SELECT map_id, body, unnest(list_distinct(list_transform(regexp_extract_all(body || ' see Supplementary Table S2 and Figure S1',
-  '(?i)\bSupplementary\s+(?:Table|Figure|Fig\.?)(?:s)?\s*(?:S?\d+(?:\s*[–,\-]\s*S?\d+)*)|\bSupplementary\s+(?:Methods|Results|Materials?)\b'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))))) AS citation FROM c_source_map)
+WITH t AS (SELECT CASE frame_kind WHEN 'table_cell' THEN 'see supplementary Tables S' || source_page || ', S' || reading_order || ' and Supplementary   Methods.' WHEN 'caption' THEN 'Supplementary Fig. ' || reading_order || '–' || rotation || ' shows'
+  WHEN 'heading' THEN 'Supplementary ' || source_text ELSE source_text END AS t FROM text_frame_inventory),
+f AS (SELECT unnest(list_distinct(list_transform(regexp_extract_all(t, '(?i)\bSupplementary\s+(?:Table|Figure|Fig\.?)(?:s)?\s*(?:S?\d+(?:\s*[–,\-]\s*S?\d+)*)|\bSupplementary\s+(?:Methods|Results|Materials?)\b'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))))) AS citation FROM t)
 SELECT citation, count(*) AS n FROM f GROUP BY citation"""
+# a group stands after a letter or closing bracket; a lone t, f or v before it makes it a statistic
+SQL["citation_groups"] = r"""
+WITH m AS (SELECT doc_id, unnest(regexp_extract_all(replace(regexp_replace(regexp_replace(text, '(^|[^A-Za-z])[TtFfVv]\d', '\1#', 'g'), '(^|[^A-Za-z])[TtFfVv]\d', '\1#', 'g'), ')', '))'), '(?:[A-Za-z)])\d{1,3}(?:\s*[,;]\s*\d{1,3}|\s*[–—-]\s*\d{1,3})*(?:[.,;:)\s]|$)')) AS g FROM documents),
+c AS (SELECT DISTINCT doc_id, translate(regexp_replace(regexp_extract(g, '^[A-Za-z)](\d.*?)[.,;:)\s]?$', 1), '\s+', '', 'g'), '；;，、—-', ',,,,––') AS citation FROM m)
+SELECT citation, count(*) AS n_docs FROM c WHERE citation <> '' GROUP BY citation"""
+SQL["numeric_residuals"] = r"""
+WITH u AS (SELECT row_id, source_id, source_page, regexp_extract_all(source_text, '[0-9]+') AS s, coalesce(lead(regexp_extract_all(source_text, '[0-9]+')) OVER (PARTITION BY source_id, source_page ORDER BY row_id), []) AS t FROM text_frame_inventory WHERE source_id IS NOT NULL AND source_page IS NOT NULL AND source_text IS NOT NULL),
+b AS (SELECT source_id, source_page, unnest(s) AS token, 1 AS d FROM u UNION ALL SELECT source_id, source_page, unnest(t), -1 FROM u), n AS (SELECT source_id, source_page, token, sum(d) AS d FROM b GROUP BY ALL)
+SELECT source_id, CAST(sum(greatest(d, 0)) AS BIGINT) AS missing, CAST(sum(greatest(-d, 0)) AS BIGINT) AS added FROM n WHERE d <> 0 GROUP BY source_id"""
+SQL["markdown_visible"] = r"""
+WITH d AS (SELECT doc_id, text FROM documents WHERE coalesce(lang = 'markdown', path LIKE '%.md')),
+v AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '!\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '(?m)^\s*(?:#{1,6}\s+|>\s*|[-*+]\s+|\d+\.\s+)', '', 'g') AS t FROM d),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[*_~`]+|[^*_~`]+') AS p FROM v),
+k AS (SELECT doc_id, array_to_string(list_filter(p, lambda x, i: NOT regexp_matches(x, '^[*_~`]+$') OR (i > 1 AND i < len(p) AND regexp_matches(p[i - 1], '[\p{L}\p{N}]$') AND regexp_matches(p[i + 1], '^[\p{L}\p{N}]'))), '') AS t FROM w)
+SELECT doc_id, CAST(length(regexp_replace(t, '[\p{Z}\p{C}\s]', '', 'g')) AS BIGINT) AS visible FROM k"""
+
+SQL["recency_roles"] = "WITH d AS (SELECT year(crawled_at) - year(committed_at) AS a FROM documents) SELECT CASE WHEN a <= 2 THEN 'CURRENT' WHEN a <= 5 THEN 'RECENT_SUPPORT' WHEN a IS NOT NULL THEN 'FOUNDATIONAL' END AS role, count(*) AS n FROM d GROUP BY 1"
+SQL["hypothesis_closure"] = """
+WITH d AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'N') AS y, count(*) FILTER (WHERE l_returnflag = 'R') AS x, bool_or(o_orderpriority <> '5-LOW') AS p FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1)
+SELECT l_orderkey, n, CASE WHEN NOT p THEN 'Unplanned Finding' WHEN x + y = 0 THEN 'Cannot Determine' WHEN y = n THEN 'Fully Supported' WHEN y = 0 THEN 'Not Supported' ELSE 'Partially Supported' END AS closure FROM d"""
+SQL["update_propagation"] = """
+WITH RECURSIVE e(a, b) AS (VALUES ('signup', 'view'), ('view', 'click'), ('click', 'purchase'), ('purchase', 'error')),
+r AS (SELECT DISTINCT user_id, event_type, 0 AS steps FROM events WHERE value > 60 UNION SELECT user_id, b, steps + 1 FROM r JOIN e ON a = event_type WHERE steps < 2)
+SELECT user_id, event_type, min(steps) AS steps FROM r GROUP BY ALL"""
+SQL["resume_routing"] = f"WITH {_OBSERVED} SELECT user_id, coalesce(arg_min(event_type, list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type)) FILTER (WHERE shown <> 'VERIFIED'), '') AS stage FROM latest GROUP BY user_id"
+SQL["item_records"] = r"""
+WITH c AS (SELECT row_id, trim(english_term) AS title, trim(coalesce(domain, '')) AS publication_title, trim(coalesce(first_seen, '')) AS date, trim(coalesce(source_citation, '')) AS pages, trim(coalesce(notes, '')) AS url, trim(coalesce(definition, '')) AS abstract_note, lower(trim(coalesce(paper_id, ''))) AS doi FROM terminology_registry WHERE trim(english_term) <> '')
+SELECT row_id, 'journalArticle' AS item_type, title, publication_title, date, '' AS volume, '' AS issue, pages, url, abstract_note, '' AS language, doi, CASE WHEN url <> '' THEN url WHEN doi <> '' THEN 'https://doi.org/' || doi ELSE '' END AS source_uri FROM c"""
+SQL["frame_defaults"] = """
+SELECT CASE frame_kind WHEN 'paragraph' THEN 'BODY' WHEN 'heading' THEN 'H2' WHEN 'caption' THEN 'CAPTION' WHEN 'table_cell' THEN 'TABLE_TEXT' WHEN 'reference' THEN 'REFERENCE' ELSE 'OTHER' END AS by_kind,
+  CASE WHEN translation_action = 'RETAIN_SOURCE' THEN CASE frame_kind WHEN 'reference' THEN 'REFERENCE' WHEN 'statistic' THEN 'STATISTIC' ELSE 'OTHER' END WHEN frame_kind = 'paragraph' AND starts_with(lower(trim(source_text)), 'abstract') THEN 'ABSTRACT'
+       ELSE CASE frame_kind WHEN 'paragraph' THEN 'BODY' WHEN 'heading' THEN 'H2' WHEN 'caption' THEN 'CAPTION' WHEN 'table_cell' THEN 'TABLE_TEXT' WHEN 'reference' THEN 'REFERENCE' ELSE 'OTHER' END END AS inferred, count(*) AS n FROM text_frame_inventory GROUP BY ALL"""
+SQL["added_evidence"] = r"""
+WITH known AS (SELECT DISTINCT evidence_id AS k FROM terminology_evidence WHERE recorded_at < TIMESTAMP '2024-01-01' AND coalesce(event_type, 'ADD') NOT IN ('DEPRECATE', 'UNLINK', 'UPDATE_SUPPORTS') AND evidence_id IS NOT NULL),
+j AS (SELECT evidence_id, CASE WHEN NOT coalesce(regexp_matches(evidence_id, '^TERMEV-\d{4,}$'), false) THEN 'ID' WHEN evidence_id IN (SELECT k FROM known) THEN 'KNOWN' WHEN NOT coalesce(regexp_matches(verified_date, '^\d{4}-\d{2}-\d{2}$') AND try_cast(verified_date AS DATE) IS NOT NULL, false) THEN 'DATE'
+  WHEN len(list_filter(coalesce(supports, []), lambda x: trim(x) <> '')) = 0 THEN 'SUPPORTS' WHEN len(list_filter(coalesce(roles, []), lambda x: trim(x) <> '')) = 0 THEN 'ROLES' END AS problem FROM terminology_evidence WHERE coalesce(event_type, 'ADD') = 'ADD' AND recorded_at >= TIMESTAMP '2024-01-01')
+SELECT problem, count(*) AS n FROM j WHERE problem IS NOT NULL GROUP BY problem UNION ALL SELECT '', count(DISTINCT evidence_id) FROM j WHERE problem IS NULL"""
+
+_OTHERS = r"list_distinct(list_filter(list_transform(string_split_regex(coalesce(alternative_chinese, ''), '[;；]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''))"
+SQL["wording_in_documents"] = f"""
+WITH c AS (SELECT DISTINCT trim(english_term) AS e, trim(preferred_chinese) AS p, list_sort({_OTHERS}) AS o, trim(coalesce(notes, '')) <> '' AS noted FROM terminology_registry WHERE trim(english_term) <> '' AND trim(preferred_chinese) <> ''),
+m AS (SELECT c.*, doc_id, contains(text, p) AS has, list_filter(o, lambda x: contains(text, x)) AS seen FROM c JOIN documents ON text IS NOT NULL AND (contains(lower(text), lower(e)) OR contains(text, p) OR len(list_filter(o, lambda x: contains(text, x))) > 0)),
+i AS (SELECT DISTINCT doc_id, e, p, 'PREFERRED_ABSENT' AS issue, CAST(NULL AS VARCHAR) AS wording FROM m WHERE NOT has
+  UNION SELECT DISTINCT doc_id, e, p, 'ALTERNATIVE_WITHOUT_NOTE', w FROM (SELECT *, unnest(seen) AS w FROM m WHERE NOT noted) WHERE w <> p)
+SELECT e AS english_term, p AS preferred_chinese, issue, wording, count(*) AS n_docs FROM i GROUP BY ALL"""
+_LOW = "lower(coalesce(trim({0}), ''))"
+SQL["term_contexts"] = f"""
+WITH r AS (SELECT * FROM terminology_registry WHERE removed_at IS NULL), u AS (SELECT * FROM terminology_registry WHERE paper_id IS NOT NULL),
+w AS (SELECT upper(trim(term_id)) AS id, list(DISTINCT trim(preferred_chinese)) AS ok FROM r GROUP BY 1),
+a AS (SELECT DISTINCT paper_id, upper(trim(term_id)) AS id, coalesce(trim(preferred_chinese), '') AS p FROM u WHERE trim(term_id) <> ''),
+i1 AS (SELECT DISTINCT paper_id, a.id, CASE WHEN w.ok IS NULL THEN 'UNKNOWN' WHEN NOT list_contains(w.ok, p) THEN 'PREFERRED' END AS issue FROM a LEFT JOIN w ON w.id = a.id),
+k AS (SELECT upper(trim(term_id)) AS id, {', '.join(f"list(DISTINCT {_LOW.format(c)}) AS {c}" for c in ('domain', 'subdomain', 'context'))} FROM r GROUP BY 1),
+s AS (SELECT {_LOW.format('english_term')} AS e FROM r WHERE status IS NULL OR status <> 'DEPRECATED' GROUP BY 1 HAVING count(DISTINCT upper(trim(term_id))) > 1),
+g AS (SELECT DISTINCT paper_id, upper(trim(term_id)) AS id, {_LOW.format('english_term')} AS e, {', '.join(f"{_LOW.format(c)} AS {c}" for c in ('domain', 'subdomain', 'context'))} FROM u WHERE trim(term_id) <> ''),
+i2 AS (SELECT paper_id, g.id, 'AMBIGUOUS' AS issue FROM g JOIN k USING (id) JOIN s USING (e) WHERE g.domain = '' OR g.context = ''
+  {' '.join(f"UNION SELECT paper_id, g.id, '{c.upper()}' FROM g JOIN k USING (id) WHERE g.{c} <> '' AND NOT list_contains(k.{c}, g.{c})" for c in ('domain', 'subdomain', 'context'))})
+SELECT issue, count(*) AS n FROM (SELECT * FROM i1 WHERE issue IS NOT NULL UNION ALL SELECT DISTINCT * FROM i2) GROUP BY issue"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.registry import append_new
+from ..operators.status import markdown_table
 
 
 def _paths(df: DataFrame, path: str):  # noqa: ANN202
@@ -36,9 +37,10 @@ def replace(df: DataFrame, path: str, *, format: str = "parquet", **options: str
         fs.delete(old, True)
 
 
-def replace_csv(df: DataFrame, path: str) -> None:
-    """One CSV file with header, all values as text, replaced as a whole (for registries that people edit)."""
-    replace(df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns]).coalesce(1), path, format="csv", header="true", escape='"')
+def replace_csv(df: DataFrame, path: str, *, order: Sequence[str] = ()) -> None:
+    """One CSV file with header, all values as text, replaced as a whole (for registries that people edit); in the order of code points of ``order``, if given."""
+    text = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns]).coalesce(1)
+    replace(text.sortWithinPartitions(*order) if order else text, path, format="csv", header="true", escape='"')
 
 
 def replace_jsonl(df: DataFrame, path: str) -> None:
@@ -74,7 +76,8 @@ def write_observations(df: DataFrame, path: str, *, parts: Sequence[str]) -> Non
     df.where(safe).write.mode("append").partitionBy(*parts).json(path)
 
 
-def write_table_and_text(df: DataFrame, path: str, lines: DataFrame) -> None:
-    """A derived overview as CSV and as the lines of a Markdown table."""
-    replace_csv(df, f"{path}/csv")
-    replace(lines.coalesce(1), f"{path}/markdown", format="text")
+def write_table_and_text(df: DataFrame, path: str, *, order: Sequence[str]) -> None:
+    """A derived overview as CSV and as the lines of a Markdown table, both in the order of ``order``."""
+    replace_csv(df, f"{path}/csv", order=order)
+    rows = df.coalesce(1).sortWithinPartitions(*order)
+    replace(markdown_table(rows, df.columns), f"{path}/markdown", format="text")

@@ -81,6 +81,21 @@ def test_csv_and_reports(spark, tmp_path, rows):
     assert rows(spark.read.json(str(tmp_path / "o")), "v") == [(1,)]
 
 
+def test_overview_is_written_in_order(spark, tmp_path, rows):
+    d = spark.createDataFrame([("W34", "b", None), ("W33", "z", "1"), ("W34", "B", "x|y")], "week string, title string, v string").repartition(3)
+    sinks.write_table_and_text(d, "file://" + str(tmp_path / "o"), order=["week", "title"])
+    assert [r.value for r in spark.read.text(str(tmp_path / "o" / "markdown")).collect()] == ["| W33 | z | 1 |", "| W34 | B | x\\|y |", "| W34 | b |  |"]
+    assert [r.value for r in spark.read.text(str(tmp_path / "o" / "csv")).collect()][1:] == ["W33,z,1", "W34,B,x|y", 'W34,b,""']
+    sinks.append_events(spark.createDataFrame([(1,)], "k int"), str(tmp_path / "e"))
+    sinks.append_events(spark.createDataFrame([(2,)], "k int"), str(tmp_path / "e"))
+    assert rows(spark.read.json(str(tmp_path / "e"))) == [(1,), (2,)]
+    sinks.export(d, str(tmp_path / "x"), format="json")
+    sinks.replace_jsonl(d.limit(0), "file://" + str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "x")).count() == 3 and spark.read.text(str(tmp_path / "j")).count() == 0
+    sinks.export(spark.createDataFrame([("A",), ("B",)], "status string"), str(tmp_path / "s"), format="json", status=["A"])
+    assert rows(spark.read.json(str(tmp_path / "s"))) == [("A",)]
+
+
 N = None
 EVENTS = [
     ("A", 2, N, ["x"], ["x"], N, N), ("A", 1, "DEPRECATE", N, N, N, N), ("A", 3, "UPDATE_SUPPORTS", ["y"], ["y"], ["r"], N), ("A", 4, "UPDATE_SUPPORTS", N, ["lost"], N, N), ("B", 5, "ADD", ["p"], N, N, "OLD"), ("C", 6, "DEPRECATE", N, N, N, N),

@@ -357,3 +357,84 @@ def test_term_choices_compare_the_context(spark, rows):
     assert rows(registry.term_choices(terms, reg)) == sorted(
         [("P2", "T1", "AMBIGUOUS"), ("P3", "T2", "PREFERRED"), ("P3", "T2", "DOMAIN"), ("P3", "T2", "SUBDOMAIN"), ("P3", "T2", "CONTEXT"), ("P5", "T9", "UNKNOWN")], key=repr
     )
+
+
+def test_records(spark, rows):
+    from lathework.functions import records as R
+
+    meta = spark.createDataFrame([(1, {"title": " T ", "journal": "J", "publicationTitle": " ", "doi": "doi: 10.1/A"}), (2, {"title": "U", "url": "http://x", "DOI": "", "itemType": "book"}), (3, {"title": " "}), (4, None)], "id int, m map<string,string>")
+    got = {r.id: r.i for r in meta.select("id", R.item_record(F.col("m")).alias("i")).collect()}
+    assert (got[1].title, got[1].publication_title, got[1].doi, got[1].source_uri, got[1].item_type) == ("T", "J", "10.1/a", "https://doi.org/10.1/a", "journalArticle")
+    assert (got[2].source_uri, got[2].item_type, got[2].doi) == ("http://x", "book", "") and got[3] is None and got[4] is None
+    item = spark.range(1).select(R.attachment_record(F.parse_json(F.lit('{"key": "K", "data": {"title": null, "md5": "AB", "parentItem": "P"}}'))).alias("a")).first().a
+    assert (item.key, item.title, item.parent, item.md5, item.filename) == ("K", "", "P", "ab", "")
+    p = spark.createDataFrame([("book", None), ("note", None), ("book", "P"), (None, " ")], "t string, p string")
+    assert [r.x for r in p.select(R.is_parent_item(F.col("t"), F.col("p")).alias("x")).collect()] == [True, False, False, True]
+    for raw, prefix in ((" /users/0/ ", "users/0"), ("groups/12", "groups/12"), ("users/1", None), ("groups/", None), (None, None)):
+        assert one(spark, R.library_prefix(F.col("x")), x=raw) == prefix
+
+
+def test_roles_styles_and_reviews(spark, rows):
+    from lathework.functions import records as R
+
+    f = spark.createDataFrame([(None, "body", "TRANSLATE", None, "Abstract: x"), ("H1", "heading", "TRANSLATE", None, ""), ("", "logo", "RETAIN_SOURCE", "FORMULA", ""), (None, "unknown", "RETAIN_SOURCE", "TRADEMARK", None)], "role string, kind string, a string, why string, t string")
+    assert rows(f.select(R.frame_role(F.col("role"), F.col("kind")), R.inferred_role(F.col("kind"), F.col("a"), F.col("why"), F.col("t")))) == sorted([("BODY", "ABSTRACT"), ("H1", "H2"), ("OTHER", "FORMULA"), ("OTHER", "OTHER")])
+    s = spark.createDataFrame([("body", "ZH-cn"), ("ABSTRACT", "en"), ("H1", None), ("new", "en")], "r string, l string")
+    assert [r.x for r in s.select(R.style_name(F.col("r"), F.col("l"), {"H1": "HEADING_1"}).alias("x")).collect()] == ["BODY_ZH", "ABSTRACT_EN", "HEADING_1", "BODY_EN"]
+    assert one(spark, R.indent_points(F.lit(2.0), F.lit(10.3333))) == 20.667
+    b = spark.createDataFrame([([("A", "x"), ("A", "y"), (None, "x")],)], "b array<struct<stage:string,type:string>>")
+    left = lambda **k: [tuple(x) for x in b.select(R.without(F.col("b"), {n: F.lit(v).cast("string") for n, v in k.items()}).alias("r")).first().r]
+    assert left(stage="A", type=None) == [(None, "x")] and left(stage="A", type="x") == [("A", "y"), (None, "x")] and len(left(stage=None, type=None)) == 3
+    v = spark.createDataFrame([(("NONE", "r", "2024-02-29", "eye"),), (("NONE", "r", "2023-02-29", "eye"),), (("NONE", " ", "2024-02-29", "eye"),), (("SOME", "r", "2024-02-29", "eye"),), (None,)], "v struct<finding:string,reviewer:string,reviewed_date:string,method:string>")
+    assert [r.x for r in v.select(R.is_reviewed(F.col("v"), "NONE").alias("x")).collect()] == [True, False, False, False, False]
+    c = spark.createDataFrame([(["a"], None, False), ([], [], False), (None, ["u"], True)], "f array<string>, u array<string>, r boolean")
+    assert [r.x for r in c.select(R.candidates_pass(F.col("f"), F.col("u"), F.col("r")).alias("x")).collect()] == [False, True, True]
+
+
+def test_propagation_and_closure(spark, rows):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("a", "c")], "from_stage string, to_stage string")
+    changed = spark.createDataFrame([("p", "a"), ("p", "a"), ("q", "e"), ("r", None)], "k string, stage string")
+    assert rows(rules.propagated(changed, edges, key="k", stage="stage", depth=2)) == [("p", "a", 0), ("p", "b", 1), ("p", "c", 1), ("p", "d", 2), ("q", "e", 0), ("r", None, 0)]
+    stages = spark.createDataFrame([("p", "a", 1, True), ("p", "b", 2, None), ("p", "c", 3, False), ("q", "a", 1, True)], "k string, s string, o int, done boolean")
+    assert rows(rules.first_open(stages, key="k", stage="s", ordinal="o", done=F.col("done"))) == [("p", "b"), ("q", None)]
+    assert [one(spark, rules.recency(F.lit(y).cast("int"), F.lit(2026))) for y in (2024, 2021, 2020, None)] == ["CURRENT", "RECENT_SUPPORT", "FOUNDATIONAL", None]
+
+
+def test_evidence_is_added_once_and_whole(spark, rows):
+    schema = "evidence_id string, event_type string, verified_date string, supports array<string>, roles array<string>"
+    log = spark.createDataFrame([("TERMEV-0001", None, None, None, None), ("TERMEV-0002", "DEPRECATE", None, None, None)], schema)
+    new = [("TERMEV-0001", "ADD", "2024-01-01", ["a"], ["r"]), ("TERMEV-0002", "ADD", "2024-01-01", ["a"], ["r"]), ("TERMEV-0002", "ADD", "2024-01-01", ["b"], ["r"]), ("X", "ADD", "2024-01-01", ["a"], ["r"]), (None, "ADD", "2024-01-01", ["a"], ["r"]),
+           ("TERMEV-0003", "ADD", "2024-13-01", ["a"], ["r"]), ("TERMEV-0004", "ADD", "2024-01-01", [" "], ["r"]), ("TERMEV-0005", "ADD", "2024-01-01", ["a"], None)]
+    accepted, refused = registry.add_evidence(log, spark.createDataFrame(new, schema))
+    assert rows(accepted, "evidence_id", "supports") == [("TERMEV-0002", ["a"])]
+    assert rows(refused, "evidence_id", "problem") == sorted([("TERMEV-0001", "KNOWN"), ("X", "ID"), (None, "ID"), ("TERMEV-0003", "DATE"), ("TERMEV-0004", "SUPPORTS"), ("TERMEV-0005", "ROLES")], key=repr)
+
+
+def test_migrations(spark, rows):
+    old = spark.createDataFrame([("a", "1")], "Discipline string, Term string")
+    assert registry.renamed_schema(old, {"Discipline": "Domain", "Absent": "X"}, {"Context": F.lit(""), "Term": F.lit("no")}).collect()[0].asDict() == {"Domain": "a", "Term": "1", "Context": ""}
+    f = spark.createDataFrame([("F1", "body", "TRANSLATE", None, "x"), ("F2", "reference", "RETAIN_SOURCE", "REFERENCE_ENTRY", "y")], "frame_id string, kind string, translation_action string, retain_reason string, source_text string")
+    frames, ledger = registry.exact_migration(f, spark.createDataFrame([("U1", "F1"), ("U2", "F2"), ("U3", None)], "unit_id string, frame_id string"))
+    assert rows(frames, "frame_id", "role", "translatable", "preserve_english", "replacement_status") == [("F1", "BODY", True, False, "TRANSLATED"), ("F2", "REFERENCE", False, True, "INTENTIONAL_PRESERVE")]
+    assert rows(ledger, "unit_id", "frame_id") == [("U1", "F1")]
+
+
+def test_small_text_functions(spark, rows):
+    assert one(spark, N.latin_runs(F.col("x"), ["the"]), x="甲 the slow wave sleep phase 乙 the the the the") == ["the slow wave sleep phase"]
+    assert one(spark, N.loose(F.col("x")), x="**A**\u200b b_C#") == "abc"
+    assert one(spark, N.latin_words(F.col("x")), x="REM is NREM and REM's a ab") == ["NREM", "REM", "REM's", "and"]
+    assert one(spark, N.box_area(F.col("b")), b=[0.0, 0.0, 2.0, 3.0]) == 6.0 and one(spark, N.box_area(F.col("b")), b=[2.0, 0.0, 0.0, 3.0]) == 0.0
+    assert one(spark, N.box_contains(F.col("a"), F.col("b")), a=[0.0, 0.0, 10.0, 10.0], b=[-0.25, 0.0, 10.2, 9.0]) is True
+    assert one(spark, N.same_column(F.col("a"), F.col("b"), F.lit(100.0)), a=[0.0, 0.0, 10.0, 1.0], b=[9.0, 0.0, 19.0, 1.0]) is False
+    assert one(spark, N.append_note(F.col("a"), F.col("b")), a=" x ", b="y") == "x | y" and one(spark, N.append_note(F.col("a"), F.col("b")), a=None, b="y") == "y"
+    assert one(spark, N.first_filled(F.col("a"), F.col("b")), a=" ", b=" y ") == "y" and one(spark, N.quantize(F.lit(0.375), 0.25)) == 0.5
+    assert one(spark, N.same_filename(F.col("a"), F.col("b")), a="a+b.pdf", b="a b.pdf") is True and one(spark, N.is_substantive(F.col("x")), x="It works.") is True and one(spark, N.is_substantive(F.col("x")), x="12.") is False
+    assert one(spark, N.marks_found(F.col("x"), r"[A-Z]+-\d+"), x="AUD-1 and AUD-1") == ["AUD-1"]
+    assert one(spark, N.citation_payload(F.col("x")), x="1; 2 — 4") == "1,2–4" and one(spark, N.mapped(F.col("x"), {"a": "b"}, "z"), x="q") == "z"
+    assert one(spark, status.same_bytes(F.col("a"), F.col("b")), a="x\r\ny", b="x\ny") is True
+    assert one(spark, status.three_valued([F.lit(True), F.lit(None).cast("boolean")])) == "UNKNOWN" and one(spark, status.three_valued([F.lit(None).cast("boolean"), F.lit(False)])) == "CONFLICT"
+    t = spark.createDataFrame([("u", [("SWS", "name", ["slow"]), ("x", " ", ["y"])])], "u string, t array<struct<text:string,reason:string,aliases:array<string>>>")
+    assert rows(token_compare.allowed_words(t, tokens="t", aliases="aliases", base=["The"])) == [("slow",), ("sws",), ("the",)]
+    c = spark.createDataFrame([("c", "1", "a"), ("c", "2", "b"), ("d", "1", "a"), ("d", "2", "a")], "k string, s string, t string")
+    assert rows(token_compare.distinct_value_conflicts(c, key="k", source=F.col("s"), target=F.col("t")), "k", "passed") == [("c", True), ("d", False)]
+    assert one(spark, token_compare.residual_words(F.lit("slow wave"), F.lit("wave"), F.lit("s l o w"), F.array(F.lit("x")))) == ["slow"]
