@@ -3,25 +3,40 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.normalize import identity
+from ..functions.normalize import component, identity, normalize_doi
 
 
-def same_identity_pairs(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], *, left_id: str, right_id: str) -> DataFrame:
-    """(left_id, right_id): rows equal in any of the ``keys`` (left column, right column); null keys match nothing.
+def identity_links(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], *, left_id: str, right_id: str) -> DataFrame:
+    """(left_id, links, representative): for each left row how many right rows are equal in any of the ``keys`` (left column, right column), and the least id of them.
 
-    One equi-join per key, united: an OR condition would be a nested loop. Not transitive.
+    Null keys match nothing. No pairs are formed: right rows are counted per key and per combination of keys, and the counts
+    of a left row's keys are added and subtracted (a row met under two keys counts once). Rows without links are left out.
     """
-    pairs = None
-    for a, b in keys:
-        one = left.where(F.col(a).isNotNull()).select(F.col(left_id).alias("left_id"), F.col(a).alias("k")).join(
-            right.where(F.col(b).isNotNull()).select(F.col(right_id).alias("right_id"), F.col(b).alias("k")), "k"
-        ).select("left_id", "right_id")
-        pairs = one if pairs is None else pairs.unionByName(one)
-    return pairs.distinct()
+    names = [f"_k{i}" for i in range(len(keys))]
+    l = left.select(F.col(left_id).alias("left_id"), *[F.col(a).alias(n) for (a, _), n in zip(keys, names)])
+    r = right.select(F.col(right_id).alias("_id"), *[F.col(b).alias(n) for (_, b), n in zip(keys, names)])
+    links, least = F.lit(0).cast("bigint"), []
+    for size in range(1, len(names) + 1):
+        for subset in combinations(names, size):
+            tag = "".join(subset)
+            held = r
+            for n in subset:
+                held = held.where(F.col(n).isNotNull())
+            l = l.join(held.groupBy(*subset).agg(F.count("*").alias(f"n{tag}"), F.min("_id").alias(f"m{tag}")), list(subset), "left")
+            links = links + F.coalesce(f"n{tag}", F.lit(0)) * (1 if size % 2 else -1)
+            least += [F.col(f"m{tag}")] if size == 1 else []
+    return l.select("left_id", links.alias("links"), (F.least(*least) if len(least) > 1 else least[0]).alias("representative")).where("links > 0")
+
+
+def find_records(df: DataFrame, field: str, value: str) -> DataFrame:
+    """Rows with the given DOI (any spelling of it), or else with the given identifier, case and outer blanks ignored."""
+    form = normalize_doi if field.lower() == "doi" else component
+    return df.where(F.coalesce(form(F.col(field)) == form(F.lit(value)), F.lit(False)))
 
 
 def matching_rows(left: DataFrame, right: DataFrame, keys: Sequence[tuple[Sequence[str], Sequence[str]]]) -> DataFrame:

@@ -97,6 +97,19 @@ def gap_medians(df: DataFrame, *, group: Sequence[str], value: str, least: float
     return upper_median_per_group(d, group, "gap")
 
 
+def leading_issues(lines: DataFrame, expected: DataFrame, *, frame: str, at: str, leading: str) -> DataFrame:
+    """(frame, observed): frames whose line distance is not the expected one, within 0.75 points; ``observed`` is null where no distance is plausible.
+
+    Places are taken to half points, gaps of a point and less are one line, plausible gaps are 0.75 to 1.6 times the expected;
+    of these the upper median counts. Frames of one line or without expectation are left out.
+    """
+    d = lines.where(F.col(at).isNotNull()).select(frame, (F.bround(F.col(at) * 2) / 2).alias("_at")).distinct()
+    gaps = d.withColumn("_gap", F.col("_at") - F.lag("_at").over(Window.partitionBy(frame).orderBy("_at"))).where("_gap > 1").join(expected.select(frame, F.col(leading).alias("_want")), frame)
+    plausible = upper_median_per_group(gaps.where("_gap BETWEEN _want * 0.75 AND _want * 1.6"), [frame], "_gap").select(frame, F.col("upper_median").alias("observed"))
+    met = gaps.groupBy(frame).agg(F.any_value("_want").alias("_want")).join(plausible, frame, "left")
+    return met.where(F.coalesce(F.abs(F.col("observed") - F.col("_want")) > 0.75, F.lit(True))).select(frame, "observed")
+
+
 def holds_in_order(parts: Column, text: Column) -> Column:
     """Do all parts occur in the text one after the other? A cursor moves past each part found. Empty and null parts are passed over."""
     wanted = F.filter(parts, lambda p: F.coalesce(p, F.lit("")) != "")

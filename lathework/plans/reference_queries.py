@@ -130,10 +130,20 @@ def or_identity_semi(spark, terminology_registry, term_submissions):
 
 
 @query
-def same_paper_pairs(spark, supplier, nation):
-    left = nation.select(F.col("n_nationkey").alias("id"), F.col("n_nationkey").alias("k1"), F.col("n_regionkey").alias("k2"))
-    right = supplier.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("k1"), F.pmod("s_suppkey", F.lit(97)).cast("int").alias("k2"))
-    return identity.same_identity_pairs(left, right, [("k1", "k1"), ("k2", "k2")], left_id="id", right_id="id")
+def same_papers(spark, terminology_registry, paper_terminology):
+    """How many uses of terms are of the same paper or the same term as a registry row, and the first of them."""
+    form = lambda c: F.nullif(N.component(F.col(c)), F.lit(""))
+    keyed = lambda d: d.select("row_id", form("paper_id").alias("p"), form("term_id").alias("t"))
+    d = identity.identity_links(keyed(terminology_registry), keyed(paper_terminology), [("p", "p"), ("t", "t")], left_id="row_id", right_id="row_id")
+    return d.select(F.col("left_id").alias("row_id"), "links", "representative")
+
+
+@query
+def leading_issues(spark, text_frame_inventory):
+    """Pages as frames, the tops of their boxes as lines, against a leading from the largest font."""
+    d = text_frame_inventory.where("source_id IS NOT NULL AND source_page IS NOT NULL").withColumn("page", F.concat_ws("/", "source_id", "source_page")).withColumn("top", F.get("bbox_pt", F.lit(3)))
+    expected = d.groupBy("page").agg((F.max("source_font_size_pt") * 4).alias("leading"))
+    return ordered.leading_issues(d, expected, frame="page", at="top", leading="leading")
 
 
 @query

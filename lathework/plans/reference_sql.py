@@ -34,7 +34,15 @@ SQL["dedupe_global"] = "SELECT paper, row_id, week FROM (SELECT lower(trim(paper
 SQL["or_identity_semi"] = """
 WITH s AS (SELECT lower(trim(json_extract_string(record, '$.English_Term'))) AS e, trim(json_extract_string(record, '$.Preferred_Chinese')) AS c FROM term_submissions)
 SELECT row_id, term_id FROM terminology_registry r WHERE EXISTS (SELECT 1 FROM s WHERE s.e = lower(trim(r.english_term))) OR EXISTS (SELECT 1 FROM s WHERE s.c = trim(r.preferred_chinese))"""
-SQL["same_paper_pairs"] = "SELECT DISTINCT CAST(n_nationkey AS INTEGER) AS left_id, s_suppkey AS right_id FROM nation JOIN supplier ON n_nationkey = s_nationkey OR n_regionkey = s_suppkey % 97"
+SQL["same_papers"] = """
+WITH l AS (SELECT row_id, nullif(lower(trim(paper_id)), '') AS p, nullif(lower(trim(term_id)), '') AS t FROM terminology_registry), r AS (SELECT row_id AS id, nullif(lower(trim(paper_id)), '') AS p, nullif(lower(trim(term_id)), '') AS t FROM paper_terminology),
+m AS (SELECT row_id, id FROM l JOIN r USING (p) UNION SELECT row_id, id FROM l JOIN r USING (t))
+SELECT row_id, count(*) AS links, min(id) AS representative FROM m GROUP BY row_id"""
+SQL["leading_issues"] = """
+WITH d AS (SELECT source_id || '/' || source_page AS page, bbox_pt[4] AS top, source_font_size_pt AS s FROM text_frame_inventory WHERE source_id IS NOT NULL AND source_page IS NOT NULL), e AS (SELECT page, max(s) * 4 AS w FROM d GROUP BY page),
+p AS (SELECT DISTINCT page, round_even(top * 2, 0) / 2 AS y FROM d WHERE top IS NOT NULL), g AS (SELECT page, y - lag(y) OVER (PARTITION BY page ORDER BY y) AS gap FROM p), h AS (SELECT page, gap, w FROM g JOIN e USING (page) WHERE gap > 1),
+o AS (SELECT page, any_value(w) AS w, list_sort(list(gap) FILTER (WHERE gap BETWEEN w * 0.75 AND w * 1.6)) AS k FROM h GROUP BY page), m AS (SELECT page, w, k[CAST(floor(len(k) / 2) AS BIGINT) + 1] AS observed FROM o)
+SELECT page, observed FROM m WHERE coalesce(abs(observed - w) > 0.75, true)"""
 SQL["group_identity"] = """
 WITH d AS (SELECT row_id, lower(trim(english_term)) AS a, upper(trim(term_id)) AS k FROM terminology_registry),
 m AS (SELECT a, arg_max(k, row_id) AS mk FROM d WHERE a <> '' AND k IS NOT NULL GROUP BY a)

@@ -39,16 +39,28 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def release() -> None:
+    """Remove all intermediate tables: to be called when the results that were made so far are consumed."""
+    while _written:
+        _remove(*_written.pop())
+
+
+atexit.register(release)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     Lineage is cut there: whatever executors are lost later, nothing upstream is computed again.
-    The table is removed when the driver ends.
+    The table is removed by release(), or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

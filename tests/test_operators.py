@@ -92,7 +92,10 @@ def test_missing_numbers(spark, rows):
 def test_identity_rules(spark, rows):
     left = spark.createDataFrame([(1, "a", None), (2, None, "d"), (3, "x", "y")], "id int, p string, d string")
     right = spark.createDataFrame([(7, "a", "d"), (8, None, None)], "id int, p string, d string")
-    assert rows(identity.same_identity_pairs(left, right, [("p", "p"), ("d", "d")], left_id="id", right_id="id")) == [(1, 7), (2, 7)]
+    both = spark.createDataFrame([(4, "a", "d")], left.schema)
+    assert rows(identity.identity_links(left.unionByName(both), right.unionByName(both.withColumn("id", F.lit(9))), [("p", "p"), ("d", "d")], left_id="id", right_id="id")) == [(1, 2, 7), (2, 2, 7), (4, 2, 7)]
+    d = spark.createDataFrame([(1, "10.1/A", "P1"), (2, None, " p1 "), (3, "https://doi.org/10.1/a", None)], "id int, DOI string, Paper_ID string")
+    assert rows(identity.find_records(d, "DOI", "doi: 10.1/a"), "id") == [(1,), (3,)] and rows(identity.find_records(d, "Paper_ID", "P1"), "id") == [(1,), (2,)] and identity.find_records(d, "DOI", " ").count() == 0
     docs = spark.createDataFrame([("k", False, True, 1), ("k", False, True, 2), ("m", True, False, 1), ("m", False, True, 2), ("z", None, None, 3)], "k string, f boolean, p boolean, o int")
     assert rows(identity.current_rows(docs, key="k", flag="f", preferred="p", order="o"), "k", "o", "ambiguous") == [("k", 2, True), ("m", 1, False), ("z", 3, False)]
 
@@ -179,6 +182,12 @@ def test_upper_median(spark, rows):
     assert rows(ordered.mode_per_group(d, ["g"], "v")) == [("a", 1.0), ("c", 5.0)]
 
 
+def test_leading(spark, rows):
+    tops = [("ok", t) for t in (10.0, 10.2, 22.1, 34.0)] + [("wide", t) for t in (10.0, 24.0, 38.0)] + [("odd", 10.0), ("odd", 60.0), ("one", 5.0), ("free", 1.0), ("free", 20.0)]
+    want = spark.createDataFrame([("ok", 12.0), ("wide", 12.0), ("odd", 12.0), ("one", 12.0)], "f string, l double")
+    assert rows(ordered.leading_issues(spark.createDataFrame(tops, "f string, y double"), want, frame="f", at="y", leading="l")) == [("odd", None), ("wide", 14.0)]
+
+
 def test_owners(spark, rows):
     boxes = spark.createDataFrame([(1, 1, [0.0, 0.0, 100.0, 100.0]), (1, 2, [10.0, 10.0, 50.0, 50.0]), (1, 3, [40.0, 40.0, 80.0, 80.0]), (1, 4, [200.0, 0.0, 210.0, 10.0]), (1, 5, [200.0, 0.0, 210.0, 10.0])], "page int, id int, b array<double>")
     points = spark.createDataFrame([(1, "in2", 20.0, 20.0), (1, "both", 45.0, 45.0), (1, "tie", 205.0, 5.0), (1, "none", 150.0, 0.0), (2, "other", 20.0, 20.0), (1, "null", None, 1.0)], "page int, p string, x double, y double")
