@@ -1,5 +1,9 @@
 """SQL for the queries on text that SQL can express, in the dialect of the comparing engine."""
 
+import unicodedata
+
+from . import lookalike
+
 _P7 = r"""
 WITH pairs AS (
   SELECT DISTINCT submission_id AS id, lower(regexp_replace(k.name, '[^\p{L}\p{N}]', '', 'g')) AS name,
@@ -52,4 +56,31 @@ P9_BOUNDS = r"""
 WITH have AS (SELECT replace(lower(trim(source, chr(9) || ' ')), '-', '_') AS s, count(*) AS n FROM documents WHERE length(text) > 0 GROUP BY 1)
 SELECT replace(lower(trim(source)), '-', '_') AS source, coalesce(n, 0) > 0 AND target_share > 0 AND max_repeats > 0 AS selected, true AS share_kept, true AS records_kept FROM source_targets LEFT JOIN have ON s = replace(lower(trim(source)), '-', '_')"""
 
-SQL = {"p9_bounds": P9_BOUNDS, "p6_planted": P6_PLANTED, "p7_found": P7_FOUND, "p7_kept": P7_KEPT, "p8_found": P8_FOUND, "p8_coverage": P8_COVERAGE, "p8_items": P8_ITEMS, "p10_found": P10_FOUND, "p10_share": P10_SHARE}
+
+
+def _p6() -> str:
+    """Plain substitution: compatibility forms character by character, then every look-alike letter Latin, but for lone Greek letters and words with a letter of another script that looks like no Latin one."""
+    single, several = {}, {}
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xF900, 0xFFFF), *range(0x1D400, 0x1D800)]):
+        form, tag = unicodedata.normalize("NFKC", c), unicodedata.decomposition(c)
+        if form != c and tag.startswith("<") and not tag.startswith(lookalike.DIFFERENT) and (c.isalnum() or unicodedata.name(c, "").startswith("KANGXI")):
+            (single if len(form) == 1 else several)[c] = form
+    single |= {c: "-" for c in lookalike.HYPHENS} | lookalike.RADICALS
+    text = "regexp_replace(regexp_replace(nfc_normalize(cell), '[\\p{Cf}\\x{FE00}-\\x{FE0F}\\x{034F}\\x{3164}\\x{FFA0}\\x{E0100}-\\x{E01EF}]|[\\x00-\\x08\\x0E-\\x1B\\x7F-\\x84\\x86-\\x9F]', '', 'g'), '\\p{Zs}', ' ', 'g')"
+    text = f"translate({text}, '{''.join(single)}', '{''.join(single.values())}')"
+    for c, form in several.items():
+        if c in "ﬀﬁﬂﬃﬄﬅﬆⅡⅢⅣⅥⅦⅧⅨⅪⅫ":
+            text = f"replace({text}, '{c}', '{form}')"
+    like = lookalike.LOOK_ALIKES
+    other = "".join(chr(i) for i in range(0x370, 0x530) if chr(i).isalpha() and chr(i) not in like)
+    return f"""
+WITH c AS (SELECT row_id, 'english_term' AS field_name, english_term AS cell FROM terminology_registry UNION ALL SELECT row_id, 'preferred_chinese', preferred_chinese FROM terminology_registry),
+n AS (SELECT row_id, field_name, cell, nfc_normalize({text}) AS t FROM c WHERE cell IS NOT NULL),
+w AS (SELECT row_id, field_name, cell, regexp_extract_all(t, '[\\p{{L}}\\p{{M}}]+|[^\\p{{L}}\\p{{M}}]+') AS w FROM n),
+p AS (SELECT row_id, field_name, cell, array_to_string(list_transform(w, lambda x: CASE WHEN regexp_matches(x, '^[α-ωΑ-Ω]$') OR regexp_matches(x, '[{other}]') THEN x ELSE translate(x, '{''.join(like)}', '{''.join(like.values())}') END), '') AS plain_text FROM w)
+SELECT row_id, field_name, plain_text FROM p WHERE plain_text <> cell"""
+
+
+P6_FOUND = _p6()
+
+SQL = {"p6_found": P6_FOUND, "p9_bounds": P9_BOUNDS, "p6_planted": P6_PLANTED, "p7_found": P7_FOUND, "p7_kept": P7_KEPT, "p8_found": P8_FOUND, "p8_coverage": P8_COVERAGE, "p8_items": P8_ITEMS, "p10_found": P10_FOUND, "p10_share": P10_SHARE}
