@@ -155,9 +155,9 @@ def mix(docs: DataFrame, targets: DataFrame, *, seed: int = 7, total_tokens: int
         cut.append((s, r, shards, max(1, min(shards, max_groups * totals.get(s, 0) // whole_tokens))))
     shards = spark.createDataFrame(cut, "source string, repeats bigint, shards bigint, groups bigint")
     rows = counts.join(F.broadcast(shards), "source").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards"))).withColumn("part", F.pmod("shard", "groups"))
-    sizes = materialize(rows.groupBy("source", "repeats", "part", "shard").agg(F.sum("n_tokens").alias("shard_total")), "shards")
+    sizes = rows.groupBy("source", "repeats", "part", "shard").agg(F.sum("n_tokens").alias("shard_total"))
     per_group: dict[str, list[tuple[int, int]]] = {}
-    for r in sizes.groupBy("source", "part").agg(F.sum("shard_total").alias("n")).collect():
+    for r in rows.groupBy("source", "part").agg(F.sum("n_tokens").alias("n")).collect():
         per_group.setdefault(r.source, []).append((r.part, int(r.n)))
     filled = []
     for s, _, r, q in quotas:
