@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,22 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-        hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-    except Exception:  # noqa: BLE001  the session may already be gone; the cluster cleans its own scratch folder
-        pass
-
-
-_written: list[tuple[SparkSession, str]] = []
+_written: list[str] = []
 
 
 def release() -> None:
     """Remove all intermediate tables: to be called when the results that were made so far are consumed."""
+    context = SparkContext._active_spark_context
     while _written:
-        _remove(*_written.pop())
+        path = _written.pop()
+        try:
+            hadoop_path = context._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop_path.getFileSystem(context._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+        except Exception:  # noqa: BLE001  the session may already be gone; the cluster cleans its own scratch folder
+            pass
 
 
 atexit.register(release)
@@ -60,7 +58,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

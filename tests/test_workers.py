@@ -24,6 +24,6 @@ def ran_elsewhere(tmp_path, data, module, names):
 
 
 def test_core_queries(tmp_path, data):
-    names = ["p1_records", "p2_found", "p3_found", "numeric_tokens", "semantic_token_kinds", "chinese_typography", "html_plain", "page_lines", "p_values", "term_in_documents"]
+    names = ["p1_records", "p2_found", "p3_found", "numeric_tokens", "semantic_token_kinds", "chinese_typography", "html_plain", "page_lines", "p_values", "term_in_documents", "p2_decided", "residual_runs", "numeric_suite"]
     ok, said = ran_elsewhere(tmp_path, data, "lathework.plans.catalogue", names)
     assert ok, said
