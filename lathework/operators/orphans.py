@@ -88,15 +88,15 @@ def judged_groups(refs: DataFrame, periods: DataFrame, total: int, *, max_broadc
     """
     periods = materialize(periods, "periods")
     groups = materialize(refs.groupBy(*_GROUP).agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi")), "reference-groups")
-    keys = materialize(groups.groupBy(*_KEY).agg(F.sum("n").alias("n")), "reference-keys")
+    keys = groups.groupBy(*_KEY).agg(F.sum("n").alias("n"))
     most = max(1, total // HEAVY_SHARE)
-    heavy_keys = keys.where(F.col("n") > most).select(*_KEY)
+    heavy_keys = materialize(keys.where(F.col("n") > most).select(*_KEY), "heavy-keys")
     heavy = groups.join(F.broadcast(heavy_keys), _KEY, "left_semi")
     light = groups.join(F.broadcast(heavy_keys), _KEY, "left_anti")
     few = heavy.count() <= max_broadcast_rows
-    checked = materialize(_verdicts(periods.join(F.broadcast(heavy) if few else heavy, _KEY)), "heavy-groups")
-    of_heavy = checked.unionByName(_missing(heavy.join(checked.select(*_GROUP), _GROUP, "left_anti"))).withColumn("heavy", F.lit(True))
-    missing_keys = materialize(keys.where(F.col("n") <= most).join(periods.select(*_KEY), _KEY, "left_anti").select(*_KEY), "missing-keys")
+    checked = _verdicts(periods.join(F.broadcast(heavy) if few else heavy, _KEY)).select(*_GROUP, "verdict", "first_at")
+    of_heavy = heavy.join(checked, _GROUP, "left").withColumn("verdict", F.coalesce("verdict", F.lit("MISSING"))).select(*_GROUP, "n", "lo", "hi", "verdict", "first_at").withColumn("heavy", F.lit(True))
+    missing_keys = keys.where(F.col("n") <= most).select(*_KEY).join(periods.select(*_KEY), _KEY, "left_anti")
     of_light = _missing(light.join(missing_keys, _KEY, "left_semi")).unionByName(_verdicts(light.join(periods, _KEY))).withColumn("heavy", F.lit(False))
     bad = materialize(of_heavy.unionByName(of_light).where("verdict <> 'OK'"), "orphan-groups")
     # only mixed groups are judged row by row, so only these need their periods
