@@ -620,7 +620,7 @@ def canon_tokens(spark, documents):
 
 @query
 def semantic_token_kinds(spark, documents):
-    return spread(documents.select("text")).select(F.explode(udfs.semantic_tokens("text")).alias("t")).groupBy(F.col("t.kind").alias("kind")).agg(F.count("*").alias("n"))
+    return token_compare.semantic_kinds(spread(documents.select("text")), text="text")
 
 
 @query

@@ -1,8 +1,12 @@
 """Queries that SQL cannot say, over their own whole output: against a plain second way, or by what must be kept."""
 
 import math
+import random
 import re
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 from lathework.functions import udfs
 from lathework.plans import catalogue
@@ -58,6 +62,60 @@ def test_semantic_tokens_keep_the_text(spark, data):
     assert dict(kinds) == {r.kind: r.n for r in catalogue.QUERIES["semantic_token_kinds"](spark, data).collect()}
 
 
+def plain_semantic_tokens(text):
+    """Every kind tried at every place."""
+    kinds, at, out = [(k, re.compile(p)) for k, p in udfs.TOKEN_KINDS], 0, []
+    while at < len(text):
+        blank = re.compile(r"\s[ \t]*").match(text, at)
+        found = max(((m.end() - at, -i) for i, (_, p) in enumerate(kinds) if (m := p.match(text, at))), default=None)
+        if found:
+            end, kind = at + found[0], kinds[-found[1]][0]
+        elif text[at] != "\n" and blank:
+            end, kind = blank.end(), "SPACE"
+        else:
+            end, kind = at + 1, "BREAK" if text[at] == "\n" else "PUNCTUATION" if text[at] in "，。；：！？、（）【】《》" else "TEXT"
+        out.append((kind, text[at:end]))
+        at = end
+    return out
+
+
+def test_semantic_tokens_are_the_longest_at_each_place():
+    parts = ["p", "f", "rs", "df", "β", "χ²", "[", "]", "(", ")", "=", "<", "1", "9", "95%", "10", "123", ".", "x", "×", "*", "^", "+", "-", "−", "–", ":", "/", "%", " ", "\n", "　", "\x1c", "SWS", "swſ", "REM", "nrem", "cb", "-Nap", "Δ", "Error", "CI"]
+    parts += ["Hz", "Kg", "ms", "ſ", "s", "μV", "http", "s://", "foo", "_", "c", "n", "ά", "é", "٣", "²", "⁰", "，", "。", "共", "\u200b", "ı", "3d", "{", ",", "remember", "ht"]
+    pick = random.Random(1)
+    for _ in range(8000):
+        text = "".join(pick.choice(parts) for _ in range(pick.randint(1, 14)))
+        want, got, counts = plain_semantic_tokens(udfs.typography_of(text)), udfs.semantic_tokens_of(text), {}
+        assert [k for k, _ in got] == [k for k, _ in want], text
+        assert [x for k, x in got if k not in ("CITATION", "SPACE")] == [x for k, x in want if k not in ("CITATION", "SPACE")]
+        udfs.count_kinds(text, counts)
+        assert counts == Counter(k for k, _ in want)
+
+
+BOUNDED = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.executor.pyspark.memory", "1200m").getOrCreate()
+from lathework.functions import udfs
+from lathework.plans.catalogue import QUERIES
+s.range(0, 10000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("{{a1}} "), 100).alias("text")).write.parquet({data!r} + "/documents.parquet")
+want = [("CODE", 1000000), ("SPACE", 1000000), ("TEXT", 2000000)]
+assert sorted(map(tuple, QUERIES["semantic_token_kinds"](s, {data!r}).collect())) == want
+t = s.read.parquet({data!r} + "/documents.parquet").select(F.explode(udfs.semantic_tokens("text")).alias("t"))
+assert sorted(map(tuple, t.groupBy("t.kind").count().collect())) == want
+print("all right")
+"""
+
+
+def test_semantic_tokens_in_bounded_memory(tmp_path):
+    """A batch of 10,000 texts, four million tokens, in a worker that may take 1.2 GB: as counts, and as tokens."""
+    code = BOUNDED.format(repo=str(Path(__file__).resolve().parents[1]), data=str(tmp_path))
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600)
+    assert done.stdout.strip().endswith("all right"), done.stderr[-2000:]
+
+
 def test_typography_is_stable_and_keeps_words(spark, data):
     out = {r.doc_id: r.stable for r in catalogue.QUERIES["chinese_typography"](spark, data).collect()}
     letters = lambda s: re.sub(r"[^A-WYZa-wyz0-9㐀-鿿]", "", s)  # noqa: E731  an x between numbers becomes the sign of multiplication
